@@ -2,26 +2,17 @@
 
 from __future__ import annotations
 
-from parlance.llm import sharding, url_filter
-
-SHARDING_SQL = """
-WITH d AS (
-  SELECT row_number() OVER () AS rid, doc_id, source, coalesce(strlen(text), 0) + 8 AS size, coalesce(text, '') AS t,
-         md5(concat_ws(':', '17', CAST(doc_id AS VARCHAR))) AS h FROM documents
-), r AS (
-  SELECT *, (row_number() OVER (PARTITION BY source ORDER BY h, doc_id) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY source) AS f FROM d
-), g AS (
-  SELECT *, row_number() OVER (ORDER BY f, source NULLS FIRST, h, doc_id) - 1 AS pos, count(*) OVER () AS n FROM r
-), s AS (SELECT *, pos * 24 // n AS shard FROM g)
-SELECT doc_id, CAST(size AS BIGINT) AS size, 'rows' AS law, CAST(shard AS INTEGER) AS shard,
-       CAST(pos - (shard * n + 23) // 24 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, source FROM s
-"""
+from parlance.llm import decontamination, quality, sharding, url_filter
 
 QUERIES = {
+    "op1_decontamination": decontamination.op1_decontamination,
     "op2_sharding": sharding.op2_sharding,
     "op5_url_filter": url_filter.op5_url_filter,
+    "op6_quality_rules": quality.op6_quality_rules,
 }
 
 ORACLE_SQL = {
+    "op1_decontamination": decontamination.decontamination_sql(),
     "op5_url_filter": url_filter.OP5_SQL,
+    "op6_quality_rules": quality.quality_sql(),
 }
