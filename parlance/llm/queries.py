@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from parlance.llm import decontamination, quality, sharding, url_filter
+from parlance.llm import decontamination, packing, quality, sharding, token_files, url_filter
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_sharding": sharding.op2_sharding,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op7_best_fit_packing": packing.op7_best_fit_packing,
+    "op8_token_files": token_files.op8_token_files,
 }
 
 ORACLE_SQL = {
