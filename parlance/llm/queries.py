@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parlance.llm import decontamination, packing, quality, sharding, token_files, url_filter
+from parlance.llm import decontamination, ngram_join, packing, quality, sharding, token_files, url_filter
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -11,10 +11,12 @@ QUERIES = {
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_token_files": token_files.op8_token_files,
+    "op10_ngram_jaccard_join": ngram_join.op10_ngram_jaccard_join,
 }
 
 ORACLE_SQL = {
     "op1_decontamination": decontamination.decontamination_sql(),
     "op5_url_filter": url_filter.OP5_SQL,
     "op6_quality_rules": quality.quality_sql(),
+    "op10_ngram_jaccard_join": ngram_join.near_duplicates_sql(),
 }
