@@ -68,3 +68,20 @@ def free_name(df: DataFrame, name: str) -> str:
 def text_bytes(col):
     """UTF-8 length; null counts 0."""
     return F.coalesce(F.octet_length(col), F.lit(0)).cast("long")
+
+
+#: Bits of the filter below: a broadcast of FILTER_BITS / 64 rows of 16 bytes at most, 8 MB.
+FILTER_BITS = 1 << 25
+
+
+def maybe_among(df: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of df whose column may be among keys: all that are and, by equal hash bits, a few that are not.
+
+    It makes the shuffle of a later exact join small; its own broadcast has a fixed bound. Nulls match nulls.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    word, ones, h = (free_name(df, n) for n in ("filter_word", "filter_ones", "filter_bit"))
+    bits = keys.select(bit(key).alias(h)).select(F.expr(f"CAST({h} div 64 AS INT)").alias(word), F.expr(f"shiftleft(1L, CAST({h} % 64 AS INT))").alias(ones))
+    bits = bits.groupBy(word).agg(F.bit_or(ones).alias(ones))
+    found = df.withColumn(h, bit(column)).join(F.broadcast(bits), (F.expr(f"CAST({h} div 64 AS INT)") == F.col(word)) & F.expr(f"shiftright({ones}, CAST({h} % 64 AS INT)) & 1 = 1"))
+    return found.drop(h, word, ones)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parlance.llm.common import cut, documents
+from parlance.llm.common import cut, documents, free_name, maybe_among
 from parlance.llm.components import connected_components
 
 SHINGLE = 5
@@ -38,8 +38,6 @@ FREQUENT, KNOWN_FREQUENT = 128, 500_000
 #: Classes of a block in one tile, and rows that one task's share of blocks aims at.
 TILE, SHARE = 2048, 40_000
 FAN_OUT = 16
-#: Bits of the filter of documents whose texts are needed (a broadcast of 8 MB at most).
-FILTER_BITS = 1 << 25
 
 
 class _WordHashes(dict):
@@ -200,11 +198,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: in
     """Those of pairs (a, b: classes) that reach the threshold, by their texts."""
     both = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
     wanted = cut(both.join(classes.select("cls", "rep"), "cls"), "wanted")
-    # Texts that cannot be wanted go before the shuffle: a bit for each wanted id, in FILTER_BITS / 64 rows at most.
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    bits = wanted.select(bit("rep").alias("h")).select((F.col("h") / 64).cast("int").alias("word"), F.expr("shiftleft(1L, CAST(h % 64 AS INT))").alias("one"))
-    bits = bits.groupBy("word").agg(F.bit_or("one").alias("ones"))
-    near = docs.withColumn("h", bit("doc_id")).join(F.broadcast(bits), (F.expr("CAST(h / 64 AS INT)") == F.col("word")) & F.expr("shiftright(ones, CAST(h % 64 AS INT)) & 1 = 1"))
+    near = maybe_among(docs, "doc_id", wanted, "rep")  # other texts aren't shuffled
     texts = near.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cls", "text")
     # An id may stand for several texts: the one of the class is meant, one row of it.
     texts = cut(texts.mapInArrow(_rep_texts(), "cls binary, text string").dropDuplicates(["cls"]), "texts")
@@ -275,8 +269,6 @@ def near_duplicates(docs: DataFrame, percent: int = 80, key: str = "doc_id", tex
 def keep_one_per_group(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each component, that with the least id; of its repeated rows one. Rows whose
     text has no words all stay."""
-    from parlance.llm.common import free_name
-
     groups = near_duplicates(docs, percent, key, text).where("n_shingles > 0")
     drop, has = free_name(docs, "drop_id"), free_name(docs, "has_words")
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(drop)).distinct()

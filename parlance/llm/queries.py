@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from parlance.llm import decontamination, ngram_join, packing, quality, sharding, token_files, url_filter
+from parlance.llm import decontamination, line_dedup, ngram_join, packing, quality, sharding, token_files, url_filter
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_sharding": sharding.op2_sharding,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
