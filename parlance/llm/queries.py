@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parlance.llm import decontamination, line_dedup, ngram_join, packing, quality, sharding, token_files, url_filter
+from parlance.llm import decontamination, line_dedup, lm_scoring, ngram_join, packing, quality, sharding, token_files, url_filter
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_token_files": token_files.op8_token_files,
+    "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     "op10_ngram_jaccard_join": ngram_join.op10_ngram_jaccard_join,
 }
 
