@@ -7,9 +7,11 @@ crowd together, so one tree over a corpus would open most of its nodes; the poin
 to blocks that lose no pair: the first shingles of each set, in one order for all (prefix filter; two sets
 that reach the threshold share one of those). Shingles of many documents come last in that order.
 
-1. Equal sets are one class. 2. In each block, classes are tried against its least class; bound, then the sets
-themselves. 3. What those links leave apart in a block is joined through an R-tree over the block's points,
-large blocks by pairs of tiles, and verified. 4. Links are resolved by distributed union-find.
+1. Equal sets are one class. 2. In each block an R-tree finds pairs that pass the bound; those that connect
+something new make families. Blocks with the same least member meet in one task, where most blocks turn out to be
+connected already. 3. In each family, with its texts at hand, an R-tree of finer points and then the sets
+themselves decide. 4. Links are resolved by distributed union-find. Large blocks and families are worked on as
+pairs of tiles.
 
 Links inside a component that follow from others are not all computed; no link that joins anything is lost.
 """
@@ -35,8 +37,10 @@ SHINGLE = 5
 GROUPS = 64
 #: A shingle in the prefixes of more documents than this comes late in the order; so many such are known.
 FREQUENT, KNOWN_FREQUENT = 128, 500_000
-#: Classes of a block in one tile, and rows that one task's share of blocks aims at.
-TILE, SHARE = 2048, 40_000
+#: Members of a block or family in one tile, and rows that one task's share of blocks aims at.
+TILE, SHARE = 1024, 40_000
+#: Families' members that a task's share aims at.
+FAMILY_SHARE = 400
 FAN_OUT = 16
 
 
@@ -87,8 +91,12 @@ def prefix(ordered: np.ndarray, percent: int, late: np.ndarray) -> np.ndarray:
     return ordered[:n]
 
 
-def counts(ordered: np.ndarray) -> np.ndarray:
-    return np.bincount((ordered & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype("<u4")
+def counts(ordered: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    return np.bincount((ordered & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype("<u4")
+
+
+def _class(ordered: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(ordered.tobytes())
 
 
 def _prefix_counts(percent: int):
@@ -110,7 +118,7 @@ def _describe(percent: int, late):
             for t in b["text"].cast(pa.binary()).to_pylist():
                 s = shingles(t)
                 n.append(len(s))
-                cls.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                cls.append(_class(s) if len(s) else None)
                 points.append(counts(s).tobytes())
                 prefixes.append(prefix(s, percent, last).view(np.int64))
             yield pa.RecordBatch.from_arrays(
@@ -153,33 +161,77 @@ class CountVectorRTree:
         return self.order[found]
 
 
-def _join_blocks(percent: int):
-    """Pairs of classes of different components that pass the bound, block by block."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        out: set[tuple[bytes, bytes]] = set()
-        for (_, low, high), block in group.groupby(["token", "low", "high"], sort=False):
-            points = np.frombuffer(b"".join(block["point"]), "<u4").reshape(-1, GROUPS).astype(np.int32)
-            sizes, cls, comp, tile = block["n_shingles"].to_numpy(), block["cls"].to_numpy(), block["component"].to_numpy(), block["tile"].to_numpy()
-            tree = CountVectorRTree(points, sizes)
-            for i in range(len(block)):
-                for j in tree.search(points[i], sizes[i], percent):
-                    if cls[i] < cls[j] and comp[i] != comp[j] and (low == high or tile[i] != tile[j]):
-                        out.add((cls[i], cls[j]))
-        return pd.DataFrame(sorted(out), columns=["a", "b"])
+class _Sets:
+    """Union-find within a task."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def find(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        i, j = self.find(i), self.find(j)
+        self.parent[max(i, j)] = min(i, j)
+        return i != j
+
+
+def _bounded_pairs(points: np.ndarray, sizes: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each place, the later places whose bound with it reaches the threshold."""
+    tree = CountVectorRTree(points, sizes)
+    for i in range(len(sizes) - 1):
+        near = tree.search(points[i], sizes[i], percent)
+        if len(near := near[near > i]):
+            yield i, near
+
+
+def _connect_blocks(percent: int):
+    """Pairs that pass the bound and connect the members of a share's blocks."""
+
+    def run(blocks: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        members = members.drop_duplicates("member").sort_values("member", ignore_index=True)
+        alias, sizes = members["member"].to_numpy(), members["n_shingles"].to_numpy()
+        points = np.frombuffer(b"".join(members["point"]), "<u4").reshape(-1, GROUPS).astype(np.int32)
+        sets, out, seen = _Sets(len(alias)), [], set()
+        blocks = blocks.sort_values(["token", "low", "high"], kind="stable")
+        place = np.searchsorted(alias, blocks["alias"].to_numpy())
+        keys = blocks[["token", "low", "high"]].to_numpy()
+        ends = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        for block in np.split(place, ends):
+            block = np.unique(block)
+            if len({sets.find(i) for i in block.tolist()}) < 2 or (mark := block.tobytes()) in seen:
+                continue
+            seen.add(mark)
+            for i, near in _bounded_pairs(points[block], sizes[block], percent):
+                for j in near.tolist():
+                    if sets.join(int(block[i]), int(block[j])):
+                        out.append((alias[block[i]], alias[block[j]]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
     return run
 
 
-def _jaccard(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            left, right = (b[c].cast(pa.binary()).to_pylist() for c in ("text_a", "text_b"))
-            keep = []
-            for x, y in zip(left, right, strict=True):
-                s, t = shingles(x), shingles(y)
-                keep.append(_enough(len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t), percent))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _verify_families(percent: int):
+    """Links of a share's families, decided by their sets; those that follow from others are left out."""
+
+    def run(share: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, family in share.groupby(["family", "low", "high"], sort=False):
+            cls = family["cls"].to_list()
+            known = [shingles(t.encode()) for t in family["text"]]
+            sizes = np.array([len(s) for s in known])
+            groups = 1 << int(np.clip(np.ceil(np.log2(sizes.mean())) + 1, 6, 12))
+            points = np.stack([counts(s, groups) for s in known]).astype(np.int32)
+            sets = _Sets(len(cls))
+            for i, near in _bounded_pairs(points, sizes, percent):
+                for j in near.tolist():
+                    if sets.find(i) != sets.find(j) and _enough(len(np.intersect1d(known[i], known[j], assume_unique=True)), sizes[i], sizes[j], percent):
+                        sets.join(i, j)
+                        out.append((cls[i], cls[j]))
+        return pd.DataFrame(out, columns=["a", "b"])
 
     return run
 
@@ -187,24 +239,18 @@ def _jaccard(percent: int):
 def _rep_texts():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            digest = [xxhash.xxh3_128_digest(shingles(t).tobytes()) for t in b["text"].cast(pa.binary()).to_pylist()]
+            digest = [_class(shingles(t)) for t in b["text"].cast(pa.binary()).to_pylist()]
             same = [x == y for x, y in zip(digest, b["cls"].to_pylist(), strict=True)]
             yield b.select(["cls", "text"]).filter(pa.array(same, pa.bool_()))
 
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (a, b: classes) that reach the threshold, by their texts."""
-    both = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    wanted = cut(both.join(classes.select("cls", "rep"), "cls"), "wanted")
-    near = maybe_among(docs, "doc_id", wanted, "rep")  # other texts aren't shuffled
-    texts = near.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cls", "text")
-    # An id may stand for several texts: the one of the class is meant, one row of it.
-    texts = cut(texts.mapInArrow(_rep_texts(), "cls binary, text string").dropDuplicates(["cls"]), "texts")
-    with_a = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
-    with_both = with_a.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
-    return cut(with_both.select("a", "b", "text_a", "text_b").mapInArrow(_jaccard(percent), "a binary, b binary"), "links")
+def _tiled(df: DataFrame, rows: str, member: str) -> DataFrame:
+    """Adds low and high: every two of a group's members meet in one pair of tiles. rows: the group's size."""
+    d = df.withColumn("tiles", F.ceil(F.col(rows) / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64(member), F.col("tiles")).cast("int"))
+    d = d.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
+    return d.withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other")).drop("tiles", "tile", "other")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text", frequent: int = FREQUENT) -> DataFrame:
@@ -222,42 +268,37 @@ def near_duplicates(docs: DataFrame, percent: int = 80, key: str = "doc_id", tex
     shared = spark.sparkContext.broadcast(np.sort(late))
     described = cut(d.mapInArrow(_describe(percent, shared), "doc_id long, n_shingles long, cls binary, point binary, prefix array<long>"), "described")
 
-    classes = cut(described.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("point").alias("point")), "classes")
-    tokens = described.where("cls is not null").select("cls", F.explode("prefix").alias("token"))
+    # An alias of 8 bytes names a class while candidates are sought; two classes of one alias would only meet once more.
+    alias = F.xxhash64("cls").alias("alias")
+    valid = described.where("cls is not null")
     by_token = W.partitionBy("token")
-    spread = tokens.withColumn("least", F.min("cls").over(by_token)).withColumn("most", F.max("cls").over(by_token))
-    blocks = cut(spread.where("least <> most").select("token", "cls", "least").distinct(), "blocks")
-
-    def bounded(pairs: DataFrame) -> DataFrame:
-        a = classes.select(F.col("cls").alias("a"), F.col("n_shingles").alias("n_a"), F.col("point").alias("p_a"))
-        b = classes.select(F.col("cls").alias("b"), F.col("n_shingles").alias("n_b"), F.col("point").alias("p_b"))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for x in batches:
-                p, q = (np.frombuffer(b"".join(x[c].to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64) for c in ("p_a", "p_b"))
-                yield x.select(["a", "b"]).filter(pa.array(_enough(np.minimum(p, q).sum(axis=1), x["n_a"].to_numpy(), x["n_b"].to_numpy(), percent)))
-
-        return cut(pairs.join(a, "a").join(b, "b").mapInArrow(run, "a binary, b binary"), "bounded")
-
-    # Each class with that least class of its blocks that it meets most often.
-    met = blocks.where("cls <> least").groupBy("cls", "least").agg(F.count(F.lit(1)).alias("n"))
-    first = met.groupBy("cls").agg(F.max(F.struct("n", "least")).alias("x")).select(F.col("x.least").alias("a"), F.col("cls").alias("b"))
-    links = _verified(bounded(first), d, classes, percent)
-    found = cut(connected_components(links, "a", "b"), "components")
-
-    # Blocks that these links leave in parts.
-    named = classes.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "n_shingles", "point", F.coalesce("component", "cls").alias("component"))
-    parts = blocks.select("token", "cls").join(named, "cls")
-    size = parts.groupBy("token").agg(F.count(F.lit(1)).alias("rows"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("token", "rows")
-    left = parts.join(size, "token").withColumn("tiles", F.ceil(F.col("rows") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
-    dealt = left.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)"))).withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other"))
-    dealt = cut(dealt.select("token", "cls", "n_shingles", "point", "component", "tile", "low", "high"), "parts")
-    rows = dealt.count()
-    if rows:
-        share = F.pmod(F.xxhash64("token", "low", "high"), F.lit(1 + max(rows // SHARE, 200)))
-        rest = dealt.withColumn("share", share).groupBy("share").applyInPandas(_join_blocks(percent), "a binary, b binary").distinct()
-        links = links.union(_verified(cut(rest, "pairs"), d, classes, percent))
-        found = cut(connected_components(links, "a", "b"), "components")
+    tokens = valid.select(alias, F.explode("prefix").alias("token"))
+    blocks = tokens.withColumn("least", F.min("alias").over(by_token)).withColumn("most", F.max("alias").over(by_token)).withColumn("rows", F.count(F.lit(1)).over(by_token)).where("least <> most")
+    # Blocks meet by their least member; of members with very many rows, by some of its tokens.
+    large = blocks.groupBy("least").agg(F.ceil(F.count(F.lit(1)) / SHARE).alias("salts")).where("salts > 1").orderBy(F.desc("salts"), "least").limit(100_000)
+    dealt = blocks.join(F.broadcast(large.withColumnRenamed("least", "l")), F.col("least") == F.col("l"), "left")
+    shares = F.pmod(F.xxhash64("least", F.pmod("token", F.coalesce("salts", F.lit(1)))), F.lit(1 << 20))
+    dealt = cut(_tiled(dealt.select("token", "alias", "rows", shares.alias("share")), "rows", "alias").select("share", "token", "low", "high", "alias"), "blocks")
+    points = valid.select(alias, "n_shingles", "point").dropDuplicates(["alias"])
+    members = dealt.select(F.col("share").alias("at"), F.col("alias").alias("member")).distinct().join(points.withColumnRenamed("alias", "member"), "member")
+    # Shares are grouped once more, so that a task's call handles many.
+    calls = max(200, min(20_000, dealt.count() // SHARE))
+    grouped = dealt.groupBy(F.pmod("share", F.lit(calls)).alias("call"))
+    connected = grouped.cogroup(members.groupBy(F.pmod("at", F.lit(calls)).alias("call"))).applyInPandas(_connect_blocks(percent), "a long, b long")
+    families = cut(connected_components(connected, "a", "b").withColumnRenamed("component", "family"), "families")
+
+    classes = valid.groupBy("cls").agg(F.min("doc_id").alias("rep"))
+    members = cut(classes.withColumn("node", F.xxhash64("cls")).join(families, "node").select("cls", "rep", "family"), "members")
+    size = members.groupBy("family").agg(F.count(F.lit(1)).alias("rows"))
+    near = maybe_among(d, "doc_id", members, "rep")  # other texts aren't shuffled
+    texts = near.join(members.select("cls", "rep"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("cls", "text")
+    # An id may stand for several texts: the one of the class is meant, one row of it.
+    texts = texts.mapInArrow(_rep_texts(), "cls binary, text string").dropDuplicates(["cls"])
+    placed = _tiled(members.join(size, "family"), "rows", "cls").join(texts, "cls")
+    count = members.count()
+    share = F.pmod(F.xxhash64("family", "low", "high"), F.lit(max(200, count // FAMILY_SHARE)))
+    links = placed.select(share.alias("share"), "family", "low", "high", "cls", "text").groupBy("share").applyInPandas(_verify_families(percent), "a binary, b binary")
+    found = connected_components(links, "a", "b")
 
     top = classes.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", F.coalesce("component", "cls").alias("component"))
     ids = top.groupBy("component").agg(F.min("rep").alias("component_id"))
