@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from parlance.llm import decontamination, line_dedup, lm_scoring, ngram_join, packing, quality, sharding, token_files, url_filter
+from parlance.llm import chat_format, decontamination, line_dedup, lm_scoring, ngram_join, packing, quality, sharding, token_files, url_filter
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_sharding": sharding.op2_sharding,
+    "op3_chat_formatting": chat_format.op3_chat_formatting,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_quality_rules": quality.op6_quality_rules,
@@ -18,6 +19,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_decontamination": decontamination.decontamination_sql(),
+    "op3_chat_formatting": chat_format.OP3_SQL,
     "op5_url_filter": url_filter.OP5_SQL,
     "op6_quality_rules": quality.quality_sql(),
     "op10_ngram_jaccard_join": ngram_join.near_duplicates_sql(),
