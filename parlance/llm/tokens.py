@@ -10,11 +10,18 @@ from __future__ import annotations
 
 import functools
 import os
+import re
+from array import array
 
 import numpy as np
 
 #: Chunks whose ids a worker keeps (of either kind); then it starts afresh. This bounds memory, not results.
-KEPT_CHUNKS = 400_000
+KEPT_CHUNKS = 700_000
+#: A word whose pieces are plain: Latin letters (in composed form), then perhaps marks.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%$#&*|]*)")
+#: Byte-level BPE writes each byte as a character: printable ones as themselves, the others, in order, from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_CHARS = {b: b if b in _PRINTABLE else 256 + sum(x not in _PRINTABLE for x in range(b)) for b in range(256)}
 U32 = np.dtype("<u4")
 
 
@@ -36,6 +43,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.spaced = spaced
         self.parts: dict[str, bytes] = {}  # by what stands between two spaces
@@ -46,11 +54,23 @@ class Encoder:
         known = self.strings
         if len(known) > KEPT_CHUNKS:
             known.clear()
-        new = [s for s in dict.fromkeys(strings) if s not in known]
+        new = []
+        for s in dict.fromkeys(strings):
+            if s not in known:
+                # One plain piece needs the model alone, not the splitting before it.
+                if (m := PLAIN.fullmatch(s, 1 if self.spaced and s[0] == " " else 0)) and not m[2]:
+                    known[s] = self._piece(s)
+                else:
+                    new.append(s)
         if new:
             known.update(zip(new, (np.array(e.ids, U32).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
         return [known[s] for s in strings]
 
+    def _piece(self, s: str) -> bytes:
+        s = s if self.spaced else s.lower()
+        chars = s.replace(" ", "Ġ") if s.isascii() else s.encode().decode("latin1").translate(BYTE_CHARS)
+        return array("I", [t.id for t in self.model.tokenize(chars)]).tobytes()
+
     @staticmethod
     def _chunks(parts: list[str]) -> list[str]:
         """parts: a text split at spaces. Chunks with their leading space, cut only where the space is the
@@ -73,6 +93,14 @@ class Encoder:
             return [" " + lines[0], *(y for x in lines[1:] for y in ("\n", x))]
         return [" " + part]
 
+    def _pieces(self, part: str) -> list[str]:
+        """Strings whose ids, one after another, are those of a part with the space before it."""
+        out = []
+        for s in self._lines(part) if self.spaced else [part]:
+            m = PLAIN.fullmatch(s, 1 if s[:1] == " " else 0)
+            out += [s[: m.end(1)], m[2]] if m and m[2] else [s]
+        return out
+
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
@@ -92,7 +120,7 @@ class Encoder:
             if len(known) > KEPT_CHUNKS:
                 known.clear()
                 new = list(dict.fromkeys(rest))
-            cut = [self._lines(p) for p in new] if self.spaced else [[p] for p in new]
+            cut = [self._pieces(p) for p in new]
             each = iter(self._encode([s for c in cut for s in c]))
             known.update((p, b"".join([next(each) for _ in c])) for p, c in zip(new, cut, strict=True))
             found = [known[p] for p in rest]
