@@ -33,8 +33,8 @@ from parlance.llm.common import cut, documents, free_name, maybe_among
 from parlance.llm.components import connected_components
 
 SHINGLE = 5
-#: Groups of a count vector.
-GROUPS = 64
+#: Groups of a count vector: for sets of up to 512, and at most; between, one for every 4 to 8 shingles.
+GROUPS, MOST_GROUPS = 64, 4096
 #: A shingle in the prefixes of more documents than this comes late in the order; so many such are known.
 FREQUENT, KNOWN_FREQUENT = 128, 500_000
 #: Members of a block or family in one tile, and rows that one task's share of blocks aims at.
@@ -91,8 +91,13 @@ def prefix(ordered: np.ndarray, percent: int, late: np.ndarray) -> np.ndarray:
     return ordered[:n]
 
 
-def counts(ordered: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    return np.bincount((ordered & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype("<u4")
+def groups_for(n: int) -> int:
+    """A power of 2, so that points of different lengths can be folded to the same groups."""
+    return min(MOST_GROUPS, max(GROUPS, 1 << max(0, (n - 1).bit_length() - 3)))
+
+
+def counts(ordered: np.ndarray, groups: int) -> np.ndarray:
+    return np.bincount((ordered & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype("<u2")
 
 
 def _class(ordered: np.ndarray) -> bytes:
@@ -119,7 +124,7 @@ def _describe(percent: int, late):
                 s = shingles(t)
                 n.append(len(s))
                 cls.append(_class(s) if len(s) else None)
-                points.append(counts(s).tobytes())
+                points.append(counts(s, groups_for(len(s))).tobytes())
                 prefixes.append(prefix(s, percent, last).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [b["doc_id"], pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(points, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
@@ -194,7 +199,8 @@ def _connect_blocks(percent: int):
     def run(blocks: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         members = members.drop_duplicates("member").sort_values("member", ignore_index=True)
         alias, sizes = members["member"].to_numpy(), members["n_shingles"].to_numpy()
-        points = np.frombuffer(b"".join(members["point"]), "<u4").reshape(-1, GROUPS).astype(np.int32)
+        points = [np.frombuffer(x, "<u2").astype(np.int32) for x in members["point"]]
+        groups = np.array([len(x) for x in points])
         sets, out, seen = _Sets(len(alias)), [], set()
         blocks = blocks.sort_values(["token", "low", "high"], kind="stable")
         place = np.searchsorted(alias, blocks["alias"].to_numpy())
@@ -205,10 +211,15 @@ def _connect_blocks(percent: int):
             if len({sets.find(i) for i in block.tolist()}) < 2 or (mark := block.tobytes()) in seen:
                 continue
             seen.add(mark)
-            for i, near in _bounded_pairs(points[block], sizes[block], percent):
-                for j in near.tolist():
-                    if sets.join(int(block[i]), int(block[j])):
-                        out.append((alias[block[i]], alias[block[j]]))
+            # Sizes of a pair differ by a quarter at most, so their numbers of groups are equal or neighbours.
+            for g in np.unique(groups[block]):
+                some = block[(groups[block] == g) | (groups[block] == 2 * g)]
+                if len({sets.find(i) for i in some.tolist()}) > 1:
+                    folded = np.stack([points[i].reshape(-1, g).sum(axis=0) for i in some])
+                    for i, near in _bounded_pairs(folded, sizes[some], percent):
+                        for j in near.tolist():
+                            if sets.join(int(some[i]), int(some[j])):
+                                out.append((alias[some[i]], alias[some[j]]))
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
     return run
@@ -283,8 +294,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, key: str = "doc_id", tex
     members = dealt.select(F.col("share").alias("at"), F.col("alias").alias("member")).distinct().join(points.withColumnRenamed("alias", "member"), "member")
     # Shares are grouped once more, so that a task's call handles many.
     calls = max(200, min(20_000, dealt.count() // SHARE))
-    grouped = dealt.groupBy(F.pmod("share", F.lit(calls)).alias("call"))
-    connected = grouped.cogroup(members.groupBy(F.pmod("at", F.lit(calls)).alias("call"))).applyInPandas(_connect_blocks(percent), "a long, b long")
+    # Partitions are numbered: small ones, joined up by size, would make few and long tasks.
+    blocks_by_call = dealt.withColumn("call", F.pmod("share", F.lit(calls))).repartition(calls, "call").groupBy("call")
+    members_by_call = members.withColumn("call", F.pmod("at", F.lit(calls))).repartition(calls, "call").groupBy("call")
+    connected = blocks_by_call.cogroup(members_by_call).applyInPandas(_connect_blocks(percent), "a long, b long")
     families = cut(connected_components(connected, "a", "b").withColumnRenamed("component", "family"), "families")
 
     classes = valid.groupBy("cls").agg(F.min("doc_id").alias("rep"))
@@ -296,8 +309,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, key: str = "doc_id", tex
     texts = texts.mapInArrow(_rep_texts(), "cls binary, text string").dropDuplicates(["cls"])
     placed = _tiled(members.join(size, "family"), "rows", "cls").join(texts, "cls")
     count = members.count()
-    share = F.pmod(F.xxhash64("family", "low", "high"), F.lit(max(200, count // FAMILY_SHARE)))
-    links = placed.select(share.alias("share"), "family", "low", "high", "cls", "text").groupBy("share").applyInPandas(_verify_families(percent), "a binary, b binary")
+    shares = max(200, count // FAMILY_SHARE)
+    share = F.pmod(F.xxhash64("family", "low", "high"), F.lit(shares))
+    links = placed.select(share.alias("share"), "family", "low", "high", "cls", "text").repartition(min(shares, 20_000), "share").groupBy("share").applyInPandas(_verify_families(percent), "a binary, b binary")
     found = connected_components(links, "a", "b")
 
     top = classes.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", F.coalesce("component", "cls").alias("component"))
