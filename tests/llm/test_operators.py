@@ -97,7 +97,7 @@ def test_sharding(docs, rows, empty):
     total = Counter(r.source for r in got)
     for v in by_shard.values():
         for source, n in Counter(r.source for r in v).items():
-            assert abs(n - total[source] / 5) <= 2
+            assert abs(n - total[source] / 5) <= 3  # by sources of a few rows, whose fractions are coarse
     assert sharding.assign_shards(empty, 5).count() == 0
 
 
