@@ -14,14 +14,13 @@ from parlance.llm.decontamination import decontaminate
 from parlance.llm.line_dedup import dedup_lines
 from parlance.llm.ngram_join import keep_one_per_group
 from parlance.llm.packing import pack_documents
-from parlance.llm.quality import judge_quality
+from parlance.llm.quality import keep_good
 from parlance.llm.tokens import tokenizer_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
-    verdict = free_name(docs, "quality")
-    return judge_quality(docs, out=verdict).where(f"{verdict}.kept").drop(verdict)
+    return keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

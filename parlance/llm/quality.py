@@ -13,7 +13,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.common import documents
+from parlance.llm.common import documents, free_name
 
 # Shares of character classes in running text of each language.
 CLASSES = ("upper", "digit", "space", "punct", "beyond_ascii", "symbol", "lower")
@@ -133,6 +133,15 @@ def judge_quality(docs: DataFrame, text: str = "text", lang: str = "lang", out:
     )
 
 
+def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """Rows of docs that judge_quality keeps, with the columns of docs."""
+    verdict = free_name(docs, "quality")
+    judged = judge_quality(docs, text, lang, verdict)
+    # A filter on the verdict itself would be pushed below all steps of its computation, each of them written out as
+    # often as it is used, which no planner ends. It isn't pushed below a row made from the verdict.
+    return judged.select(*docs.columns, F.explode(F.array(f"{verdict}.kept")).alias(verdict)).where(verdict).drop(verdict)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_quality(documents(spark, sf_dir).select("doc_id", "text", "lang"))
     return judged.select("doc_id", *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
