@@ -226,6 +226,12 @@ def test_quality_divergence(spark):
 # --- packing
 
 
+def test_keep_good(docs):
+    kept = [r.doc_id for r in quality.judge_quality(docs, out="judged").collect() if r.judged.kept]
+    good = quality.keep_good(docs)
+    assert good.columns == docs.columns and sorted(map(str, kept)) == sorted(str(r.doc_id) for r in good.collect())
+
+
 def test_lower_bound_and_best_fit():
     rng = np.random.default_rng(1)
     for _ in range(50):
