@@ -157,6 +157,27 @@ def test_line_dedup(spark, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_template_family(spark):
+    """Lines of one template: links that do not go through the least of a bucket, and components that are not all similar."""
+    rng = random.Random(11)
+    words = [prose(rng, 1, 100_000) for _ in range(9)]
+    lines = sorted({f"this file of {rng.choice(words)} is licensed under the {rng.choice(words)} terms, see {rng.choice(words)} for all of it" for _ in range(500)})
+    d = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string")
+    bands = {r.pos: r.bands for r in line_dedup.signatures(line_dedup._lines(d, "doc_id", "text").drop("row", "pos").withColumnRenamed("doc", "pos")).collect()}
+    up = list(range(len(lines)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(lines)), 2):
+        if set(bands[i]) & set(bands[j]) and char_jaccard(lines[i], lines[j]) >= 0.8:
+            up[max(find(i), find(j))] = min(find(i), find(j))
+    left = {r.doc_id for r in line_dedup.dedup_lines(d).collect() if r.lines.n_removed == 0}
+    assert 1 < len({find(i) for i in up}) < len(lines) and left == {i for i in up if find(i) == i}
+
+
 # --- URL filter
 
 
