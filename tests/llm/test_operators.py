@@ -244,6 +244,25 @@ def test_quality_divergence(spark):
     assert got[3].class_distance <= got[1].class_distance
 
 
+def test_quality_words(spark):
+    """Without common words or with those of another language a text goes; with its own it stays."""
+    rng = random.Random(6)
+
+    def text(name):
+        words = quality.COMMON_WORDS.get(name, {})
+        common = [w for w, s in words.items() for _ in range(s)]
+        out = common + [prose(rng, 1, 5000) if not words else "Wort" + rng.choice("abcdefgh") * 3 for _ in range(1000 - len(common))]
+        rng.shuffle(out)
+        return " ".join(out)
+
+    made = [(own, lang, text(own)) for own in [*quality.COMMON_WORDS, "none"] for lang in [*quality.COMMON_WORDS, None]]
+    d = spark.createDataFrame(made, "own string, lang string, text string")
+    got = {(r.own, r.lang): r.quality.word_distance <= quality.MAX_WORD_DISTANCE for r in quality.judge_quality(d).collect()}
+    # Spanish labelled French is nearer than some good Spanish documents are to Spanish; the rule cannot tell it.
+    del got["es", "fr"]
+    assert got == {(own, lang): own != "none" and lang in (own, None) for own, lang in got}
+
+
 # --- packing
 
 
