@@ -127,8 +127,8 @@ def _describe(percent: int, late):
                 points.append(counts(s, groups_for(len(s))).tobytes())
                 prefixes.append(prefix(s, percent, last).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(points, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "cls", "point", "prefix"],
+                [b["doc_id"], b["row"], pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(points, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
+                names=["doc_id", "row", "n_shingles", "cls", "point", "prefix"],
             )
 
     return run
@@ -271,13 +271,22 @@ def near_duplicates(docs: DataFrame, percent: int = 80, key: str = "doc_id", tex
     texts have no shingles and link with nothing; each is its own component. Rows with a null id take part, but
     give no component its id. Repeated rows fall into one component. Other columns are not read.
     """
+    return _grouped(docs, percent, key, text, frequent).select("doc_id", "n_shingles", "component_id")
+
+
+def _row_key(key: str, text: str):
+    return F.xxhash64(F.col(key), F.col(text))
+
+
+def _grouped(docs: DataFrame, percent: int, key: str, text: str, frequent: int = FREQUENT) -> DataFrame:
+    """near_duplicates with row (hash of key and text) and component (a class; null for a text without words)."""
     spark = docs.sparkSession
-    d = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    d = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), _row_key(key, text).alias("row"))
     often = d.select("text").mapInArrow(_prefix_counts(percent), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > frequent)
     # Only the order of shingles hangs on these, not the result.
     late = np.array([r.token for r in often.orderBy(F.desc("n"), "token").limit(KNOWN_FREQUENT).collect()], np.int64).view(np.uint64)
     shared = spark.sparkContext.broadcast(np.sort(late))
-    described = cut(d.mapInArrow(_describe(percent, shared), "doc_id long, n_shingles long, cls binary, point binary, prefix array<long>"), "described")
+    described = cut(d.mapInArrow(_describe(percent, shared), "doc_id long, row long, n_shingles long, cls binary, point binary, prefix array<long>"), "described")
 
     # An alias of 8 bytes names a class while candidates are sought; two classes of one alias would only meet once more.
     alias = F.xxhash64("cls").alias("alias")
@@ -316,19 +325,20 @@ def near_duplicates(docs: DataFrame, percent: int = 80, key: str = "doc_id", tex
 
     top = classes.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", F.coalesce("component", "cls").alias("component"))
     ids = top.groupBy("component").agg(F.min("rep").alias("component_id"))
-    answer = top.join(ids, "component").select("cls", "component_id")
-    joined = described.select("doc_id", "n_shingles", "cls").join(answer, "cls", "left")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    answer = top.join(ids, "component").select("cls", "component", "component_id")
+    joined = described.select("doc_id", "row", "n_shingles", "cls").join(answer, "cls", "left")
+    return joined.select("doc_id", "row", "n_shingles", "component", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one_per_group(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each component, that with the least id; of its repeated rows one. Rows whose
-    text has no words all stay."""
-    groups = near_duplicates(docs, percent, key, text).where("n_shingles > 0")
-    drop, has = free_name(docs, "drop_id"), free_name(docs, "has_words")
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(drop)).distinct()
-    left = docs.join(gone, docs[key] == gone[drop], "left_anti").withColumn(has, F.coalesce(F.col(text), F.lit("")).rlike(r"[^ \x09-\x0D]"))
-    return left.where(~F.col(has)).unionByName(left.where(F.col(has)).dropDuplicates([key])).drop(has)
+    """docs with one row of each component: that with the least id, a null id last, and of several texts under that id the
+    one with the least hash; of its repeated rows one. Rows whose text has no words all stay."""
+    groups = _grouped(docs, percent, key, text).where("n_shingles > 0")
+    row, kept, has = free_name(docs, "row_key"), free_name(docs, "kept_row"), free_name(docs, "has_words")
+    least = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("x")).select(F.col("x.row").alias(kept))
+    d = docs.withColumn(row, _row_key(key, text)).withColumn(has, F.coalesce(F.col(text), F.lit("")).rlike(r"[^ \x09-\x0D]"))
+    stay = d.where(F.col(has)).join(least, F.col(row) == F.col(kept), "left_semi").dropDuplicates([row])
+    return d.where(~F.col(has)).unionByName(stay).drop(row, has)
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

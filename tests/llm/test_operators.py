@@ -444,6 +444,17 @@ def test_keep_one(docs, rows):
     assert left[200] == left[201] == left[202] == 1 and left[203] == 1 and left[204] == 0 and left[3] == 1
 
 
+def test_keep_one_by_text(spark):
+    """Distinct texts under a null id or under one repeated id are judged one by one; a null-id copy of a kept text goes."""
+    rng = random.Random(12)
+    a, b, c, e, f, g = (prose(rng, 30, 5000) for _ in range(6))
+    made = [(None, a), (None, b), (None, b), (None, c), (1, c), (2, e), (7, e), (7, f), (7, g), (8, g), (None, ""), (None, None)]
+    d = spark.createDataFrame([(k, t, "x") for k, t in made], "doc_id long, text string, row_key string")
+    left = ngram_join.keep_one_per_group(d)
+    assert left.columns == d.columns
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter([(None, a), (None, b), (1, c), (2, e), (7, f), (7, g), (None, ""), (None, None)])
+
+
 def test_tree_finds_all():
     rng = np.random.default_rng(2)
     points = rng.poisson(3, (300, ngram_join.GROUPS))
