@@ -1,357 +1,575 @@
 """Language-model scores by online logistic context mixing.
 
-A token is a path of binary decisions: the Huffman code of its place among the commonest training tokens, or
-of an escape followed by its bytes, bit by bit. Every decision has several predictors, counts of earlier
-decisions in slots that are found by hashing a context (decision alone, with one and with two tokens before;
-inside a spelled word with one to three bytes). A mixer adds their logits with weights that are gated by how much
-the longer contexts have seen; weights follow each document's own decisions block by block, and a last map from
-the mixed probability to what it has been worth so far refines it. All of a score is therefore coding cost:
-total bits, and bits per byte.
-
-Training only counts, so tasks count on their own and blocks of slots are summed after one shuffle; it grows with
-the corpus. The model has a fixed number of slots and vocabulary (parameters), and is read by workers from the
-shared folder. Token counts for the unigram base are exact: those beyond the vocabulary are joined, not broadcast.
+A token is a path of binary decisions: a Huffman code of the words that follow the contexts of one group, or of an
+escape, after which the word is spelled byte by byte, bit by bit. Each decision has three predictors, the counts of
+what training did there in a context: any, the word before, the two words before (letters: any, one byte, two bytes).
+A mixer adds their logits with weights that are gated by how much the two longer contexts have seen, and a map
+refines the mixed chance by what such chances have been worth. Weights and map are learned online, from training
+tokens alone, each predicted with its own count left out. A score is the total coding cost.
+
+All contexts of a token hold the word before it, so tokens are dealt to groups by a hash of that word, and each group
+of some million tokens is a whole model of its contexts: what the model gathers grows with the corpus, and no task
+holds more than one group. A word before that is too common for one group is dealt by the two (if both are common:
+three) words before. Tasks send packed columns, a row per group, and get back what each document's tokens cost.
+
+Token counts for the unigram base are exact: those beyond the commonest words are joined, not broadcast. The letter
+model has at most 2 ** 24 counts, whatever the corpus.
 """
 
 from __future__ import annotations
 
 import functools
 import heapq
+import io
 import math
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.common import cut, documents, shared_dir
+from parlance.llm.common import cut, documents
 
+#: Words whose counts are broadcast, at most. The rest are joined: this bounds memory, not results.
 VOCABULARY = 1 << 17
-#: Slots (as powers of 2) of the contexts: decision, one and two tokens; one, two and three bytes.
-BITS = (18, 21, 22, 16, 20, 21)
-STARTS = np.concatenate(([0], np.cumsum([1 << b for b in BITS])))
-SLOTS = int(STARTS[-1])
-SLOT_BLOCK = 1 << 13
-#: Tokens that are worked on at once, and decisions between two steps of a document's weights.
-CHUNK, STEP = 30_000, 512
-END = 0  # the end token's hash
-A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+#: Tokens that a group aims at, and the share of them from which on a word before is dealt by more words.
+GROUP_TOKENS, HOT = 2_500_000, 8
+#: Bytes of text that a task packs at once, and distinct events that are worked on at once.
+FLUSH_BYTES, BLOCK = 8_000_000, 60_000
+A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+END = 0  # place and hash of the end token, which also stands before a document's first word
+DEPTH = 52  # bits of a code, left-aligned
 #: Weight shares of a context by what it has seen: nothing, 1-3, 4-31, more.
 TRUST = np.array([0.0, 0.2, 0.5, 0.8], np.float32)
+LEVELS = (1, 4, 32)
 MAP = 24  # intervals of the refining map
+LIMIT = 12.0  # of a logit
+#: Kinds of counts: words by hash, letters, all tokens of all rows.
+WORD, LETTERS, ALL = range(3)
+SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+#: Words hash as polynomials over random numbers of their bytes, modulo 2 ** 64.
+BYTES = np.random.default_rng(9).integers(1, 1 << 63, 256).astype(np.uint64)
 
 
 def held_out(key: str = "doc_id"):
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 1
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    return (text or b"").lower().split()
-
-
-class Hashes(dict):
-    def __missing__(self, w: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        self[w] = h = xxhash.xxh3_64_intdigest(w) or 1
-        return h
+@functools.cache
+def _low_powers(of: int) -> np.ndarray:
+    return np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full((1 << 16) - 1, of, np.uint64))))
+
+
+@functools.cache
+def _high_powers(of: int, n: int) -> np.ndarray:
+    return np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(n, pow(of, 1 << 16, 1 << 64), np.uint64))))
+
+
+def _powers(of: int, n: int) -> np.ndarray:
+    """of to the power of 0 to n - 1, modulo 2 ** 64."""
+    return np.multiply.outer(_high_powers(of, n >> 16), _low_powers(of)).ravel()[:n]
+
+
+def _power(of: int, at: np.ndarray) -> np.ndarray:
+    return _high_powers(of, int(at.max(initial=0)) >> 16)[at >> 16] * _low_powers(of)[at & 0xFFFF]
+
+
+class Tokens:
+    """Tokens of texts, an end after each text's words. numbers: of the distinct tokens, by place; 0 is the end. Of those,
+    hashes and the places of one word's bytes."""
+
+    def __init__(self, texts: pa.Array):
+        texts = texts.cast(pa.large_binary()).fill_null(b"")
+        bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+        bounds = bounds - bounds[0]
+        self.bytes = LOWER[raw]
+        gap = SPACE[raw]
+        new = np.zeros(len(raw) + 1, bool)
+        new[bounds] = True
+        starts = np.flatnonzero(~gap & (new[:-1] | np.concatenate(([True], gap[:-1]))[: len(gap)]))
+        ends = np.flatnonzero(~gap & (new[1:] | np.concatenate((gap[1:], [True]))[: len(gap)])) + 1
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTES[self.bytes] * _powers(int(A), len(raw)))))
+        h = (sums[ends] - sums[starts]) * _power(pow(int(A), -1, 1 << 64), starts) + (ends - starts).astype(np.uint64) * B
+        h = (h ^ (h >> np.uint64(32))) * B
+        h = (h ^ (h >> np.uint64(29))) | np.uint64(1)  # 0 is the end
+        kinds, first, number = np.unique(h, return_index=True, return_inverse=True)
+        self.hash = np.concatenate((np.zeros(1, np.uint64), kinds))
+        self.word_starts, self.word_ends = starts[first], ends[first]
+        doc = np.searchsorted(bounds, starts, "right") - 1
+        self.n_words = np.bincount(doc, minlength=len(texts))
+        self.n_bytes = np.bincount(doc, ends - starts, len(texts)).astype(np.int64) + self.n_words
+        self.first = np.cumsum(self.n_words + 1) - self.n_words - 1
+        self.numbers = np.zeros(len(starts) + len(texts), np.int64)
+        self.numbers[np.arange(len(starts)) + doc] = number + 1
+        self.doc = np.repeat(np.arange(len(texts)), self.n_words + 1)
+
+    def letters(self) -> tuple[np.ndarray, ...]:
+        """Byte before, the one before that, byte, and number of the word, for the bytes of the distinct words and a space
+        after each."""
+        size = self.word_ends - self.word_starts + 1
+        word = np.repeat(np.arange(len(size)), size)
+        place = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
+        byte = np.where(place < size[word] - 1, self.bytes[np.minimum(self.word_starts[word] + place, max(len(self.bytes) - 1, 0))], 32).astype(np.int64)
+        one = np.where(place > 0, np.roll(byte, 1), 32)
+        return one, np.where(place > 1, np.roll(byte, 2), 32), byte, word
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with about FLUSH_BYTES of text at a time, whatever the batches."""
+    held, n = [], 0
+    for b in batches:
+        size = np.concatenate(([0], np.cumsum(pc.binary_length(b["text"]).fill_null(0).to_numpy())))
+        start = 0
+        while start < b.num_rows:
+            stop = max(start + 1, int(np.searchsorted(size, size[start] + FLUSH_BYTES - n, "right")) - 1)
+            held.append(b.slice(start, stop - start))
+            n += int(size[stop] - size[start])
+            start = stop
+            if n >= FLUSH_BYTES or start < b.num_rows:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        seen: Counter[bytes] = Counter()
-        n = 0
-        for t in b["text"].cast(pa.binary()).to_pylist():
-            seen.update(tokens(t))
-            n += 1
-        h = np.array([END, *(xxhash.xxh3_64_intdigest(w) or 1 for w in seen)], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([n, *seen.values()], pa.int64())], names=["token", "n"])
+    """Counts of training rows' words (by hash, the end too) and letters, and of all tokens of all rows."""
+    for b in _pieces(batches):
+        t = Tokens(b["text"])
+        trained = ~b["held_out"].to_numpy(zero_copy_only=False)
+        n = np.bincount(t.numbers, trained[t.doc], len(t.hash)).astype(np.int64)
+        one, two, byte, word = t.letters()
+        triple, place = np.unique((two << 16) | (one << 8) | byte, return_inverse=True)
+        of_triple = np.bincount(place, n[1:][word], len(triple)).astype(np.int64)
+        kind = np.repeat([WORD, LETTERS, ALL], [len(n), len(triple), 1])
+        key = np.concatenate((t.hash.view(np.int64), triple, [0]))
+        count = np.concatenate((n, of_triple, [len(t.numbers)]))
+        some = count > 0
+        yield pa.RecordBatch.from_arrays([pa.array(kind[some], pa.int32()), pa.array(key[some]), pa.array(count[some])], names=["kind", "key", "n"])
 
 
 class Code:
-    """Huffman code of symbols 0 to n - 1 as paths of (decision, bit)."""
+    """Huffman code of symbols 0 to n - 1. For symbol s, decision start[s] + d is its d-th: bits, and how often training
+    (with the given weights) took either side there (none, ones)."""
 
     def __init__(self, weights: list[int]):
         n = len(weights)
         heap = [(w, i) for i, w in enumerate(weights)]
         heapq.heapify(heap)
-        parent, side = np.zeros(2 * n, np.int32), np.zeros(2 * n, np.uint8)
-        new = n
-        while len(heap) > 1:
-            for bit in (0, 1):
-                w, i = heapq.heappop(heap)
-                parent[i], side[i] = new, bit
-                total = w if bit == 0 else total + w
-            heapq.heappush(heap, (total, new))
-            new += 1
-        nodes, bits, length = [], [], []
-        for i in range(n):
-            path = []
-            while i != new - 1:
-                path.append((parent[i] - n, side[i]))
-                i = parent[i]
-            nodes += [p for p, _ in reversed(path)]
-            bits += [s for _, s in reversed(path)]
-            length.append(len(path))
-        self.nodes, self.bits, self.length = np.array(nodes, np.uint64), np.array(bits, np.uint8), np.array(length, np.int64)
+        up, at_side, total = [0] * (2 * n), [0] * (2 * n), [*weights] + [0] * n
+        for new in range(n, 2 * n - 1):
+            w, i = heapq.heappop(heap)
+            v, j = heap[0]
+            up[i] = up[j] = new
+            at_side[j] = 1
+            total[new] = w + v
+            heapq.heapreplace(heap, (w + v, new))
+        parent, side, weight = (np.array(x, np.int64) for x in (up, at_side, total))
+        at, levels = np.arange(n), []
+        while len(going := np.flatnonzero(at != 2 * n - 2)) and n > 1:  # from the leaves up
+            levels.append((going, side[at[going]], weight[at[going]], weight[parent[at[going]]]))
+            at[going] = parent[at[going]]
+        self.length = np.zeros(n, np.int64)
+        for going, *_ in levels:
+            self.length[going] += 1
         self.start = np.cumsum(self.length) - self.length
-
-
-class Model:
-    """vocabulary: hashes of the commonest tokens and their counts; symbol 0 is the escape."""
-
-    def __init__(self, vocabulary: list[tuple[int, int]], rest: int, n_train: int, n_distinct: int):
-        self.symbol = {int(np.int64(h).view(np.uint64)): i + 1 for i, (h, _) in enumerate(vocabulary)}
-        self.code = Code([rest + 1, *(c for _, c in vocabulary)])
-        denominator = math.log10(n_train + 0.5 * (n_distinct + 1))
-        self.base = np.array([0.0, *(math.log10(c + 0.5) - denominator for _, c in vocabulary)])
-        self.denominator = denominator
-
-    def known(self) -> dict[bytes, int]:
-        symbol = self.symbol
-
-        class Symbols(dict):
-            def __missing__(self, w: bytes) -> int:
-                if len(self) > 300_000:  # bounds the worker's memory
-                    self.clear()
-                self[w] = s = symbol.get(xxhash.xxh3_64_intdigest(w) or 1, 0)
-                return s
-
-        return Symbols()
-
-    def decisions(self, symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Slots (3 rows), bits, and the token of each decision. first: tokens that begin a document."""
-        code = self.code
-        n = code.length[symbols]
-        token = np.repeat(np.arange(len(symbols)), n)
-        at = np.arange(len(token)) + np.repeat(code.start[symbols] - (np.cumsum(n) - n), n)
-        node = code.nodes[at]
-        none = np.zeros(1, np.uint64)
-        one = np.concatenate((none, (symbols[:-1] + 1).astype(np.uint64)))
-        one[first] = 0
-        two = np.concatenate((none, one[:-1]))
-        two[first] = 0
-        before = (one * B)[token]
-        both = (one * C + two * B)[token]
-        h1 = (node * A + before) * C
-        h2 = (node * B + both) * A
-        slots = np.stack([node, (h1 >> np.uint64(64 - BITS[1])) + np.uint64(STARTS[1]), (h2 >> np.uint64(64 - BITS[2])) + np.uint64(STARTS[2])]).astype(np.int64)
-        return slots, code.bits[at], token
-
-
-def spelling(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same for the bytes of words, each ended by a space; and the word of each decision."""
-    text = np.frombuffer(b" ".join(words) + b" ", np.uint8).astype(np.uint64)
-    space = np.uint64(32)
-    one = np.concatenate(([space], text[:-1]))
-    two = np.where(one == space, space, np.concatenate(([space], one[:-1])))
-    three = np.where(two == space, space, np.concatenate(([space], two[:-1])))
-    word = np.cumsum(one == space) - 1
-    k = np.arange(8, dtype=np.uint64)
-    bits = ((text[:, None] >> (np.uint64(7) - k)) & np.uint64(1)).astype(np.uint8).ravel()
-    node = ((np.uint64(1) << k) | (text[:, None] >> (np.uint64(8) - k))).ravel()
-    one, two, three = (np.repeat(x, 8) for x in (one, two, three))
-    h2 = (node * A + one * B + two * C) * A
-    h3 = (node * B + one * C + two * A + three * (A ^ C)) * B
-    s1 = (one << np.uint64(8)) | node
-    slots = np.stack([s1 + np.uint64(STARTS[3]), (h2 >> np.uint64(64 - BITS[4])) + np.uint64(STARTS[4]), (h3 >> np.uint64(64 - BITS[5])) + np.uint64(STARTS[5])]).astype(np.int64)
-    return slots, bits, np.repeat(word, 8)
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, int, list[list[bytes]]]]:
-    """Runs of a batch's rows with about CHUNK tokens: batch, first row, row after the last, tokens."""
-    for b in batches:
-        texts, held, n, start = b["text"].cast(pa.binary()), [], 0, 0
-        for i in range(b.num_rows):
-            held.append(tokens(texts[i].as_py()))
-            n += len(held[-1]) + 1
-            if n >= CHUNK:
-                yield b, start, i + 1, held
-                held, n, start = [], 0, i + 1
-        if held:
-            yield b, start, b.num_rows, held
-
-
-def _symbols(model: Model, known: dict, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all documents' tokens with their ends, and where documents begin."""
-    end = model.symbol.get(END, 0)
-    flat: list[int] = []
-    first = []
-    for words in docs:
-        first.append(len(flat))
-        flat += [known[w] for w in words]
-        flat.append(end)
-    return np.array(flat, np.int64), np.array(first, np.int64)
-
-
-def _train(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        known = model.known()
-        n = np.zeros(2 * SLOTS, np.int32)
-        for _, _, _, docs in _chunks(batches):
-            symbols, first = _symbols(model, known, docs)
-            slots, bits, _ = model.decisions(symbols, first)
-            for s in slots:
-                np.add.at(n, 2 * s + bits, 1)
-            rare = Counter(w for words in docs for w in words if not known[w])
-            if rare:
-                slots, bits, word = spelling(list(rare))
-                times = np.array(list(rare.values()), np.int32)[word]
-                for s in slots:
-                    np.add.at(n, 2 * s + bits, times)
-        n = n.reshape(-1, 2 * SLOT_BLOCK)
-        for block in np.flatnonzero(n.any(axis=1)):
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([zlib.compress(n[block].tobytes(), 1)], pa.binary())], names=["block", "counts"])
-
-    return run
-
-
-def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Memory follows the blocks of a task, not the number of counts that are added."""
-    total: dict[int, np.ndarray] = {}
-    for b in batches:
-        for block, raw in zip(b["block"].to_pylist(), b["counts"].to_pylist(), strict=True):
-            n = np.frombuffer(zlib.decompress(raw), np.int32).astype(np.int64)
-            total[block] = total[block] + n if block in total else n
-    for block, n in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([zlib.compress(n.tobytes(), 1)], pa.binary())], names=["block", "counts"])
-
-
-@functools.lru_cache(maxsize=1)
-def _tables(folder: str) -> tuple[np.ndarray, np.ndarray]:
-    """Logit and trust level of each slot."""
-    import pyarrow.parquet as pq
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(folder)
-    logit, level = np.zeros(SLOTS, np.float32), np.zeros(SLOTS, np.uint8)
-    for f in store.get_file_info(fs.FileSelector(path)):
-        if f.path.endswith(".parquet"):
-            table = pq.read_table(f.path, filesystem=store)
-            for block, raw in zip(table["block"].to_pylist(), table["counts"].to_pylist(), strict=True):
-                n = np.frombuffer(zlib.decompress(raw), np.int64).reshape(-1, 2)
-                part = slice(block * SLOT_BLOCK, (block + 1) * SLOT_BLOCK)
-                logit[part] = np.log((n[:, 1] + 0.4) / (n[:, 0] + 0.4))
-                level[part] = np.digitize(n.sum(axis=1), [1, 4, 32])
-    return logit, level
-
-
-def _start_weights() -> np.ndarray:
-    """By gate 4 * level of the longest context + level of the middle one; for short, middle, long."""
-    long, middle = np.meshgrid(TRUST, TRUST, indexing="ij")
-    w2 = long.ravel() * 0.8
-    w1 = (1 - w2) * middle.ravel()
-    return np.stack([1 - w1 - w2, w1, w2], axis=1).astype(np.float32)
-
-
-def mix_online(logits: np.ndarray, gates: np.ndarray, bits: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Cost in bits of each document. logits: 3 x decisions; starts and lengths: decisions of documents, which lie
-    one after another. Every probability uses only what came before its block in its own document."""
-    docs = len(starts)
-    w0 = _start_weights()
-    w = np.tile(w0, (docs, 1))  # row: doc * 16 + gate
-    seen, ones = np.zeros(docs * MAP, np.float32), np.zeros(docs * MAP, np.float32)
-    cost = np.zeros(docs)
-    for step in range(-(-int(lengths.max(initial=0)) // STEP)):
-        active = np.flatnonzero(lengths > step * STEP)
-        n = np.minimum(lengths[active] - step * STEP, STEP)
-        doc = np.repeat(active, n)
-        at = np.arange(len(doc)) + np.repeat(starts[active] + step * STEP - (np.cumsum(n) - n), n)
-        x, y, row = logits[:, at], bits[at].astype(np.float32), doc * 16 + gates[at]
-        weight = w[row]
-        z = np.clip(x[0] * weight[:, 0] + x[1] * weight[:, 1] + x[2] * weight[:, 2], -12, 12)
+        self.bits, self.ones, self.none = (np.zeros(int(self.length.sum()), np.int64) for _ in range(3))
+        self.value = np.zeros(n, np.int64)
+        for k, (going, bit, own, both) in enumerate(levels):
+            d = self.length[going] - 1 - k
+            place = self.start[going] + d
+            self.bits[place] = bit
+            self.ones[place] = np.where(bit > 0, own, both - own)
+            self.none[place] = np.where(bit > 0, both - own, own)
+            self.value[going] |= bit << (DEPTH - 1 - d)
+
+
+class Mixer:
+    """Gated weights of three predictors and the refining map; both are changed by learn alone."""
+
+    def __init__(self):
+        long, middle = np.meshgrid(TRUST, TRUST, indexing="ij")
+        w2 = long.ravel() * 0.8
+        w1 = (1 - w2) * middle.ravel()
+        self.weights = np.stack([1 - w1 - w2, w1, w2]).astype(np.float32)  # gate: 4 * level of the longest + of the middle context
+        self.steps = np.full((3, 16), 1e-3)
+        self.seen, self.ones = np.zeros(16 * MAP), np.zeros(16 * MAP)
+
+    @staticmethod
+    def inputs(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[np.ndarray], np.ndarray]:
+        """Logits and gate. counts: how often a decision was 0 and 1, for the short, middle and long context."""
+        x = [np.log((one + np.float32(0.4)) / (none + np.float32(0.4))) for none, one in counts]
+        (_, middle, long) = (sum(((none + one) >= n).view(np.int8) for n in LEVELS) for none, one in counts)
+        return x, (4 * long + middle).astype(np.intp)
+
+    def chance(self, x: list[np.ndarray], gate: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Chance of a 1, refined; the mixer's own; and its interval of the map."""
+        z = sum(self.weights[k][gate] * x[k] for k in range(3))
+        z = np.clip(z, -LIMIT, LIMIT)
         p = 1 / (1 + np.exp(-z))
-        interval = doc * MAP + ((z + 12) * (MAP / 24.001)).astype(np.int64)
-        refined = (ones[interval] + 32 * p) / (seen[interval] + 32)
-        chance = np.clip(np.where(y > 0, refined, 1 - refined), 1e-6, 1)
-        cost -= np.bincount(doc, np.log2(chance), docs)
-        seen += np.bincount(interval, minlength=docs * MAP).astype(np.float32)
-        ones += np.bincount(interval, y, docs * MAP).astype(np.float32)
-        error = y - p
-        times = np.bincount(row, minlength=docs * 16) + 64.0
+        interval = gate * MAP + ((z + np.float32(LIMIT)) * np.float32(MAP / (2.001 * LIMIT))).astype(np.intp)
+        trust = 32 / (self.seen + 32)
+        worth = (self.ones / (self.seen + 32)).astype(np.float32)[interval] + trust.astype(np.float32)[interval] * p
+        return np.clip((p + worth) / 2, np.float32(1e-5), np.float32(1 - 1e-5)), p, interval
+
+    def learn(self, x: list[np.ndarray], gate: np.ndarray, p: np.ndarray, interval: np.ndarray, bits: np.ndarray, times: np.ndarray) -> None:
+        """One step of all gates from decisions that training made so many times."""
+        error = (bits - p) * times
+        seen = np.bincount(interval, times, 16 * MAP)
+        n = seen.reshape(16, MAP).sum(axis=1) + 16
         for k in range(3):
-            w[:, k] += (0.25 * np.bincount(row, error * x[k], docs * 16) / times).astype(np.float32)
-    return cost
-
-
-def _spelling_costs(words: list[bytes], logit: np.ndarray, level: np.ndarray) -> np.ndarray:
-    if not words:
-        return np.zeros(0)
-    slots, bits, word = spelling(words)
-    w = _start_weights()[4 * level[slots[2]].astype(np.int64) + level[slots[1]]]
-    z = np.clip(sum(logit[slots[k]] * w[:, k] for k in range(3)), -9, 9)
-    return np.bincount(word, np.log2(1 + np.exp(np.where(bits > 0, -z, z))), len(words))
-
+            slope = np.bincount(gate, error * x[k], 16) / n
+            self.steps[k] += slope**2
+            self.weights[k] += (0.05 * slope / np.sqrt(self.steps[k])).astype(np.float32)
+        self.seen += seen
+        self.ones += np.bincount(interval, times * bits, 16 * MAP)
+
+
+def _common_bits(context: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """First bits that each code has in common with the one before it in the same context (-1: another context)."""
+    out = np.full(len(value), -1, np.int64)
+    out[1:] = np.where(context[1:] == context[:-1], DEPTH - np.frexp((value[1:] ^ value[:-1]).astype(float))[1], -1)
+    return out
+
+
+def _at_nodes(common: np.ndarray, bits: np.ndarray, times: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """How often training took 0 and 1 at the node of each code. Codes of one context that pass a node lie together."""
+    new = common < depth
+    first = np.flatnonzero(new)
+    run = np.cumsum(new) - 1
+    one = np.add.reduceat(times * bits, first)
+    both = np.add.reduceat(times, first)
+    return (both - one)[run], one[run]
+
+
+def event_bits(one: np.ndarray, two: np.ndarray, token: np.ndarray, times: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What events of a group cost: bits, bits with one count of the event itself left out, and whether it escapes
+    (its spelling then comes on top). one, two: the word before and the one before that; times: how often training has
+    the event (0: held out). Words are numbered from 0, the end token."""
+    trained = np.bincount(token, times, n_words)
+    listed = trained >= 2  # one seen once teaches what a new word costs
+    listed[END] = True
+    words = np.flatnonzero(listed)
+    # Words in the order of their counts, ties by number, so that the code is the same wherever the group is worked on.
+    code = Code([int(trained[~listed].sum()) + 1, *np.maximum(trained[words], 1).astype(np.int64).tolist()])
+    symbol = np.zeros(n_words, np.int64)
+    symbol[words] = np.arange(1, len(words) + 1)
+    by_value = np.empty(len(code.value), np.int64)
+    by_value[np.argsort(code.value, kind="stable")] = np.arange(len(code.value))
+    n = len(by_value)
+    symbols = symbol[token]
+    pair = one * n_words + two
+    if n_words * n_words * n >= 1 << 63:
+        pair = np.unique(pair, return_inverse=True)[1]
+    key = pair * n + by_value[symbols]
+    order = np.argsort(key)
+    key = key[order]
+    new = np.concatenate(([True], key[1:] != key[:-1]))
+    first = np.flatnonzero(new)
+    inverse = np.empty(len(key), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    # From here on each event is taken once.
+    one, pair, symbols = one[order[first]], pair[order[first]], symbols[order[first]]
+    weight = np.add.reduceat(times[order], first).astype(np.float32)
+    value, length, start, rank = code.value[symbols], code.length[symbols], code.start[symbols], by_value[symbols]
+    bits, left = np.zeros(len(first)), np.zeros(len(first))
+    mixer = Mixer()
+    # Blocks end where the word before changes: each has all events of its contexts.
+    ends = np.concatenate((np.flatnonzero(one[1:] != one[:-1]) + 1, [len(one)]))
+    at = 0
+    while at < len(one):
+        stop = int(ends[np.searchsorted(ends, min(at + BLOCK, len(one)))])
+        part = slice(at, stop)
+        _block_bits(mixer, code, one[part], pair[part], value[part], rank[part], length[part], start[part], weight[part], bits[part], left[part])
+        at = stop
+    return bits[inverse], left[inverse], (symbols == 0)[inverse]
+
+
+def _block_bits(mixer, code, one, pair, value, rank, length, start, weight, bits, left) -> None:
+    """Fills bits and left. Events are distinct and sorted by pair, then by code."""
+    common2 = _common_bits(pair, value)
+    turn = np.argsort(one * (int(rank.max()) + 1) + rank, kind="stable")  # sorted by the word before, then by code
+    common1 = _common_bits(one[turn], value[turn])
+    longer = np.arange(len(one))
+    place = np.empty(len(one), np.int64)
+    depth = 0
+    while True:
+        longer = longer[length[longer] > depth]
+        if not len(longer):
+            return
+        keep = length[turn] > depth
+        turn, common1 = turn[keep], common1[keep]
+        at = start[longer] + depth
+        bit, w = code.bits[at].astype(np.float32), weight[longer]
+        place[longer] = np.arange(len(longer))
+        back = place[turn]
+        middle = [np.empty(len(longer), np.float32) for _ in range(2)]
+        for m, x in zip(middle, _at_nodes(common1, bit[back], w[back], depth), strict=True):
+            m[back] = x
+        counts = [(code.none[at].astype(np.float32), code.ones[at].astype(np.float32)), tuple(middle), _at_nodes(common2[longer], bit, w, depth)]
+        x, gate = mixer.inputs(counts)
+        p, _, _ = mixer.chance(x, gate)
+        bits[longer] -= np.log2(np.abs(p - (1 - bit)))
+        own = (w > 0).astype(np.float32)
+        own1, own0 = own * bit, own * (1 - bit)
+        x, gate = mixer.inputs([(none - own0, one_ - own1) for none, one_ in counts])
+        p, plain, interval = mixer.chance(x, gate)
+        left[longer] -= np.log2(np.abs(p - (1 - bit)))
+        mixer.learn(x, gate, plain, interval, bit, w)
+        depth += 1
+
+
+class Letters:
+    """Bits of a byte after two others, mixed from counts after none, one and two bytes; words end with a space.
+
+    triples: (two before, one before, byte) as 24-bit numbers, and how many training words have them.
+    """
 
-def _score(shared, folder: str):
+    def __init__(self, triples: np.ndarray, times: np.ndarray):
+        contexts, row = np.unique(triples >> 8, return_inverse=True)
+        self.row = np.full(1 << 16, -1, np.int32)
+        self.row[contexts] = np.arange(len(contexts))
+        # A row more for each byte stands for the contexts of two bytes that end with it and were never seen.
+        n2 = np.zeros((len(contexts) + 256, 256))
+        n2[row, triples & 255] = times
+        before = np.concatenate((contexts & 255, np.arange(256)))
+        n1 = np.zeros((256, 256))
+        np.add.at(n1, ((triples >> 8) & 255, triples & 255), times)
+        n0 = n1.sum(axis=0)
+        mixer = Mixer()
+        for last in (False, False, True):  # twice to learn, then to say what bytes cost
+            self.bits = np.zeros(n2.shape, np.float32)
+            for d in range(8):
+                sides = [n.reshape(-1, 1 << d, 2, 128 >> d).sum(axis=3) for n in (n0[None], n1, n2)]
+                counts = [(np.broadcast_to(s[r, :, 0], sides[2][:, :, 0].shape), np.broadcast_to(s[r, :, 1], sides[2][:, :, 0].shape)) for s, r in zip(sides, ([0], before, slice(None)), strict=True)]
+                counts = [(none.ravel().astype(np.float32), one.ravel().astype(np.float32)) for none, one in counts]
+                if last:
+                    p = mixer.chance(*mixer.inputs(counts))[0].reshape(len(n2), 1 << d, 1)
+                    self.bits += np.repeat(-np.log2(np.concatenate((1 - p, p), axis=2)).reshape(len(n2), -1), 128 >> d, axis=1).astype(np.float32)
+                    continue
+                for bit in (0, 1):
+                    times_ = counts[2][bit]
+                    some = times_ > 0
+                    less = [tuple(c[some] - (1 if side == bit else 0) for side, c in enumerate(pair)) for pair in counts]
+                    x, gate = mixer.inputs(less)
+                    _, p, interval = mixer.chance(x, gate)
+                    mixer.learn(x, gate, p, interval, np.full(len(p), bit, np.float32), times_[some])
+
+    def spelling(self, tokens: Tokens) -> np.ndarray:
+        """Bits of each distinct token, by number; the end needs none."""
+        one, two, byte, word = tokens.letters()
+        row = self.row[(two << 8) | one]
+        row = np.where(row < 0, len(self.bits) - 256 + one, row)
+        return np.bincount(word + 1, self.bits[row, byte], len(tokens.hash)).astype(np.float32)
+
+
+def _pack(columns: list[np.ndarray]) -> bytes:
+    """Arrays of any kinds as one compressed buffer."""
+    out = io.BytesIO()
+    for c in columns:
+        np.lib.format.write_array(out, np.ascontiguousarray(c), allow_pickle=False)
+    raw = out.getvalue()
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def _unpack(blob: bytes) -> list[np.ndarray]:
+    raw = pa.Codec("zstd").decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
+    held, out = io.BytesIO(raw), []
+    while held.tell() < len(raw):
+        out.append(np.lib.format.read_array(held, allow_pickle=False))
+    return out
+
+
+def _deal(t: Tokens, spelling: np.ndarray, hot: np.ndarray, trained: np.ndarray, groups: int) -> Iterator[tuple[int, bytes]]:
+    """Groups with their events: hashes (48 bits, enough within a group) and spellings of the words used, then one and
+    two words before, token, document, number, and whether it was trained on."""
+    token, doc, first = t.numbers, t.doc, t.first
+    within = np.arange(len(token)) - first[doc]
+    before = [np.where(within >= k, np.concatenate((np.zeros(k, np.int64), token[:-k])) if len(token) > k else 0, END) for k in (1, 2, 3)]
+    one, two, three = before
+    times = np.ones(len(token), np.int64)
+    hot1 = hot[one]
+    hot2 = hot1 & hot[two]
+    h = t.hash[one] * A
+    h = np.where(hot1, (h ^ (h >> np.uint64(29))) * B + t.hash[two] * A, h)
+    h = np.where(hot2, (h ^ (h >> np.uint64(29))) * B + t.hash[three] * A, h)
+    h = (h ^ (h >> np.uint64(32))) * B
+    group = ((h >> np.uint64(33)) % np.uint64(groups)).astype(np.int64)
+    # A document that repeats common words over and over gives each such event once, with its number.
+    if len(often := np.flatnonzero(hot2)):
+        keep, n = _distinct(doc[often], three[often], two[often], one[often], token[often])
+        times[often] = 0
+        times[often[keep]] = n
+    alive = np.flatnonzero(times)
+    order = alive[np.argsort(group[alive], kind="stable")]
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(group[order])) + 1, [len(order)]))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        at = order[a:b]
+        used, columns = _renumbered([one[at], two[at], token[at]], len(t.hash))
+        kind = np.uint16 if len(used) < 1 << 16 else np.uint32
+        columns = [c.astype(kind) for c in columns]
+        d = doc[at]
+        yield int(group[order[a]]), _pack([(t.hash[used] >> np.uint64(32)).astype(np.uint32), (t.hash[used] >> np.uint64(16)).astype(np.uint16), spelling[used].astype(np.float16), *columns, np.diff(d, prepend=0).astype(np.uint32), times[at].astype(np.uint32), trained[d].astype(np.uint8)])
+
+
+def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of one row of each kind, and the numbers of such rows."""
+    order = np.lexsort(columns)
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[order[1:]] != c[order[:-1]]
+    first = np.flatnonzero(new)
+    return order[first], np.diff(np.append(first, len(order)))
+
+
+def _renumbered(columns: list[np.ndarray], most: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The numbers below most that occur, and the columns with places among these instead."""
+    if most > 8 * sum(map(len, columns)):
+        used, local = np.unique(np.concatenate(columns), return_inverse=True)
+        return used, np.split(local, np.cumsum([len(c) for c in columns])[:-1])
+    occurs = np.zeros(most, bool)
+    for c in columns:
+        occurs[c] = True
+    place = np.cumsum(occurs) - 1
+    return np.flatnonzero(occurs), [place[c] for c in columns]
+
+
+def _rare(t: Tokens, common: np.ndarray) -> pa.Array:
+    """Each document's words that aren't common, and their numbers."""
+    at = np.flatnonzero(~common[t.numbers])
+    kind, n = np.unique(t.doc[at] * len(t.hash) + t.numbers[at], return_counts=True)
+    ends = np.searchsorted(kind // len(t.hash), np.arange(len(t.first) + 1))
+    hashes = t.hash[kind % len(t.hash)].view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(hashes), pa.array(n, pa.int64())], names=["token", "n"]))
+
+
+def _send(shared, groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         model = shared.value
-        known = model.known()
-        logit, level = _tables(folder)
-        spelled: dict[bytes, float] = {}
-        for b, start, stop, docs in _chunks(batches):
-            symbols, first = _symbols(model, known, docs)
-            slots, bits, token = model.decisions(symbols, first)
-            per_doc = np.add.reduceat(model.code.length[symbols], first)
-            gates = 4 * level[slots[2]].astype(np.int64) + level[slots[1]]
-            cost = mix_online(logit[slots], gates, bits, np.cumsum(per_doc) - per_doc, per_doc)
-            base = np.add.reduceat(model.base[symbols], first)
-            n_known = np.add.reduceat((symbols > 0).astype(np.int64), first)
-            rare = [[w for w in words if not known[w]] for words in docs]
-            new = [w for w in dict.fromkeys(w for ws in rare for w in ws) if w not in spelled]
-            if len(spelled) > 300_000:
-                spelled.clear()
-                new = list(dict.fromkeys(w for ws in rare for w in ws))
-            spelled.update(zip(new, _spelling_costs(new, logit, level).tolist(), strict=True))
-            counted = [Counter(ws) for ws in rare]
-            end_missing = 0 if END in model.symbol else 1
+        for k, b in enumerate(_pieces(batches)):
+            flush = f"{TaskContext.get().partitionId()}-{k}"
+            t = Tokens(b["text"])
+            place = np.minimum(np.searchsorted(model["common"], t.hash), len(model["common"]) - 1)
+            count = np.where(model["common"][place] == t.hash, model["counts"][place], 0)
+            common = count > 0
+            common[END] = True
+            base = np.where(common, np.log10(count + 0.5) - model["denominator"], 0.0)
             columns = {
-                "doc_id": b["doc_id"].slice(start, stop - start),
-                "held_out": b["held_out"].slice(start, stop - start),
-                "n_tokens": pa.array([len(words) + 1 for words in docs], pa.int64()),
-                "n_bytes": pa.array([len(t.as_py() or b"") for t in b["text"].cast(pa.binary()).slice(start, stop - start)], pa.int64()),
-                "n_known": pa.array(n_known),
-                "base": pa.array(base - end_missing * model.denominator - end_missing * math.log10(2)),
-                "bits": pa.array(cost + np.array([sum(spelled[w] for w in ws) for ws in rare])),
-                "rare": pa.array([[{"token": int(np.uint64(xxhash.xxh3_64_intdigest(w) or 1).view(np.int64)), "n": n} for w, n in c.items()] for c in counted], pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int64())]))),
+                "doc_id": b["doc_id"],
+                "held_out": b["held_out"],
+                "n_tokens": pa.array(t.n_words + 1, pa.int64()),
+                "n_bytes": pa.array(np.where(t.n_words > 0, t.n_bytes, 0), pa.int64()),
+                "n_known": pa.array(np.add.reduceat((count > 0)[t.numbers].astype(np.int64), t.first)),
+                "base": pa.array(np.add.reduceat(base[t.numbers], t.first)),
+                "rare": _rare(t, common),
             }
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, pa.table(columns).schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as f:
+                f.write_table(pa.table(columns))
+            trained = ~b["held_out"].to_numpy(zero_copy_only=False)
+            out = [(k % groups, True, sink.getvalue().to_pybytes()), *((g, False, blob) for g, blob in _deal(t, model["letters"].spelling(t), count > model["hot"], trained, groups))]
+            for i in range(0, len(out), 64):
+                g, is_docs, blob = zip(*out[i : i + 64], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array([flush] * len(g)), pa.array(is_docs), pa.array(blob, pa.binary())], names=["grp", "flush", "is_docs", "blob"])
 
     return run
 
 
-def score_documents(docs: DataFrame, train, key: str = "doc_id", text: str = "text", vocabulary: int = VOCABULARY) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte, one row per row of docs.
-
-    train: a boolean column of docs; rows where it isn't true are held out. A null or empty text is its end alone
-    (bits_per_byte: null). Repeated rows are counted and scored each. Without training rows every count is 0.
+PACKED = "grp long, flush string, is_docs boolean, blob binary"
+
+
+def _mix_group(table: pa.Table) -> pa.Table:
+    """What a group's events cost, by flush: documents, bits, bits left out. Rows of documents pass through."""
+    docs = table.filter(table["is_docs"])
+    events = table.filter(pc.invert(table["is_docs"])).sort_by("flush")
+    if not events.num_rows:
+        return docs
+    parts = [_unpack(x.as_py()) for x in events["blob"]]
+    hashes = [p[0].astype(np.int64) << 16 | p[1] for p in parts]
+    known, at = np.unique(np.concatenate([np.zeros(1, np.int64), *hashes]), return_inverse=True)
+    spelling = np.zeros(len(known), np.float32)
+    words = np.split(at[1:], np.cumsum([len(h) for h in hashes])[:-1])
+    for w, p in zip(words, parts, strict=True):
+        spelling[w] = p[2]
+    one, two, token = (np.concatenate([w[p[k]] for w, p in zip(words, parts, strict=True)]) for k in (3, 4, 5))
+    number, trained = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in (7, 8))
+    bits, left, escapes = event_bits(one, two, token, number * trained, len(known))
+    spelled = np.where(escapes, spelling[token], 0)
+    bits, left = (bits + spelled) * number, (np.where(trained > 0, left, bits) + spelled) * number
+    blobs, n = [], 0
+    for p in parts:
+        some = slice(n, n + len(p[3]))
+        n += len(p[3])
+        doc = np.cumsum(p[6].astype(np.int64))
+        found, to = np.unique(doc, return_inverse=True)
+        blobs.append(_pack([found.astype(np.uint32), *(np.bincount(to, x[some]).astype(np.float32) for x in (bits, left))]))
+    costs = pa.table({"grp": events["grp"], "flush": events["flush"], "is_docs": events["is_docs"], "blob": pa.array(blobs, pa.binary())}).cast(docs.schema)
+    return pa.concat_tables([docs, costs])
+
+
+def _sum_flush(table: pa.Table) -> pa.Table:
+    (docs,) = table.filter(table["is_docs"])["blob"].to_pylist()
+    out = pa.ipc.open_stream(docs).read_all()
+    bits, left = np.zeros(out.num_rows), np.zeros(out.num_rows)
+    for blob in table.filter(pc.invert(table["is_docs"])).sort_by("grp")["blob"]:
+        doc, x, y = _unpack(blob.as_py())
+        bits[doc] += x
+        left[doc] += y
+    return out.append_column("bits", pa.array(bits)).append_column("left_out", pa.array(left))
+
+
+def score_documents(docs: DataFrame, train, key: str = "doc_id", text: str = "text", vocabulary: int = VOCABULARY, group_tokens: int = GROUP_TOKENS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte, left_out_bits_per_byte, one row
+    per row of docs.
+
+    train: a boolean column of docs; rows where it isn't true are held out. Bytes are those that are coded: of lower-case
+    words with a space after each. left_out: every token of a training text with one count of its own event taken
+    away, so that a text is cheap only if others are like it; for held-out texts the same as bits_per_byte. A null or
+    empty text is its end alone (bits per byte: null). Repeated rows are counted and scored each. Without training rows
+    every count is 0, and each decision costs one bit. Other columns of docs are not read.
     """
-    d = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), (~F.coalesce(train, F.lit(False))).alias("held_out"))
     spark = docs.sparkSession
-    seen = d.where(~F.col("held_out")).select("text")
-    counts = cut(seen.mapInArrow(_count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 0"), "counts")
-    n_train, n_distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    # The end token is always of the vocabulary (if there is training text at all). Tokens seen once are spelled, which
-    # teaches the model what new tokens cost.
-    common = [(r.token, r.n) for r in counts.where((F.col("n") > 1) | (F.col("token") == END)).orderBy(F.col("token") != END, F.desc("n"), "token").limit(vocabulary).collect()]
-    model = spark.sparkContext.broadcast(Model(common, n_train - sum(c for _, c in common), n_train, n_distinct))
-    partial = seen.mapInArrow(_train(model), "block int, counts binary")
-    folder = f"{shared_dir(spark)}/model-{id(model)}-{n_train}"
-    partial.repartition(48, "block").mapInArrow(_sum_blocks, "block int, counts binary").write.mode("overwrite").parquet(folder)
-
-    schema = "doc_id " + d.schema["doc_id"].dataType.simpleString() + ", held_out boolean, n_tokens long, n_bytes long, n_known long, base double, bits double, rare array<struct<token:bigint,n:bigint>>"
-    scored = cut(d.mapInArrow(_score(model, folder), schema).withColumn("rid", F.monotonically_increasing_id()), "scored")
+    d = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), (~F.coalesce(train, F.lit(False))).alias("held_out"))
+    counts = cut(d.select("text", "held_out").mapInArrow(_count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+    total = counts.where(F.col("kind") == ALL).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    words = counts.where(F.col("kind") == WORD).select(F.col("key").alias("token"), "n")
+    n_train, n_distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     denominator = math.log10(n_train + 0.5 * (n_distinct + 1))
-    rare = scored.select("rid", F.inline("rare")).join(counts.select("token", F.col("n").alias("c")), "token", "left")
+    # The least count from which on there are few enough words, as a power of 2.
+    by_size = dict(words.groupBy(F.expr("length(bin(n)) - 1").alias("k")).count().collect())
+    least, n = 62, 0
+    while least > 0 and (n := n + by_size.get(least - 1, 0)) < vocabulary:
+        least -= 1
+    common = words.where((F.col("n") >= F.expr(f"shiftleft(1L, {least})")) | (F.col("token") == END)).toArrow()
+    triples = counts.where(F.col("kind") == LETTERS).orderBy("key").toArrow()  # at most 2 ** 24
+    tokens = np.append(common["token"].to_numpy().view(np.uint64), np.uint64(END))  # the end, with no count, if it was never trained on
+    numbers = np.append(common["n"].to_numpy(), 0)
+    order = np.unique(tokens, return_index=True)[1]
+    model = {
+        "common": tokens[order],
+        "counts": numbers[order],
+        "denominator": denominator,
+        "hot": max(1, group_tokens // HOT),
+        "letters": Letters(triples["key"].to_numpy(), triples["n"].to_numpy()),
+    }
+    shared = spark.sparkContext.broadcast(model)
+    groups = max(1, -(-total // group_tokens))
+    costs = d.mapInArrow(_send(shared, groups), PACKED).groupBy("grp").applyInArrow(_mix_group, PACKED)
+    schema = "doc_id " + d.schema["doc_id"].dataType.simpleString() + ", held_out boolean, n_tokens long, n_bytes long, n_known long, base double, rare array<struct<token:bigint,n:bigint>>, bits double, left_out double"
+    scored = cut(costs.groupBy("flush").applyInArrow(_sum_flush, schema).withColumn("rid", F.monotonically_increasing_id()), "scored")
+    rare = scored.select("rid", F.inline("rare")).join(words.select("token", F.col("n").alias("c")), "token", "left")
     rest = rare.groupBy("rid").agg(
         F.sum(F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + 0.5) - denominator)).alias("more"),
         F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("also_known"),
     )
+    per_byte = lambda c: F.when(F.col("n_bytes") > 0, F.col(c) / F.col("n_bytes"))
     return scored.join(rest, "rid", "left").select(
         "doc_id",
         "held_out",
@@ -360,10 +578,10 @@ def score_documents(docs: DataFrame, train, key: str = "doc_id", text: str = "te
         F.lit(n_train).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
         (-F.col("bits") * math.log10(2)).alias("score"),
-        F.when(F.col("n_bytes") > 0, F.col("bits") / F.col("n_bytes")).alias("bits_per_byte"),
+        per_byte("bits").alias("bits_per_byte"),
+        per_byte("left_out").alias("left_out_bits_per_byte"),
     )
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = score_documents(documents(spark, sf_dir), ~held_out())
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+    return score_documents(documents(spark, sf_dir), ~held_out())
