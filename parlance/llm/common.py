@@ -23,11 +23,13 @@ def _app_folder(app_id: str, base: str) -> str:
 def shared_dir(spark: SparkSession) -> str:
     """This application's folder under spark.checkpoint.dir, which driver and executors share.
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
+    Only where a session on one machine (master local) names none, as in tests, a temporary folder is set.
     It is deleted when the driver ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="parlance-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = _app_folder(spark.sparkContext.applicationId, base)
@@ -53,7 +55,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends here, and a lost
     executor costs no recomputation before this point."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # Zstandard: small, and its codec keeps no buffers outside the heap, which add up over many tables.
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

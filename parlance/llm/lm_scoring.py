@@ -35,9 +35,9 @@ from parlance.llm.common import cut, documents
 #: Words whose counts are broadcast, at most. The rest are joined: this bounds memory, not results.
 VOCABULARY = 1 << 17
 #: Tokens that a group aims at, and the share of them from which on a word before is dealt by more words.
-GROUP_TOKENS, HOT = 2_500_000, 8
+GROUP_TOKENS, HOT = 2_000_000, 8
 #: Bytes of text that a task packs at once, and distinct events that are worked on at once.
-FLUSH_BYTES, BLOCK = 8_000_000, 60_000
+FLUSH_BYTES, BLOCK = 12_000_000, 60_000
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 END = 0  # place and hash of the end token, which also stands before a document's first word
 DEPTH = 52  # bits of a code, left-aligned
@@ -63,18 +63,27 @@ def _low_powers(of: int) -> np.ndarray:
     return np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full((1 << 16) - 1, of, np.uint64))))
 
 
-@functools.cache
 def _high_powers(of: int, n: int) -> np.ndarray:
     return np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(n, pow(of, 1 << 16, 1 << 64), np.uint64))))
 
 
-def _powers(of: int, n: int) -> np.ndarray:
-    """of to the power of 0 to n - 1, modulo 2 ** 64."""
-    return np.multiply.outer(_high_powers(of, n >> 16), _low_powers(of)).ravel()[:n]
-
-
-def _power(of: int, at: np.ndarray) -> np.ndarray:
-    return _high_powers(of, int(at.max(initial=0)) >> 16)[at >> 16] * _low_powers(of)[at & 0xFFFF]
+def _word_hashes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits for each word, the same wherever it stands: the sum of its bytes' numbers times powers of A."""
+    begin, past = np.empty(len(starts), np.uint64), np.empty(len(starts), np.uint64)
+    low, high = _low_powers(int(A)), _high_powers(int(A), len(text) >> 16)
+    total = np.zeros(1, np.uint64)
+    for k in range(len(high)):  # blocks of 2 ** 16 bytes
+        at = k << 16
+        block = text[at : at + (1 << 16)]
+        sums = np.concatenate((total, total + np.cumsum(BYTES[block] * low[: len(block)] * high[k])))
+        for out, places in ((begin, starts), (past, ends)):
+            some = slice(*np.searchsorted(places, (at, at + (1 << 16) + (k == len(high) - 1))))
+            out[some] = sums[places[some] - at]
+        total = sums[-1:]
+    inverse = pow(int(A), -1, 1 << 64)
+    h = (past - begin) * _high_powers(inverse, len(text) >> 16)[starts >> 16] * _low_powers(inverse)[starts & 0xFFFF] + (ends - starts).astype(np.uint64) * B
+    h = (h ^ (h >> np.uint64(32))) * B
+    return (h ^ (h >> np.uint64(29))) | np.uint64(1)  # 0 is the end
 
 
 class Tokens:
@@ -92,10 +101,7 @@ class Tokens:
         new[bounds] = True
         starts = np.flatnonzero(~gap & (new[:-1] | np.concatenate(([True], gap[:-1]))[: len(gap)]))
         ends = np.flatnonzero(~gap & (new[1:] | np.concatenate((gap[1:], [True]))[: len(gap)])) + 1
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTES[self.bytes] * _powers(int(A), len(raw)))))
-        h = (sums[ends] - sums[starts]) * _power(pow(int(A), -1, 1 << 64), starts) + (ends - starts).astype(np.uint64) * B
-        h = (h ^ (h >> np.uint64(32))) * B
-        h = (h ^ (h >> np.uint64(29))) | np.uint64(1)  # 0 is the end
+        h = _word_hashes(self.bytes, starts, ends)
         kinds, first, number = np.unique(h, return_index=True, return_inverse=True)
         self.hash = np.concatenate((np.zeros(1, np.uint64), kinds))
         self.word_starts, self.word_ends = starts[first], ends[first]
@@ -410,10 +416,27 @@ def _deal(t: Tokens, spelling: np.ndarray, hot: np.ndarray, trained: np.ndarray,
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         at = order[a:b]
         used, columns = _renumbered([one[at], two[at], token[at]], len(t.hash))
-        kind = np.uint16 if len(used) < 1 << 16 else np.uint32
-        columns = [c.astype(kind) for c in columns]
-        d = doc[at]
-        yield int(group[order[a]]), _pack([(t.hash[used] >> np.uint64(32)).astype(np.uint32), (t.hash[used] >> np.uint64(16)).astype(np.uint16), spelling[used].astype(np.float16), *columns, np.diff(d, prepend=0).astype(np.uint32), times[at].astype(np.uint32), trained[d].astype(np.uint8)])
+        # Common words get small numbers, and numbers are sent byte by byte: both make them compress.
+        by_count = np.argsort(-sum(np.bincount(c, minlength=len(used)) for c in columns), kind="stable")
+        place = np.empty(len(used), np.uint32)
+        place[by_count] = np.arange(len(used))
+        used, d = used[by_count], doc[at]
+        yield (
+            int(group[order[a]]),
+            _pack(
+                [(t.hash[used] >> np.uint64(32)).astype(np.uint32), (t.hash[used] >> np.uint64(16)).astype(np.uint16), spelling[used].astype(np.float16)]
+                + [_planes(place[c]) for c in columns]
+                + [_planes(np.diff(d, prepend=0).astype(np.uint32)), _planes(times[at].astype(np.uint32)), trained[d].astype(np.uint8)]
+            ),
+        )
+
+
+def _planes(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T)
+
+
+def _joined(planes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(planes.T).view(np.uint32).ravel().astype(np.int64)
 
 
 def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -498,16 +521,16 @@ def _mix_group(table: pa.Table) -> pa.Table:
     words = np.split(at[1:], np.cumsum([len(h) for h in hashes])[:-1])
     for w, p in zip(words, parts, strict=True):
         spelling[w] = p[2]
-    one, two, token = (np.concatenate([w[p[k]] for w, p in zip(words, parts, strict=True)]) for k in (3, 4, 5))
-    number, trained = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in (7, 8))
+    one, two, token = (np.concatenate([w[_joined(p[k])] for w, p in zip(words, parts, strict=True)]) for k in (3, 4, 5))
+    number, trained = np.concatenate([_joined(p[7]) for p in parts]), np.concatenate([p[8] for p in parts]).astype(np.int64)
     bits, left, escapes = event_bits(one, two, token, number * trained, len(known))
     spelled = np.where(escapes, spelling[token], 0)
     bits, left = (bits + spelled) * number, (np.where(trained > 0, left, bits) + spelled) * number
     blobs, n = [], 0
     for p in parts:
-        some = slice(n, n + len(p[3]))
-        n += len(p[3])
-        doc = np.cumsum(p[6].astype(np.int64))
+        doc = np.cumsum(_joined(p[6]))
+        some = slice(n, n + len(doc))
+        n += len(doc)
         found, to = np.unique(doc, return_inverse=True)
         blobs.append(_pack([found.astype(np.uint32), *(np.bincount(to, x[some]).astype(np.float32) for x in (bits, left))]))
     costs = pa.table({"grp": events["grp"], "flush": events["flush"], "is_docs": events["is_docs"], "blob": pa.array(blobs, pa.binary())}).cast(docs.schema)
