@@ -23,6 +23,29 @@ def policy(*texts: Column) -> Column:
     return F.when(found["offrecord"], "offrecord").when(found["nomem"], "nomem").otherwise("normal")
 
 
+# The parts of a message that are searched for markers, and the name of the rule.
+POLICY_PARTS = ["text", "caption", "poll_question", "contact_name", "forward_text", "forward_caption"]
+DETECTED_BY = "deterministic_token_match_v1"
+
+
+def policy_audit(**parts: Column) -> Column:
+    """Struct of policy, detected_by and, for each part, whether it holds the marker that decided (null for normal).
+
+    parts: any of POLICY_PARTS; what isn't given is empty.
+    """
+    given = {name: parts.get(name, F.lit(None).cast("string")) for name in POLICY_PARTS}
+    decided = policy(*given.values())
+    marked = decided != "normal"
+    hit = lambda t: F.when(decided == "offrecord", has_marker(t, MARKERS["offrecord"])).when(marked, has_marker(t, MARKERS["nomem"]))
+    return F.struct(decided.alias("policy"), F.when(marked, DETECTED_BY).alias("detected_by"), *[hit(t).alias(f"in_{name}") for name, t in given.items()])
+
+
+def contact_name(first: Column, last: Column) -> Column:
+    """Those of both names that aren't empty, joined; null if neither is."""
+    some = F.filter(F.array(first, last), lambda x: F.coalesce(x, F.lit("")) != "")
+    return F.when(F.size(some) > 0, F.array_join(some, " "))
+
+
 def json_string(text: Column) -> Column:
     """text as a compact JSON string, characters past ASCII kept as they are."""
     out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
@@ -33,10 +56,64 @@ def json_string(text: Column) -> Column:
     return F.concat(F.lit('"'), out, F.lit('"'))
 
 
-def content_hash(text: Column, caption: Column, kind: Column) -> Column:
-    """Digest of a message without entities: SHA-256 of the compact JSON list of version tag, text, caption, kind, entities."""
-    parts = [F.coalesce(text, F.lit("")), F.coalesce(caption, F.lit("")), F.coalesce(kind, F.lit("text"))]
-    return F.sha2(F.concat(F.lit('["chv1",'), *[x for p in parts for x in (json_string(p), F.lit(","))], F.lit("[]]")), 256)
+def entities_json(entities: Column) -> Column:
+    """Entities (array of structs with offset, length, type, perhaps url and language) as a compact JSON list, sorted by
+    offset, length and type, keys in order; a null or empty list is []."""
+    # JSON keys in the order of the alphabet; null values are left out.
+    one = lambda e: F.to_json(F.struct(e["length"].alias("length"), e["offset"].alias("offset"), e["type"].alias("type")))
+    sorted_ = F.array_sort(F.transform(entities, lambda e: F.struct(F.coalesce(e["offset"], F.lit(0)).alias("o"), F.coalesce(e["length"], F.lit(0)).alias("l"), F.coalesce(e["type"], F.lit("")).alias("t"), e.alias("e"))))
+    return F.concat(F.lit("["), F.coalesce(F.array_join(F.transform(sorted_, lambda x: one(x["e"])), ","), F.lit("")), F.lit("]"))
+
+
+def content_hash(text: Column, caption: Column, kind: Column, entities: Column | None = None) -> Column:
+    """Digest of a message: SHA-256 of the compact JSON list of version tag, text, caption, kind, entities."""
+    parts = [F.coalesce(text, F.lit("")), F.coalesce(caption, F.lit("")), F.when(F.coalesce(kind, F.lit("")) == "", "text").otherwise(kind)]
+    listed = F.lit("[]") if entities is None else entities_json(entities)
+    return F.sha2(F.concat(F.lit('["chv1",'), *[x for p in parts for x in (json_string(p), F.lit(","))], listed, F.lit("]")), 256)
+
+
+def merge_entities(*lists: Column) -> Column:
+    """Entities of the lists in order, the first of each offset, length and type; null if there are none."""
+    every = F.concat(*[F.coalesce(x, F.array().cast("array<struct<offset:int,length:int,type:string>>")) for x in lists])
+    same = lambda a, b: (a["offset"] == b["offset"]) & (a["length"] == b["length"]) & (a["type"] == b["type"])
+    first = F.filter(every, lambda e, i: ~F.exists(F.slice(every, F.lit(1), i), lambda o: same(o, e)))
+    return F.when(F.size(first) > 0, first)
+
+
+# Endings of the published Snowball stemmer for Russian; those of the first kind count after а or я alone.
+_GERUND = ("(?<=[ая])(вшись|вши|в)", "ившись|ивши|ив|ывшись|ывши|ыв")
+_ADJECTIVE = "ими|ыми|его|ого|ему|ому|ее|ие|ые|ое|ей|ий|ый|ой|ем|им|ым|ом|их|ых|ую|юю|ая|яя|ою|ею"
+_PARTICIPLE = ("(?<=[ая])(ем|нн|вш|ющ|щ)", "ивш|ывш|ующ")
+_VERB = ("(?<=[ая])(ете|йте|ешь|нно|ла|на|ли|ем|ло|но|ет|ют|ны|ть|й|л|н)", "ейте|уйте|ила|ыла|ена|ите|или|ыли|ило|ыло|ено|ует|уют|ены|ить|ыть|ишь|ей|уй|ил|ыл|им|ым|ен|ят|ит|ыт|ую|ю")
+_NOUN = "иями|ями|ами|ией|иям|ием|иях|ев|ов|ие|ье|еи|ии|ей|ой|ий|ям|ем|ам|ом|ах|ях|ию|ью|ия|ья|а|е|и|й|о|у|ы|ь|ю|я"
+_VOWELS = "аеиоуыэюя"
+
+
+def russian_stem(word: Column) -> Column:
+    """Stem of a lower-case Russian word by regular expressions in the JVM; words without Russian vowels stay as they are."""
+    word = F.replace(word, F.lit("ё"), F.lit("е"))
+    head = F.regexp_extract(word, f"^[^{_VOWELS}]*[{_VOWELS}]", 0)
+    rest = F.substring(word, F.length(head) + 1, F.length(word))
+
+    def cut(region: Column, ending: str) -> Column:
+        # The vowel before the region may be what an ending of the first kind looks back at, but only inside the region.
+        return F.regexp_replace(region, f"({ending})$", "")
+
+    gerund = cut(rest, "|".join(_GERUND))
+    plain = cut(rest, "ся|сь")
+    adjectival = cut(plain, f"(({'|'.join(_PARTICIPLE)})?({_ADJECTIVE}))")
+    verb = cut(plain, "|".join(_VERB))
+    noun = cut(plain, _NOUN)
+    first = F.when(gerund != rest, gerund).when(adjectival != plain, adjectival).when(verb != plain, verb).otherwise(noun)
+    second = cut(first, "и")
+    # Derivational endings count in the second region alone: after a vowel and a consonant, twice.
+    whole = F.concat(head, second)
+    inner = F.regexp_extract(whole, f"^[^{_VOWELS}]*[{_VOWELS}]+[^{_VOWELS}].*?[{_VOWELS}][^{_VOWELS}](.*)$", 1)
+    third = F.when(F.regexp_like(inner, F.lit("(ость|ост)$")), cut(second, "ость|ост")).otherwise(second)
+    superlative = cut(third, "ейше|ейш")
+    doubled = F.regexp_replace(superlative, "нн$", "н")
+    last = F.when((superlative != third) | (doubled != superlative), doubled).otherwise(cut(third, "ь"))
+    return F.when(head == "", word).otherwise(F.concat(head, last))
 
 
 def search_tokens(*texts: Column) -> Column:
@@ -58,21 +135,46 @@ def tombstone_keys(chat_id: Column, message_id: Column, content_hash: Column, us
     return F.filter(F.array(*[F.struct(F.lit(p).alias("priority"), k.alias("key")) for p, k in keys]), lambda x: x["key"].isNotNull())
 
 
-def message_kind(m: str = "") -> Column:
-    """Kind of an exported message (columns of an export, after an optional prefix such as "message.")."""
-    c = lambda name: F.col(f"{m}{name}")
-    # Media types of the export format and the kinds they stand for.
-    media = {"voice_message": "voice", "audio_file": "audio", "video_file": "video", "video_message": "video_note", "sticker": "sticker", "animation": "animation"}
-    by_media = F.create_map(*[F.lit(x) for kv in media.items() for x in kv])
-    return (
+# Media types of the export format and the kinds they stand for; kinds whose text is a caption.
+MEDIA_TYPES = {"photo": "photo", "video_file": "video", "voice_message": "voice", "audio_file": "audio", "sticker": "sticker", "animation": "animation", "video_message": "video_note"}
+MEDIA_KINDS = ["photo", "video", "voice", "audio", "document", "sticker", "animation", "video_note"]
+
+
+def message_kind(m: str = "", names: list[str] | None = None) -> Column:
+    """Kind of an exported message (columns of an export, after an optional prefix such as "message."). names: the columns
+    there are; others count as absent."""
+    c = lambda name: F.col(f"{m}{name}") if names is None or name in names else F.lit(None).cast("string")
+    given = lambda name: F.coalesce(c(name), F.lit("")) != ""
+    by_media = F.create_map(*[F.lit(x) for kv in MEDIA_TYPES.items() for x in kv])
+    kind = (
         F.when(c("type") == "service", "service")
         .when(c("forwarded_from").isNotNull(), "forward")
         .when(c("media_type").isNotNull(), F.coalesce(F.try_element_at(by_media, c("media_type")), F.lit("unknown")))
-        .when(c("photo").isNotNull(), "photo")
-        .when(c("mime_type").startswith("application/"), "document")
-        .when(F.coalesce(F.length(c("text")), F.lit(0)) > 0, "text")
-        .otherwise("unknown")
+        .when(given("photo"), "photo")
     )
+    for field in ("location", "contact", "poll"):
+        kind = kind.when(given({"location": "location_information", "contact": "contact_information"}.get(field, field)), field)
+    return kind.when(given("dice"), "dice").when(c("mime_type").startswith("application/"), "document").when(c("text").isNotNull() | c("text_entities").isNotNull(), "text").otherwise("unknown")
+
+
+# Attributes of a live message in the order in which they decide its kind.
+LIVE_KINDS = [(x, x) for x in ("photo", "video", "voice", "audio", "document", "sticker", "animation", "video_note", "location", "contact", "poll", "dice")]
+LIVE_KINDS = [("forward_origin", "forward"), *LIVE_KINDS, *[(x, "service") for x in ("new_chat_members", "left_chat_member", "pinned_message")], ("text", "text")]
+
+
+def live_kind(message: Column) -> Column:
+    """Kind of a live message from its JSON: the first attribute that isn't null."""
+    at = lambda name: F.get_json_object(message, f"$.{name}")
+    return F.coalesce(*[F.when(at(name).isNotNull(), kind) for name, kind in LIVE_KINDS], F.lit("unknown"))
+
+
+def text_and_caption(kind: Column, text: Column, entities_text: Column | None = None) -> Column:
+    """Struct of text and caption of an exported message: the text, or what its entities say if it is empty; media have it as
+    their caption. Empty is null."""
+    some = lambda x: F.when(x != "", x)
+    whole = some(text) if entities_text is None else F.coalesce(some(text), some(entities_text))
+    media = kind.isin(*MEDIA_KINDS)
+    return F.struct(F.when(~media, whole).alias("text"), F.when(media, whole).alias("caption"))
 
 
 def export_user_id(from_id: Column) -> Column:
@@ -81,15 +183,29 @@ def export_user_id(from_id: Column) -> Column:
     return F.when(digits == "", None).when(from_id.startswith("channel"), F.lit(-1)).otherwise(digits.cast("long"))
 
 
+def utc_time(iso: Column) -> Column:
+    """ISO time; without a zone it is UTC, whatever the session's zone. Null if it doesn't parse."""
+    zoned = F.regexp_like(iso, F.lit(r"(Z|[+-]\d{2}:?\d{2})$"))
+    return F.try_to_timestamp(F.when(zoned, iso).otherwise(F.concat(iso, F.when(F.length(iso) == 10, "T00:00:00Z").otherwise("Z"))))
+
+
 def export_time(unix: Column, iso: Column) -> Column:
-    """Seconds as a string if they parse, else an ISO time taken as UTC, else null."""
-    return F.coalesce(F.timestamp_seconds(unix.try_cast("long")), F.try_to_timestamp(iso))
+    """Seconds as a string if they parse, else an ISO time (UTC if it names no zone), else null."""
+    return F.coalesce(F.timestamp_micros((unix.try_cast("double") * 1_000_000).cast("long")), utc_time(iso))
+
 
+def html_escape(text: Column, quotes: bool = True) -> Column:
+    pairs = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), *([('"', "&quot;"), ("'", "&#x27;")] if quotes else [])]
+    for raw, escaped in pairs:
+        text = F.replace(text, F.lit(raw), F.lit(escaped))
+    return text
 
-def display_name(first: Column, last: Column, username: Column, user_id: Column) -> Column:
-    """First and last name, else @username, else the id, else a dash."""
-    full = F.trim(F.concat_ws(" ", first, last))
-    return F.coalesce(F.when(full != "", full), F.concat(F.lit("@"), username), F.concat(F.lit("id"), user_id.cast("string")), F.lit("—"))
+
+def display_name(first: Column, last: Column, username: Column) -> Column:
+    """First name, and last name after it, else @username, else a dash; escaped for HTML."""
+    some = lambda x: F.when(x != "", x)
+    full = F.concat(some(first), F.coalesce(F.concat(F.lit(" "), some(last)), F.lit("")))
+    return F.coalesce(html_escape(F.coalesce(full, F.concat(F.lit("@"), some(username)))), F.lit("—"))
 
 
 def permalink(chat_id: Column, message_id: Column) -> Column:
@@ -98,9 +214,9 @@ def permalink(chat_id: Column, message_id: Column) -> Column:
 
 
 def highlight_html(snippet: Column) -> Column:
-    """Everything escaped but <b> and </b>."""
-    out = snippet
-    for raw, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("&lt;b&gt;", "<b>"), ("&lt;/b&gt;", "</b>")):
+    """Everything escaped but quotes and <b> and </b>."""
+    out = html_escape(snippet, quotes=False)
+    for raw, escaped in (("&lt;b&gt;", "<b>"), ("&lt;/b&gt;", "</b>")):
         out = F.replace(out, F.lit(raw), F.lit(escaped))
     return out
 
@@ -111,10 +227,46 @@ def row_hash(*cells: Column) -> Column:
 
 
 def headline(text: Column, terms: Column, max_words: int = 35, around: int = 10) -> Column:
-    """Words around the first word that is a term, with terms in <b>."""
+    """Words about the stretch of max_words with the most different terms (the first such), with terms in <b>."""
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
     plain = lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]+", "")
-    places = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(terms, plain(w)), i)), lambda i: i.isNotNull())
-    start = F.greatest(F.coalesce(F.get(places, F.lit(0)), F.lit(0)) - around, F.lit(0))
+    places = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(terms, plain(w)), F.struct(i.alias("i"), plain(w).alias("t")))), lambda x: x.isNotNull())
+    covered = F.transform(places, lambda p: F.struct(F.size(F.array_distinct(F.transform(F.filter(places, lambda q: (q["i"] >= p["i"]) & (q["i"] < p["i"] + max_words)), lambda q: q["t"]))).alias("n"), (-p["i"]).alias("i")))
+    start = F.greatest(F.coalesce(-F.array_max(covered)["i"], F.lit(0)) - around, F.lit(0))
     shown = F.slice(words, start + 1, F.lit(max_words))
     return F.array_join(F.transform(shown, lambda w: F.when(F.array_contains(terms, plain(w)), F.concat(F.lit("<b>"), w, F.lit("</b>"))).otherwise(w)), " ")
+
+
+def cover_density(events: Column, n_terms: Column, weight: float = 0.1) -> Column:
+    """Cover-density rank: for each shortest stretch that holds all terms, weight / (1 + words in it that are no term).
+
+    events: sorted array of structs (pos, term), term from 0 to n_terms - 1: where a text has terms.
+    """
+    start = F.struct(F.array_repeat(F.lit(-1), n_terms).alias("last"), F.lit(-1).alias("from"), F.lit(0.0).cast("double").alias("rank"))
+
+    def step(state: Column, e: Column) -> Column:
+        last = F.transform(state["last"], lambda v, i: F.when(i == e["term"], e["pos"]).otherwise(v))
+        begin = F.array_min(last)
+        inside = F.size(F.filter(events, lambda o: (o["pos"] >= begin) & (o["pos"] <= e["pos"])))
+        worth = F.lit(weight) / (1 + (e["pos"] - begin) - (inside - 1))
+        return F.struct(last.alias("last"), begin.alias("from"), (state["rank"] + F.when(begin > state["from"], worth).otherwise(0.0)).alias("rank"))
+
+    return F.aggregate(events, start, step, lambda s: s["rank"])
+
+
+def intro_text(template: str, answers: list[Column]) -> Column:
+    """template with {0}, {1}, ... replaced by the answers, escaped; a dash for what is missing."""
+    out = F.lit(template)
+    for i, a in enumerate(answers):
+        shown = html_escape(F.trim(a))
+        out = F.replace(out, F.lit(f"{{{i}}}"), F.when(F.coalesce(shown, F.lit("")) == "", "—").otherwise(shown))
+    return out
+
+
+def shown_time(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM-dd HH:mm")
+
+
+def iso_time(ts: Column) -> Column:
+    """ISO time with its offset, as in JSON reports."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ssxxx")

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from parlance.functions.text import content_hash, export_user_id, policy, tombstone_keys, utc_time
 
 
 def dry_run_report(messages: DataFrame) -> DataFrame:
@@ -31,6 +37,34 @@ def dry_run_report(messages: DataFrame) -> DataFrame:
     return totals.crossJoin(dangling).crossJoin(repeated)  # three rows of one
 
 
+def distinct_senders(messages: DataFrame) -> DataFrame:
+    """Senders of user messages, channels too, one row each."""
+    return messages.where((F.col("type") == "message") & F.col("from_id").isNotNull()).select("from_id").distinct()
+
+
+def stored_report(messages: DataFrame, stored: DataFrame, tombstones: DataFrame, candidates: DataFrame, listed: int = 1000) -> DataFrame:
+    """What an import would meet in the archive, one row: ids that are erased, ids that are stored and not erased (counts and the first ids
+    of each), and messages whose reply's target is neither in the export nor in the archive.
+
+    messages: chat_id, id, type, reply_to. stored: chat_id, message_id. candidates: as for resolve_replies.
+    """
+    ids = messages.where(F.col("id").isNotNull()).select("chat_id", "id").distinct()
+    key = F.concat(F.lit("message:"), F.col("chat_id").cast("string"), F.lit(":"), F.col("id").cast("string"))
+    keyed = ids.withColumn("tombstone_key", key)
+    erased = keyed.join(tombstones.select("tombstone_key"), "tombstone_key", "left_semi").select("chat_id", "id")
+    twice = ids.join(erased, ["chat_id", "id"], "left_anti").join(stored.select("chat_id", F.col("message_id").alias("id")), ["chat_id", "id"], "left_semi")
+    outside = messages.where((F.col("type") != "service") & F.col("reply_to").isNotNull()).select("chat_id", "reply_to").join(ids.withColumnRenamed("id", "reply_to"), ["chat_id", "reply_to"], "left_anti")
+    run = outside.distinct().select("chat_id", "reply_to", F.lit(None).cast("int").alias("run_id"), F.lit(None).cast("int").alias("started_at"))
+    lost = resolve_replies(run, candidates).where("via = 'unresolved'").select("chat_id", "reply_to")
+    broken = outside.join(lost, ["chat_id", "reply_to"], "left_semi").agg(F.count(F.lit(1)).alias("broken_replies"))
+
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        first = df.select("id").orderBy("id").limit(listed).agg(F.array_sort(F.collect_list("id")).alias(f"{name}_ids"))
+        return df.agg(F.count(F.lit(1)).alias(f"{name}_count")).crossJoin(first)  # one row each
+
+    return counted(erased, "tombstone").crossJoin(counted(twice, "duplicate")).crossJoin(broken)
+
+
 def histogram(rows: DataFrame, column: str) -> DataFrame:
     return rows.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
 
@@ -78,13 +112,14 @@ def resolve_replies(replies: DataFrame, candidates: DataFrame) -> DataFrame:
     """replies (chat_id, reply_to, run_id, started_at) with target and via.
 
     candidates: chat_id, message_id, target, run_id (null: live), run_started_at. A message of the same run wins over one of
-    an earlier run (the newest first), that over a live one; nothing left gives unresolved.
+    an earlier run (the newest first), that over a live one; nothing left gives unresolved. Without a run of its own
+    (null) a reply may find any run's message.
     """
     c = candidates.select(F.col("chat_id").alias("c_chat"), F.col("message_id").alias("c_message"), "target", F.col("run_id").alias("c_run"), "run_started_at")
     met = replies.join(c, (F.col("chat_id") == F.col("c_chat")) & (F.col("reply_to") == F.col("c_message")), "left")
     via = (
         F.when(F.col("c_run") == F.col("run_id"), "same_run")
-        .when(F.col("c_run").isNotNull() & (F.col("run_started_at") < F.col("started_at")), "prior_run")
+        .when(F.col("c_run").isNotNull() & (F.col("started_at").isNull() | (F.col("run_started_at") < F.col("started_at"))), "prior_run")
         .when(F.col("target").isNotNull() & F.col("c_run").isNull(), "live")
     )
     rank = F.struct(F.when(via == "same_run", 3).when(via == "prior_run", 2).when(via == "live", 1).alias("rank"), "run_started_at", "c_run", (-F.col("target")).alias("t"))
@@ -93,6 +128,79 @@ def resolve_replies(replies: DataFrame, candidates: DataFrame) -> DataFrame:
     return best.groupBy(*keys).agg(F.max_by("target", "rank").alias("target"), F.coalesce(F.max_by("via", "rank"), F.lit("unresolved")).alias("via"))
 
 
+def resolution_counts(resolved: DataFrame) -> DataFrame:
+    """One row: replies found in the same run, in a prior one, live, and not at all."""
+    return resolved.agg(*[F.count_if(F.col("via") == v).alias(v) for v in ("same_run", "prior_run", "live", "unresolved")])
+
+
+def reply_by_raw(replies: DataFrame, messages: DataFrame, raws: DataFrame) -> DataFrame:
+    """chat_id, reply_to, message_id: the stored message (the least id of several) whose raw update carries the id that is replied to."""
+    r = raws.select("raw_id", F.col("message_id").alias("_raw_message"))
+    m = messages.join(r, "raw_id").select(F.col("chat_id").alias("_chat"), "_raw_message", F.col("message_id").alias("_id"))
+    met = replies.join(m, (F.col("chat_id") == F.col("_chat")) & (F.col("reply_to") == F.col("_raw_message")))
+    return met.groupBy("chat_id", "reply_to").agg(F.min("_id").alias("message_id"))
+
+
+# What of an exported message may be kept beside its stored content.
+SAFE_KEYS = "id type date date_unixtime edited edited_unixtime from_id reply_to_message_id media_type mime_type forwarded_from duration_seconds width height actor_id action".split()
+
+
+def raw_payload(names: list[str]) -> Column:
+    """JSON of an exported message's safe columns (of those there are), with chat_id and message_id; nulls are left out."""
+    kept = [F.col(f"`{c}`") for c in SAFE_KEYS if c in names]
+    return F.to_json(F.struct(*kept, F.col("chat_id"), F.col("id").alias("message_id")))
+
+
+def apply_import(messages: DataFrame, stored: DataFrame, raws: DataFrame, tombstones: DataFrame, users: DataFrame, run_id: int, resume_point: int | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Rows that an import adds (raws, users, messages, marks, versions), and an outcome for each message.
+
+    messages: chat_id, place, id, type, from_id, from, text, caption, kind, entities, poll_question, contact_name, reply_to, date and columns of
+    the export. stored: chat_id, message_id, raw_id. raws: raw_id, chat_id, message_id, update_id, run_id. A message meets, in this order: an
+    erasure of its id, a live copy, a stored or (by its raw row) imported copy, a sender that can't be read, an erasure by content or
+    user. What is left is written; offrecord messages are written blank. Senders not among users are added as imported only, channels as one.
+    Every message that gets so far leaves a raw row, with a null update_id and without content. All of it is joins over the
+    whole export, so chunks and their checkpoints fall away: a run's rows become visible together.
+    """
+    from parlance.operators.versions import persist
+
+    left = messages if resume_point is None else messages.where(F.col("id") > resume_point)
+    d = left.withColumn("user_id", export_user_id(F.col("from_id"))).withColumn("content_hash", content_hash(F.col("text"), F.col("caption"), F.col("kind"), F.col("entities")))
+    mark = lambda df, keys, name: df.select(*keys).distinct().withColumn(name, F.lit(True))
+    live = raws.where(F.col("update_id").isNotNull()).select("raw_id")
+    live = stored.join(live, "raw_id", "left_semi")
+    ids = lambda df: df.select("chat_id", F.col("message_id").alias("id"))
+    before = ids(stored).unionByName(ids(raws.where("update_id is null")))
+    d = d.join(mark(ids(live), ["chat_id", "id"], "_live"), ["chat_id", "id"], "left").join(mark(before, ["chat_id", "id"], "_stored"), ["chat_id", "id"], "left")
+    for n, (_, name) in enumerate((("message", "_by_id"), ("message_hash", "_by_hash"), ("user", "_by_user"))):
+        keys = tombstone_keys(F.col("chat_id"), F.col("id"), F.col("content_hash"), F.col("user_id"))
+        own = F.filter(keys, lambda x, p=n + 1: x["priority"] == p)
+        d = d.withColumn("tombstone_key", F.get(own, F.lit(0))["key"]).join(mark(tombstones, ["tombstone_key"], name), "tombstone_key", "left").drop("tombstone_key")
+    is_ = lambda c: F.coalesce(c, F.lit(False))
+    alone = (
+        F.when(F.col("id").isNull(), "no_id")
+        .when(F.col("type") == "service", "service")
+        .when(is_("_by_id"), "tombstone")
+        .when(is_("_live"), "live_overlap")
+        .when(is_("_stored"), "stored_duplicate")
+        .when(F.col("user_id").isNull(), "no_user")
+        .when(is_("_by_hash") | is_("_by_user"), "tombstone")
+        .otherwise("applied")
+    )
+    d = d.withColumn("_alone", alone)
+    earlier = F.max(F.col("_alone") == "applied").over(W.partitionBy("chat_id", "id").orderBy("place").rowsBetween(W.unboundedPreceding, -1))
+    late = is_(earlier) & F.col("_alone").isin("applied", "no_user")
+    d = d.withColumn("outcome", F.when(late, "stored_duplicate").otherwise(F.col("_alone")))
+    new = d.where("outcome = 'applied'")
+    written, marks, versions = persist(new.select("chat_id", F.col("id").alias("message_id"), "user_id", "text", "caption", "kind", "entities", "poll_question", "contact_name", "date", F.col("place").alias("arrival")))
+    off = policy(F.col("text"), F.col("caption"), F.col("poll_question"), F.col("contact_name")) == "offrecord"
+    raw = new.select("chat_id", F.col("id").alias("message_id"), F.lit(None).cast("long").alias("update_id"), F.lit(run_id).alias("run_id"), raw_payload(messages.columns).alias("payload"), off.alias("is_redacted"))
+    known = users.select("user_id")
+    name = F.max_by("from", F.struct(F.col("from").isNotNull(), -F.col("place")))
+    ghosts = new.groupBy("user_id").agg(name.alias("first_name")).join(known, "user_id", "left_anti").withColumn("imported_only", F.lit(True))
+    outcomes = d.withColumn("outcome", F.when((F.col("outcome") == "applied") & off, "offrecord").otherwise(F.col("outcome"))).select("chat_id", F.col("id").alias("message_id"), "place", "outcome")
+    return {"raws": raw, "users": ghosts, "messages": written, "marks": marks, "versions": versions}, outcomes
+
+
 def latest_prior_run(messages: DataFrame, runs: DataFrame) -> DataFrame:
     """For each (message_id, started_at) the newest run that had the message and began before."""
     j = messages.join(runs.select(F.col("message_id").alias("m"), F.col("run_id").alias("prior_run"), F.col("started_at").alias("prior_started")), (F.col("message_id") == F.col("m")) & (F.col("prior_started") < F.col("started_at")))
@@ -104,31 +212,126 @@ def resume_after(messages: DataFrame, last_id: int | None) -> DataFrame:
     return messages if last_id is None else messages.where(F.col("message_id") > last_id)
 
 
-def resume_decision(status: Column, resume: Column, same_source: Column) -> Column:
-    """What to do with the newest run of a source: none, continue, refuse or start."""
+# Statuses of a run that may be continued, and those that end it.
+PARTIAL, TERMINAL = ["running", "failed"], ["completed", "cancelled", "dry_run"]
+
+
+def resume_decision(status: Column, resume: Column, path_status: Column) -> Column:
+    """start_fresh, resume_existing or block_partial_present. status: of the newest run of this very source (null: none);
+    path_status: of the newest run of the same path but another content (null: none)."""
     return (
-        F.when(status.isNull(), "start")
-        .when(~same_source, "refuse")
-        .when(status.isin("completed", "cancelled", "dry_run"), F.when(resume, "refuse").otherwise("start"))
-        .when(status.isin("running", "failed"), F.when(resume, "continue").otherwise("refuse"))
-        .otherwise("refuse")
+        F.when(status.isNull(), F.when(resume & F.coalesce(path_status.isin(*PARTIAL), F.lit(False)), "block_partial_present").otherwise("start_fresh"))
+        .when(~status.isin(*PARTIAL), "start_fresh")
+        .when(resume, "resume_existing")
+        .otherwise("block_partial_present")
     )
 
 
+def decide_runs(sources: DataFrame, runs: DataFrame) -> DataFrame:
+    """sources (source_id, path, hash, resume) with mode, the run to continue and the id after which it goes on.
+
+    runs: run_id, run_type, path, hash, status, started_at, stats (JSON).
+    """
+    imports = runs.where("run_type = 'import'").withColumn("_order", F.struct("started_at", "run_id"))
+    same = imports.groupBy(F.col("hash").alias("_hash")).agg(*[F.max_by(c, "_order").alias(f"_{c}") for c in ("run_id", "status", "stats")])
+    path = imports.groupBy(F.col("path").alias("_path")).agg(F.max_by("status", "_order").alias("_path_status"))
+    d = sources.join(same, F.col("hash") == F.col("_hash"), "left").join(path, F.col("path") == F.col("_path"), "left")
+    d = d.withColumn("mode", resume_decision(F.col("_status"), F.col("resume"), F.col("_path_status")))
+    going = F.col("mode") == "resume_existing"
+    return d.select(*sources.columns, "mode", F.when(going, F.col("_run_id")).alias("run_id"), F.when(going, checkpoint(F.col("_stats"))["last_id"]).alias("resume_point"))
+
+
+def checkpoint(stats: Column) -> Column:
+    """Struct of last_id, chunk, at and is_valid from a run's stats (JSON). Whole numbers alone are ids: true, "7" or 7.5 make it invalid."""
+    v = F.try_parse_json(stats)
+    kind = lambda name: F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant"))
+    whole = lambda name: F.coalesce(kind(name).isin("BIGINT", "VOID"), F.lit(True))
+    at = utc_time(F.try_variant_get(v, "$.last_checkpoint_at", "string"))
+    dated = F.try_variant_get(v, "$.last_checkpoint_at", "string").isNull() | at.isNotNull()
+    valid = whole("last_processed_export_msg_id") & whole("chunk_index") & dated
+    number = lambda name: F.when(whole(name), F.try_variant_get(v, f"$.{name}", "bigint"))
+    return F.struct(number("last_processed_export_msg_id").alias("last_id"), F.coalesce(number("chunk_index"), F.lit(0)).alias("chunk"), at.alias("at"), valid.alias("is_valid"))
+
+
+@F.pandas_udf(StringType())
+def merge_json(old: pd.Series, patch: pd.Series) -> pd.Series:
+    """Top-level keys of two JSON objects, the patch's first; keys in order. A null is an empty object."""
+
+    def merged(a: str | None, b: str | None) -> str:
+        return json.dumps((json.loads(a) if a else {}) | (json.loads(b) if b else {}), sort_keys=True, ensure_ascii=False)
+
+    return pd.Series([merged(a, b) for a, b in zip(old, patch, strict=True)], dtype=object)
+
+
+def finalize_runs(runs: DataFrame, wanted: DataFrame, as_of: Column) -> DataFrame:
+    """runs (run_id, status, finished_at, error) after wanted (run_id, to_status, new_error): completed, cancelled and dry runs stay as they are;
+    the first end of a run keeps its time."""
+    d = runs.join(wanted, "run_id", "left")
+    moves = F.col("to_status").isNotNull() & ~F.col("status").isin(*TERMINAL)
+    return d.withColumns(
+        {
+            "error": F.when(moves & F.col("new_error").isNotNull(), F.col("new_error")).otherwise(F.col("error")),
+            "finished_at": F.when(moves, F.coalesce("finished_at", as_of)).otherwise(F.col("finished_at")),
+            "status": F.when(moves, F.col("to_status")).otherwise(F.col("status")),
+        }
+    ).select(*runs.columns)
+
+
+def live_run(runs: DataFrame) -> DataFrame:
+    """The newest live run that is running, or no row: then one is to be made."""
+    return runs.where("run_type = 'live' and status = 'running'").orderBy(F.desc("started_at"), F.desc("run_id")).limit(1)
+
+
+SECRET = r"(?i)(token|secret|password|passphrase|api[_-]?key)"
+
+
+def secret_keys(config: Column) -> Column:
+    """Top-level keys of a JSON object whose names look like secrets; such a configuration must not be stored."""
+    return F.filter(F.coalesce(F.json_object_keys(config), F.array().cast("array<string>")), lambda k: F.regexp_like(k, F.lit(SECRET)))
+
+
 def rollback(tables: dict[str, DataFrame], run_id: int) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Tables (raws, messages, versions) without what a run has imported, and its counts. Live rows have no run and stay."""
+    """Tables (raws, messages, versions, and marks if given) without what a run has imported, and its counts. Live rows have no
+    run and stay."""
     gone_raws = tables["raws"].where((F.col("run_id") == run_id) & F.col("update_id").isNull()).select("raw_id")
     gone = tables["messages"].join(gone_raws, "raw_id", "left_semi").select("chat_id", "message_id")
-    after = {
-        "raws": tables["raws"].join(gone_raws, "raw_id", "left_anti"),
-        "messages": tables["messages"].join(gone, ["chat_id", "message_id"], "left_anti"),
-        "versions": tables["versions"].join(gone, ["chat_id", "message_id"], "left_anti"),
-    }
+    after = {"raws": tables["raws"].join(gone_raws, "raw_id", "left_anti")}
+    for name in ("messages", "versions", "marks"):
+        if name in tables:
+            after[name] = tables[name].join(gone, ["chat_id", "message_id"], "left_anti")
     count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
     gone_versions = tables["versions"].join(gone, ["chat_id", "message_id"], "left_semi")
     return after, count(gone_raws, "raws").crossJoin(count(gone, "messages")).crossJoin(count(gone_versions, "versions"))
 
 
+def rollback_once(tables: dict[str, DataFrame], runs: DataFrame, run_id: int, as_of: Column) -> tuple[dict[str, DataFrame], DataFrame, dict]:
+    """rollback with its audit: tables, runs with a new row of type rolled_back, and the report (counts and whether it was done before).
+
+    A run that isn't there raises LookupError, one that is no import ValueError. If an audit row names the run, nothing changes
+    and its counts are reported. runs: run_id, run_type, status, stats (JSON), started_at, finished_at.
+    """
+    kind = runs.where(F.col("run_id") == run_id).select("run_type").first()
+    if kind is None:
+        raise LookupError(f"no run {run_id}")
+    if kind[0] != "import":
+        raise ValueError(f"run {run_id} is of type {kind[0]}, only imports are rolled back")
+    names = ["raws", "messages", "versions"]
+    stat = lambda name: F.get_json_object("stats", f"$.{name}")
+    audit = runs.where((F.col("run_type") == "rolled_back") & (stat("original_run_id") == str(run_id))).orderBy("run_id").select("stats", *[stat(n).try_cast("long").alias(n) for n in names]).first()
+    if audit is not None:
+        if any(audit[n] is None for n in names):
+            raise RuntimeError(f"the audit of run {run_id} has no counts")
+        return tables, runs, {n: audit[n] for n in names} | {"done_before": True}
+    after, counts = rollback(tables, run_id)
+    found = counts.first()
+    report = {n: found[n] for n in names}
+    stats = F.to_json(F.struct(F.lit(run_id).alias("original_run_id"), *[F.lit(report[n]).alias(n) for n in names]))
+    row = runs.agg((F.coalesce(F.max("run_id"), F.lit(0)) + 1).alias("run_id")).select(
+        "run_id", F.lit("rolled_back").alias("run_type"), F.lit("completed").alias("status"), stats.alias("stats"), as_of.alias("started_at"), as_of.alias("finished_at")
+    )
+    return after, runs.unionByName(row, allowMissingColumns=True), report | {"done_before": False}
+
+
 def updates_once(updates: DataFrame, stored: DataFrame) -> DataFrame:
     """Updates that aren't stored, one per id; updates without an id all stay."""
     known = updates.where(F.col("update_id").isNotNull()).dropDuplicates(["update_id"]).join(stored.select("update_id"), "update_id", "left_anti")

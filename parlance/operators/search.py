@@ -2,33 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+import json
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parlance.functions.text import headline, normalize_query, search_tokens
-from parlance.operators.governance import visible, without_tombstones
+from parlance.functions.text import cover_density, display_name, headline, iso_time, normalize_query, permalink, policy, russian_stem, search_tokens
+from parlance.operators.governance import ACTIVE, may_ask, visible, without_tombstones
+
+
+def _terms(tokens: Column, analyzer: str, stop_words: list[str]) -> Column:
+    """Tokens as they are compared: simple, or (russian) stemmed after common words are left out."""
+    if analyzer == "simple":
+        return tokens
+    kept = F.filter(tokens, lambda t: ~t.isin(*stop_words)) if stop_words else tokens
+    return F.transform(kept, russian_stem)
 
 
-def search(messages: DataFrame, queries: DataFrame, tombstones: DataFrame, limit: int = 3) -> DataFrame:
-    """query_id, chat_id, message_id, user_id, score, place: the best messages of each query's chat that hold all its terms.
+def search(messages: DataFrame, queries: DataFrame, tombstones: DataFrame, limit: int = 3, analyzer: str = "simple", stop_words: list[str] | None = None) -> DataFrame:
+    """query_id, chat_id, message_id, user_id, rank, place: the best messages of each query's chat that hold all its terms.
 
-    Messages are read once for all queries: their tokens are exploded, those of some query's terms are joined by an
-    equi-join, and a message counts when it has met every term. Score: occurrences of terms; ties go to the newer, then
-    to the greater id. Empty queries find nothing.
+    messages: with their current version's text (see current_versions). They are read once for all queries: of queried chats only those
+    with some queried term are looked at further; their tokens are joined with the terms by an equi-join, and a message counts
+    when it has met every term. Rank: cover density, to six places; ties go to the newer, then to the greater id. Empty queries find nothing.
     """
     if limit < 1:
         raise ValueError("limit must be positive")
-    terms = queries.select("query_id", F.col("chat_id").alias("q_chat"), F.array_distinct(search_tokens(normalize_query(F.col("query")))).alias("terms"))
-    wanted = terms.select("query_id", "q_chat", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-    shown = without_tombstones(visible(messages), tombstones)
-    counts = shown.select("chat_id", "message_id", F.explode(search_tokens(F.col("text"), F.col("caption"))).alias("term"))
-    # Only terms that are asked for are counted at all.
-    counts = counts.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("chat_id", "message_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    met = counts.join(wanted, (counts.term == wanted.term) & (counts.chat_id == wanted.q_chat)).groupBy("query_id", "n_terms", "chat_id", "message_id").agg(F.sum("tf").alias("score"), F.count(F.lit(1)).alias("met"))
-    found = met.where("met = n_terms").join(shown.select("chat_id", "message_id", "user_id", "captured_at"), ["chat_id", "message_id"])
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("captured_at"), F.desc("message_id")))
-    return found.withColumn("place", place).where(F.col("place") <= limit).select("query_id", "chat_id", "message_id", "user_id", "score", "place")
+    stop = stop_words or []
+    terms = queries.select("query_id", F.col("chat_id").alias("q_chat"), F.array_distinct(_terms(search_tokens(normalize_query(F.col("query"))), analyzer, stop)).alias("terms"))
+    wanted = terms.select("query_id", "q_chat", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("idx", "term"))
+    by_chat = wanted.groupBy("q_chat").agg(F.collect_set("term").alias("_asked"))
+    d = visible(messages).join(by_chat, F.col("chat_id") == F.col("q_chat")).withColumn("_tokens", _terms(search_tokens(F.col("text"), F.col("caption")), analyzer, stop))
+    shown = without_tombstones(d.where(F.arrays_overlap("_tokens", "_asked")), tombstones, ACTIVE)
+    at = shown.select("chat_id", "message_id", "user_id", "captured_at", F.posexplode("_tokens").alias("pos", "term"), "_asked").where(F.array_contains("_asked", F.col("term")))
+    met = at.join(wanted.withColumnRenamed("term", "w_term"), (F.col("term") == F.col("w_term")) & (F.col("chat_id") == F.col("q_chat")))
+    # A message's own places of terms come together, no more.
+    found = met.groupBy("query_id", "n_terms", "chat_id", "message_id", "user_id", "captured_at").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("idx").alias("term")))).alias("events"), F.count_distinct("term").alias("met"))
+    ranked = found.where("met = n_terms").withColumn("rank", F.round(cover_density(F.col("events"), F.col("n_terms")), 6))
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("rank"), F.desc("captured_at"), F.desc("message_id")))
+    return ranked.withColumn("place", place).where(F.col("place") <= limit).select("query_id", "chat_id", "message_id", "user_id", "rank", "place")
 
 
 def evidence(queries: DataFrame, hits: DataFrame) -> DataFrame:
@@ -52,6 +66,65 @@ def audit(queries: DataFrame, bundles: DataFrame, policies: DataFrame) -> DataFr
     return joined.select("query_id", F.when(F.col("memory_policy") == "normal", F.col("query")).alias("query_text"), "message_ids", "abstained")
 
 
+def recall(asked: DataFrame, users: DataFrame, messages: DataFrame, tombstones: DataFrame, community: int, limit: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Answers (query_id, message_id, user_id, place, author, link, rank) and a trace of every question asked by someone (query_id, user_id,
+    chat_id, query_text, query_redacted, message_ids, abstained).
+
+    asked: query_id, user_id, chat_id, query. Only known members and admins get answers, in the community's chat; else the trace
+    abstains. Questions that carry a marker leave no text.
+    """
+    u = users.select(F.col("user_id").alias("_u"), "is_member", "is_admin")
+    q = asked.where(F.col("user_id").isNotNull()).withColumn("query", F.trim(F.coalesce("query", F.lit(""))))
+    d = q.join(u, F.col("user_id") == F.col("_u"), "left")
+    allowed = d.where((F.col("chat_id") == community) & may_ask(F.col("_u"), F.col("is_member"), F.col("is_admin")) & (F.col("query") != "")).select("query_id", "chat_id", "query")
+    hits = search(messages, allowed, tombstones, limit)
+    names = users.select(F.col("user_id").alias("_author"), display_name(F.col("first_name"), F.col("last_name"), F.col("username")).alias("author"))
+    answers = hits.join(names, F.col("user_id") == F.col("_author"), "left").select("query_id", "message_id", "user_id", "place", F.coalesce("author", F.lit("—")).alias("author"), permalink(F.col("chat_id"), F.col("message_id")).alias("link"), "rank")
+    redacted = policy(F.col("query")) != "normal"
+    traces = q.join(evidence(q, hits), "query_id").select("query_id", "user_id", "chat_id", F.when(~redacted, F.col("query")).alias("query_text"), redacted.alias("query_redacted"), "message_ids", "abstained")
+    return answers, traces
+
+
+def evidence_json(hits: DataFrame) -> DataFrame:
+    """Each hit (with captured_at and message_date as timestamps, if it has them) as JSON with ISO times."""
+    times = [c for c, kind in hits.dtypes if kind.startswith("timestamp")]
+    return hits.select("query_id", F.to_json(F.struct(*[iso_time(F.col(c)).alias(c) if c in times else F.col(c) for c in hits.columns])).alias("item"))
+
+
+class SeedError(ValueError):
+    """Rows of a retrieval seed that contradict each other."""
+
+
+def check_seed(messages: DataFrame, queries: DataFrame) -> None:
+    """Raise SeedError unless ids (seed_local_id; query_id) are unique and not empty, every expected id is a message's, and queries expect ids
+    exactly if they don't expect abstention. Only the first offender of each rule reaches the driver."""
+    expected = queries.select("query_id", "expected_abstain", F.coalesce("expected_ids", F.array().cast("array<string>")).alias("e"))
+    rules = {
+        "seed_local_id is missing": messages.where(F.coalesce("seed_local_id", F.lit("")) == "").select(F.lit("").alias("x")),
+        "seed_local_id occurs twice": messages.groupBy(F.col("seed_local_id").alias("x")).count().where("count > 1"),
+        "query is missing": queries.where((F.coalesce("query_id", F.lit("")) == "") | (F.coalesce("query", F.lit("")) == "") | F.col("expected_abstain").isNull()).select(F.col("query_id").alias("x")),
+        "query_id occurs twice": queries.groupBy(F.col("query_id").alias("x")).count().where("count > 1"),
+        "expected id is unknown": expected.select(F.explode("e").alias("x")).join(messages.select(F.col("seed_local_id").alias("x")), "x", "left_anti"),
+        "abstention contradicts expected ids": expected.where(F.col("expected_abstain") == (F.size("e") > 0)).select(F.col("query_id").alias("x")),
+    }
+    for what, rows in rules.items():
+        if (row := rows.select("x").first()) is not None:
+            raise SeedError(f"{what}: {row.x!r}")
+
+
+def seed_digest(lines: list[dict]) -> str:
+    """SHA-256 of a seed's rows as canonical JSON Lines. A seed is a test fixture of a few rows."""
+    body = "\n".join(json.dumps(x, ensure_ascii=False, sort_keys=True, separators=(",", ":")) for x in lines)
+    return hashlib.sha256(f"{body}\n".encode()).hexdigest()
+
+
+def expected_messages(queries: DataFrame, mapping: DataFrame) -> DataFrame:
+    """query_id, expected_ids: message ids (in order) of the seed's own ids. mapping: seed_local_id, message_id."""
+    each = queries.select("query_id", F.posexplode("expected_ids").alias("pos", "seed_local_id")).join(mapping, "seed_local_id")
+    found = each.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "message_id"))), lambda x: x["message_id"]).alias("ids"))
+    return queries.select("query_id").join(found, "query_id", "left").select("query_id", F.coalesce("ids", F.array().cast("array<bigint>")).alias("expected_ids"))
+
+
 def retrieval_scores(bundles: DataFrame, expected: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
     """recall and precision at each k. expected: query_id, expected_ids. No expected ids: recall 0."""
     if min(ks) < 1:

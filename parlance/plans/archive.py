@@ -34,22 +34,28 @@ def asked(spark):
 
 VISIBLE_SQL = """, shown AS (
   SELECT * FROM messages m WHERE memory_policy = 'normal' AND NOT is_redacted AND NOT EXISTS (
-    SELECT 1 FROM tombstones t WHERE t.tombstone_key IN (concat('message:', m.chat_id, ':', m.message_id), 'message_hash:' || m.content_hash, concat('user:', m.user_id)))
+    SELECT 1 FROM tombstones t WHERE t.tombstone_key IN (concat('message:', m.chat_id, ':', m.message_id), 'message_hash:' || m.content_hash, concat('user:', m.user_id)) AND t.status IN ('pending', 'processing', 'completed'))
 )"""
 FOUND_SQL = (
     ASKED_SQL
     + VISIBLE_SQL
     + r""", terms AS (SELECT query_id, chat_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(trim(query)), '[^\p{L}\p{N}]+'), lambda t: t <> ''))) AS term FROM asked),
-tokens AS (SELECT chat_id, message_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '')) AS term FROM shown),
-tf AS (SELECT chat_id, message_id, term, count(*) AS n FROM tokens GROUP BY ALL),
-met AS (SELECT query_id, t.chat_id, message_id, CAST(sum(n) AS BIGINT) AS score, count(*) AS met FROM tf t JOIN terms q ON t.term = q.term AND t.chat_id = q.chat_id GROUP BY ALL),
-hits AS (SELECT query_id, chat_id, message_id, message_id % 97 AS user_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, message_id DESC) AS place
-         FROM met WHERE met = (SELECT count(*) FROM terms q WHERE q.query_id = met.query_id) QUALIFY place <= 3)
+toks AS (SELECT chat_id, message_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '') AS ts FROM shown),
+tok AS (SELECT chat_id, message_id, unnest(ts) AS term, generate_subscripts(ts, 1) AS pos FROM toks),
+ev AS (SELECT query_id, t.chat_id, message_id, t.term, pos FROM tok t JOIN terms q ON t.term = q.term AND t.chat_id = q.chat_id),
+need AS (SELECT query_id, count(*) AS n FROM terms GROUP BY query_id),
+one AS (SELECT e.query_id, e.chat_id, e.message_id, e.pos, o.term, max(o.pos) AS m FROM ev e JOIN ev o ON e.query_id = o.query_id AND e.chat_id = o.chat_id AND e.message_id = o.message_id AND o.pos <= e.pos GROUP BY ALL),
+beg AS (SELECT query_id, chat_id, message_id, pos, CASE WHEN count(*) = any_value(n) THEN min(m) ELSE -1 END AS s FROM one JOIN need USING (query_id) GROUP BY ALL),
+cov AS (SELECT *, coalesce(lag(s) OVER (PARTITION BY query_id, chat_id, message_id ORDER BY pos), -1) AS before FROM beg),
+worth AS (SELECT c.query_id, c.chat_id, c.message_id, c.pos, 0.1::DOUBLE / (1 + (c.pos - c.s) - (count(*) - 1)) AS w FROM cov c JOIN ev e ON c.query_id = e.query_id AND c.chat_id = e.chat_id AND c.message_id = e.message_id AND e.pos BETWEEN c.s AND c.pos WHERE c.s > c.before GROUP BY c.query_id, c.chat_id, c.message_id, c.pos, c.s),
+ranked AS (SELECT query_id, chat_id, message_id, round(sum(w), 6) AS rank FROM worth GROUP BY ALL),
+hits AS (SELECT query_id, chat_id, message_id, message_id % 97 AS user_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, message_id DESC) AS place
+         FROM ranked QUALIFY place <= 3)
 """
 )
 
 
-@query("messages", "tombstones", oracle=FOUND_SQL + "SELECT query_id, chat_id, message_id, user_id, score, place FROM hits")
+@query("messages", "tombstones", oracle=FOUND_SQL + "SELECT query_id, chat_id, message_id, user_id, rank, place FROM hits")
 def governed_search_topk(spark, messages, tombstones):
     return search.search(messages, asked(spark), tombstones)
 
@@ -86,7 +92,7 @@ def recall_precision(spark, messages, tombstones):
 
 @query("messages", "tombstones", oracle=VISIBLE_SQL + " SELECT chat_id, message_id FROM shown")
 def tombstone_antijoin(spark, messages, tombstones):
-    return governance.without_tombstones(governance.visible(messages), tombstones).select("chat_id", "message_id")
+    return governance.without_tombstones(governance.visible(messages), tombstones, governance.ACTIVE).select("chat_id", "message_id")
 
 
 @query(
@@ -141,18 +147,18 @@ def version_chain(spark, messages):
 
 @query(
     "messages",
-    oracle=""", r AS (SELECT *, CASE memory_policy WHEN 'offrecord' THEN 2 WHEN 'nomem' THEN 1 ELSE 0 END AS s FROM messages)
-SELECT chat_id, user_id AS message_id, sha256(arg_min(text, message_id)) AS text_hash, arg_max(memory_policy, s) AS memory_policy, bool_or(is_redacted) AS is_redacted FROM r GROUP BY chat_id, user_id""",
+    oracle=""" SELECT chat_id, user_id AS message_id, sha256(arg_min(text, message_id)) AS text_hash, min(captured_at) AS captured_at, bool_or(is_redacted) AS is_redacted,
+coalesce(arg_min(memory_policy, message_id) FILTER (memory_policy IN ('offrecord', 'forgotten')), arg_max(memory_policy, message_id)) AS memory_policy FROM messages GROUP BY chat_id, user_id""",
 )
 def upsert_policy_ratchet(spark, messages):
-    e = _edited(messages).select("chat_id", "message_id", "text", "memory_policy", "is_redacted", "arrival")
-    return versions.upsert_messages(e.limit(0).drop("arrival"), e).select("chat_id", "message_id", F.sha2("text", 256).alias("text_hash"), "memory_policy", "is_redacted")
+    e = _edited(messages).select("chat_id", "message_id", "text", "memory_policy", "is_redacted", "arrival", F.col("arrival").alias("captured_at"))
+    return versions.upsert_messages(e.limit(0).drop("arrival"), e).select("chat_id", "message_id", F.sha2("text", 256).alias("text_hash"), "captured_at", "memory_policy", "is_redacted")
 
 
 @query(
     "messages",
     "tombstones",
-    oracle=""", due AS (SELECT * FROM tombstones WHERE status = 'pending' ORDER BY created_at, id LIMIT 10), hit AS (SELECT DISTINCT m.chat_id, m.message_id FROM messages m JOIN due d ON d.target_type <> 'message_hash'
+    oracle=""", due AS (SELECT * FROM tombstones WHERE status = 'pending' ORDER BY created_at, id LIMIT 10), hit AS (SELECT DISTINCT m.chat_id, m.message_id FROM messages m JOIN due d ON d.target_type <> 'message_hash' AND d.target_id <> 'none'
 AND d.tombstone_key IN (concat('message:', m.chat_id, ':', m.message_id), concat('user:', m.user_id)))
 SELECT m.chat_id, m.message_id, h.message_id IS NOT NULL OR is_redacted AS is_redacted, CASE WHEN h.message_id IS NOT NULL THEN 'forgotten' ELSE memory_policy END AS memory_policy, h.message_id IS NULL AS has_text, content_hash
 FROM messages m LEFT JOIN hit h ON h.chat_id = m.chat_id AND h.message_id = m.message_id""",
@@ -162,8 +168,36 @@ def forget_cascade(spark, messages, tombstones):
     return after["messages"].select("chat_id", "message_id", "is_redacted", "memory_policy", F.col("text").isNotNull().alias("has_text"), "content_hash")
 
 
-KIND = """CASE WHEN type = 'service' THEN 'service' WHEN forwarded_from IS NOT NULL THEN 'forward' WHEN media_type = 'voice_message' THEN 'voice' WHEN media_type IS NOT NULL THEN 'unknown' WHEN photo IS NOT NULL THEN 'photo'
-WHEN mime_type LIKE 'application/%' THEN 'document' WHEN length(text) > 0 THEN 'text' ELSE 'unknown' END"""
+@query(
+    "messages",
+    "tombstones",
+    oracle=""", due AS (SELECT * FROM tombstones WHERE status = 'pending' ORDER BY created_at, id LIMIT 10)
+SELECT t.id, CASE WHEN d.id IS NULL THEN t.status WHEN d.target_id = 'none' AND d.target_type <> 'message_hash' THEN 'failed' ELSE 'completed' END AS status,
+CASE WHEN d.id IS NULL OR (d.target_id = 'none' AND d.target_type <> 'message_hash') THEN NULL WHEN d.target_type = 'message_hash' THEN 'skipped target_type_not_supported_yet' WHEN d.target_type = 'user' THEN 'completed ' ELSE 'completed not_applicable' END AS traces,
+CASE WHEN d.id IS NULL OR (d.target_id = 'none' AND d.target_type <> 'message_hash') THEN NULL WHEN d.target_type = 'message_hash' THEN 'skipped target_type_not_supported_yet' ELSE 'skipped table_not_exists' END AS links
+FROM tombstones t LEFT JOIN due d ON d.id = t.id""",
+)
+def forget_events_after(spark, messages, tombstones):
+    _, events = governance.forget_cascade({"messages": messages}, tombstones)
+    said = lambda layer: F.when(F.col("cascade").isNotNull(), F.concat(F.col("cascade")[layer]["status"], F.lit(" "), F.coalesce(F.col("cascade")[layer]["reason"], F.lit(""))))
+    return events.select("id", "status", said("traces").alias("traces"), said("links").alias("links"))
+
+
+@query(
+    "messages",
+    "tombstones",
+    "exported",
+    oracle=""", u AS (SELECT DISTINCT try_cast(target_id AS BIGINT) AS u FROM tombstones WHERE status = 'pending' AND target_type = 'user' AND target_id <> 'none')
+SELECT place, CASE WHEN user_id IN (SELECT u FROM u) AND place % 5 <> 0 THEN NULL ELSE sha256(text) END AS query_text, place % 5 = 0 OR user_id IN (SELECT u FROM u) AS query_redacted FROM exported""",
+)
+def forgotten_traces(spark, messages, tombstones, exported):
+    traces = exported.select("place", "user_id", F.sha2("text", 256).alias("query_text"), (F.col("place") % 5 == 0).alias("query_redacted"))
+    after, _ = governance.forget_cascade({"messages": messages, "traces": traces}, tombstones, limit=1_000_000)
+    return after["traces"].select("place", "query_text", "query_redacted")
+
+
+KIND = """CASE WHEN type = 'service' THEN 'service' WHEN forwarded_from IS NOT NULL THEN 'forward' WHEN media_type = 'voice_message' THEN 'voice' WHEN media_type = 'photo' THEN 'photo' WHEN media_type IS NOT NULL THEN 'unknown' WHEN photo IS NOT NULL THEN 'photo'
+WHEN location_information IS NOT NULL THEN 'location' WHEN contact_information IS NOT NULL THEN 'contact' WHEN poll IS NOT NULL THEN 'poll' WHEN dice IS NOT NULL THEN 'dice' WHEN mime_type LIKE 'application/%' THEN 'document' WHEN text IS NOT NULL THEN 'text' ELSE 'unknown' END"""
 
 
 @query("exported", oracle=f" SELECT {KIND} AS kind, count(*) AS n FROM exported GROUP BY 1")
@@ -249,7 +283,7 @@ def funnel_by_status(spark, applications):
     return community.funnel(applications)
 
 
-@query("applications", oracle=" SELECT count(*) AS total, count(*) FILTER (status IN ('pending', 'vouched', 'added', 'rejected')) AS filled, count(*) FILTER (status IN ('pending', 'vouched')) AS waiting, count(*) FILTER (status = 'added') AS added, count(*) FILTER (status = 'rejected') AS rejected FROM applications")
+@query("applications", oracle=" SELECT count(*) AS total, count(*) FILTER (status IN ('pending', 'vouched', 'added', 'rejected')) AS filled, count(*) FILTER (status = 'pending') AS waiting, count(*) FILTER (status = 'added') AS added, count(*) FILTER (status = 'rejected') AS rejected FROM applications")
 def dashboard_counts(spark, applications):
     return community.dashboard(applications)
 
@@ -275,19 +309,30 @@ def admin_stats(spark, users, intros):
     return community.admin_stats(users, intros)
 
 
-@query("applications", oracle=f" SELECT id, user_id FROM applications WHERE status = 'pending' AND coalesce(submitted_at, created_at) < {AS_OF} - INTERVAL 72 HOUR")
+@query(
+    "applications",
+    oracle=f""" SELECT id, unnest(CASE WHEN coalesce(submitted_at, created_at) < {AS_OF} - INTERVAL 72 HOUR THEN ['reject'] WHEN created_at < {AS_OF} - INTERVAL 48 HOUR
+THEN list_filter([CASE WHEN nudged_at IS NULL THEN 'nudge' END, CASE WHEN notified_at IS NULL THEN 'notify' END], lambda x: x IS NOT NULL) END) AS action FROM applications WHERE status = 'pending'""",
+)
 def vouch_deadlines(spark, applications):
-    return community.overdue(applications, F.expr(AS_OF), 72).select("id", "user_id")
+    return community.vouch_deadlines(applications, F.expr(AS_OF))
 
 
-@query("intros", oracle=" SELECT user_id FROM intros WHERE intro_at < 3000")
+@query("intros", oracle=f" SELECT user_id FROM intros WHERE updated_at < {AS_OF} - INTERVAL 90 DAY")
 def stale_intros(spark, intros):
-    return intros.where(F.col("intro_at") < 3000).select("user_id")
+    return community.stale_intros(intros, F.expr(AS_OF), 90).select("user_id")
 
 
-@query("intros", oracle=" SELECT user_id, CASE WHEN user_id % 10 >= 8 THEN 'done' WHEN user_id % 10 < 5 THEN 'daily' WHEN user_id % 4 >= 2 THEN 'every_2_days' ELSE 'daily' END AS phase FROM intros")
+@query(
+    "intros",
+    oracle=""", t AS (SELECT user_id, CASE user_id % 3 WHEN 0 THEN 'daily' WHEN 1 THEN 'every_2_days' ELSE 'done' END AS phase, user_id % 10 AS sent, CASE WHEN user_id % 7 > 0 THEN user_id % 4 END AS age FROM intros),
+n AS (SELECT *, CASE WHEN phase = 'done' THEN 'done' WHEN phase = 'daily' AND sent < 5 THEN 'daily' WHEN sent < 8 THEN 'every_2_days' ELSE 'done' END AS next FROM t)
+SELECT user_id, next AS phase, CASE next WHEN 'daily' THEN coalesce(age >= 1, true) WHEN 'every_2_days' THEN coalesce(age >= 2, true) ELSE false END AS due FROM n""",
+)
 def intro_refresh(spark, intros):
-    return intros.select("user_id", community.refresh_step(F.lit("daily"), F.col("user_id") % 10, F.col("user_id") % 4).alias("phase"))
+    phase = F.element_at(F.array(F.lit("daily"), F.lit("every_2_days"), F.lit("done")), (F.col("user_id") % 3).cast("int") + 1)
+    step = community.refresh_step(phase, F.col("user_id") % 10, F.when(F.col("user_id") % 7 > 0, F.col("user_id") % 4))
+    return intros.select("user_id", step.alias("s")).select("user_id", "s.phase", "s.due")
 
 
 @query("users", oracle=r" SELECT user_id FROM users WHERE name ILIKE '%r#00%1_3%' OR username ILIKE '%r#00%1_3%'")
@@ -295,9 +340,14 @@ def member_search(spark, users):
     return community.search_members(users, "R#00%1_3", ["name", "username"]).select("user_id")
 
 
-@query("users", oracle=" SELECT user_id, name AS display, concat('https://t.me/c/', user_id, '/', user_id) AS link FROM users")
+@query(
+    "users",
+    oracle=""" SELECT user_id, CASE WHEN user_id % 5 > 0 THEN concat(name, CASE WHEN user_id % 2 = 0 THEN ' &lt;b&gt;' ELSE '' END) WHEN username IS NOT NULL THEN concat('@', username) ELSE '—' END AS display,
+concat('https://t.me/c/', user_id, '/', user_id) AS link FROM users""",
+)
 def member_names(spark, users):
-    return users.select("user_id", T.display_name(F.col("name"), F.lit(None), F.col("username"), F.col("user_id")).alias("display"), T.permalink(F.concat(F.lit("-100"), F.col("user_id").cast("string")), F.col("user_id")).alias("link"))
+    first, last = F.when(F.col("user_id") % 5 > 0, F.col("name")), F.when(F.col("user_id") % 2 == 0, "<b>")
+    return users.select("user_id", T.display_name(first, last, F.col("username")).alias("display"), T.permalink(F.concat(F.lit("-100"), F.col("user_id").cast("string")), F.col("user_id")).alias("link"))
 
 
 @query("applications", oracle=""", o AS (SELECT id, user_id AS application_id, CASE WHEN id % 4 = 0 THEN 'sent' ELSE 'pending' END AS status, created_at FROM applications)
@@ -348,17 +398,23 @@ def forget_event_lifecycle(spark, tombstones):
     return governance.apply_transitions(tombstones.select("id", "status"), wanted)[0]
 
 
-@query("users", oracle=" SELECT user_id, CASE WHEN user_id % 5 = 0 THEN 'none' ELSE decision END AS decision FROM (SELECT user_id, CASE WHEN user_id % 3 = 0 THEN 'continue' WHEN user_id % 3 = 1 THEN 'refuse' ELSE 'start' END AS decision FROM users)")
+@query(
+    "users",
+    oracle=""", r AS (SELECT user_id, CASE user_id % 6 WHEN 0 THEN 'running' WHEN 1 THEN 'failed' WHEN 2 THEN 'completed' WHEN 3 THEN 'cancelled' END AS status, user_id % 4 < 2 AS resume, CASE WHEN user_id % 5 = 0 THEN 'failed' WHEN user_id % 5 = 1 THEN 'completed' END AS other FROM users)
+SELECT user_id, CASE WHEN status IN ('completed', 'cancelled') THEN 'start_fresh' WHEN status IS NOT NULL THEN CASE WHEN resume THEN 'resume_existing' ELSE 'block_partial_present' END
+WHEN resume AND other = 'failed' THEN 'block_partial_present' ELSE 'start_fresh' END AS decision FROM r""",
+)
 def resume_decisions(spark, users):
-    status = F.element_at(F.array(F.lit("failed"), F.lit("completed"), F.lit(None).cast("string")), (F.col("user_id") % 3).cast("int") + 1)
-    d = ingest.resume_decision(status, F.lit(True), F.lit(True))
-    return users.select("user_id", F.when(F.col("user_id") % 5 == 0, "none").otherwise(d).alias("decision"))
+    status = F.element_at(F.array(*map(F.lit, ("running", "failed", "completed", "cancelled")), *[F.lit(None).cast("string")] * 2), (F.col("user_id") % 6).cast("int") + 1)
+    other = F.when(F.col("user_id") % 5 == 0, "failed").when(F.col("user_id") % 5 == 1, "completed")
+    return users.select("user_id", ingest.resume_decision(status, F.col("user_id") % 4 < 2, other).alias("decision"))
 
 
-@query("users", oracle=" SELECT user_id, CASE WHEN user_id % 4 = 0 THEN 'no_application' WHEN user_id % 4 = 1 THEN 'wrong_status' WHEN user_id % 8 = 2 THEN 'wrong_user' ELSE 'ok' END AS reason FROM users")
+@query("users", oracle=" SELECT user_id, CASE WHEN user_id % 5 = 0 THEN 'no_application' WHEN user_id % 5 IN (1, 2) THEN 'wrong_status' WHEN user_id % 8 = 3 THEN 'wrong_user' ELSE 'ok' END AS reason FROM users")
 def admission_reasons(spark, users):
     u = F.col("user_id")
-    return users.select("user_id", community.admission(u % 4 != 0, F.when(u % 4 == 1, "pending").otherwise("vouched"), F.when(u % 8 == 2, u + 1).otherwise(u), u).alias("reason"))
+    status = F.when(u % 5 == 1, "pending").when(u % 5 == 2, "added").otherwise("vouched")
+    return users.select("user_id", community.admission(u % 5 != 0, status, F.when(u % 8 == 3, u + 1).otherwise(u), u).alias("reason"))
 
 
 @query("users", "intros", "applications", oracle=" SELECT 'users' AS name, count(*) AS n FROM users UNION ALL SELECT 'intros', count(*) FROM intros UNION ALL SELECT 'applications', count(*) FROM applications")

@@ -28,11 +28,12 @@ TABLES = {
         "documents",
         {
             "tombstone_key": "CASE doc_id % 3 WHEN 0 THEN concat('message:', CAST(CAST(replace(source, 'src', '') AS BIGINT) % 4 AS STRING), ':', CAST(doc_id AS STRING)) WHEN 1 THEN concat('message_hash:', sha256(text)) ELSE concat('user:', CAST(doc_id % 97 AS STRING)) END",
-            "status": "CASE WHEN doc_id % 5 = 0 THEN 'pending' ELSE 'completed' END",
+            "status": "CASE WHEN doc_id % 5 = 0 THEN 'pending' WHEN doc_id % 5 = 1 THEN 'failed' ELSE 'completed' END",
             "id": "doc_id",
             "target_type": "CASE doc_id % 3 WHEN 0 THEN 'message' WHEN 1 THEN 'message_hash' ELSE 'user' END",
             "created_at": "-doc_id",
-            "keep": "doc_id % 50 = 7",
+            "target_id": "CASE WHEN doc_id % 7 = 3 THEN 'none' ELSE CAST(CASE WHEN doc_id % 3 = 2 THEN doc_id % 97 ELSE doc_id END AS STRING) END",
+            "keep": "doc_id % 49 = 7",
         },
     ),
     "exported": (
@@ -44,7 +45,12 @@ TABLES = {
             "type": "CASE WHEN (conv_id + turn) % 12 = 5 THEN 'service' ELSE 'message' END",
             "from_id": "CASE WHEN conv_id % 10 = 3 THEN concat('channel', CAST(conv_id AS STRING)) ELSE concat('user', CAST(conv_id % 40 AS STRING)) END",
             "user_id": "conv_id % 40",
-            "media_type": "CASE WHEN (conv_id + turn) % 7 = 0 THEN 'voice_message' WHEN (conv_id + turn) % 7 = 1 THEN 'hologram' END",
+            "media_type": "CASE WHEN (conv_id + turn) % 7 = 0 THEN 'voice_message' WHEN (conv_id + turn) % 7 = 1 THEN 'hologram' WHEN (conv_id + turn) % 35 = 2 THEN 'photo' END",
+            "location_information": "CASE WHEN (conv_id + turn) % 9 = 1 THEN '{}' END",
+            "contact_information": "CASE WHEN (conv_id + turn) % 9 = 2 THEN '{}' END",
+            "poll": "CASE WHEN (conv_id + turn) % 9 = 3 THEN '{}' END",
+            "dice": "CASE WHEN (conv_id + turn) % 9 = 4 THEN '{}' END",
+            "text_entities": "CAST(NULL AS STRING)",
             "forwarded_from": "CASE WHEN (conv_id + turn) % 6 = 0 THEN 'someone' END",
             "photo": "CASE WHEN (conv_id + turn) % 8 = 0 THEN 'p.jpg' END",
             "mime_type": "CASE WHEN (conv_id + turn) % 8 = 1 THEN 'application/pdf' END",
@@ -65,7 +71,18 @@ TABLES = {
             "is_admin": "c_custkey % 50 = 0",
         },
     ),
-    "intros": ("customer", {"user_id": "c_custkey", "intro_at": "c_custkey * 3", "keep": "c_custkey % 5 < 3"}),
+    "intros": (
+        "customer",
+        {
+            "user_id": "c_custkey",
+            "intro_at": "c_custkey * 3",
+            "intro_text": "concat('intro of ', c_name)",
+            "voucher": "CASE WHEN c_custkey % 7 = 0 THEN '' ELSE c_mktsegment END",
+            "updated_at": "TIMESTAMP '1997-01-01 00:00:00' + INTERVAL '1' DAY * (c_custkey % 700)",
+            "row_number": "CASE WHEN c_custkey % 3 = 0 THEN c_custkey + 1 END",
+            "keep": "c_custkey % 5 < 3",
+        },
+    ),
     "applications": (
         "orders",
         {
@@ -73,7 +90,9 @@ TABLES = {
             "user_id": "o_custkey",
             "status": "CASE WHEN o_orderstatus = 'P' THEN 'pending' WHEN o_orderstatus = 'O' THEN CASE WHEN o_orderkey % 3 = 0 THEN 'vouched' WHEN o_orderkey % 3 = 1 THEN 'filling' ELSE 'pending' END WHEN o_orderkey % 5 = 0 THEN 'rejected' ELSE 'added' END",
             "created_at": "o_orderdate",
-            "submitted_at": "CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate END",
+            "submitted_at": "CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate + INTERVAL '1' DAY END",
+            "nudged_at": "CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate END",
+            "notified_at": "CASE WHEN o_orderkey % 4 = 0 THEN o_orderdate END",
             "voucher_id": "CASE WHEN o_orderkey % 3 = 0 THEN (o_custkey * 7) % 1000 + 1 END",
         },
     ),

@@ -3,45 +3,121 @@
 from __future__ import annotations
 
 import hashlib
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MESSAGE = (
-    "id string, type string, date string, date_unixtime string, `from` string, from_id string, text string, text_entities array<struct<type:string,text:string>>, "
-    "reply_to_message_id bigint, forwarded_from string, edited string, edited_unixtime string, media_type string, mime_type string, photo string, file string, "
-    "action string, actor string, actor_id string"
-)
+# Fields of an exported message that are read, beside its text and entities.
+FIELDS = "type date date_unixtime from from_id reply_to_message_id forwarded_from edited edited_unixtime media_type mime_type photo file action actor actor_id width height duration_seconds".split()
+NUMBERS = ["reply_to_message_id", "width", "height", "duration_seconds"]
+#: Objects that tell a message's kind, as JSON.
+OBJECTS = ["location_information", "contact_information", "poll", "dice"]
+ENTITIES = "array<struct<offset:int,length:int,type:string,text:string>>"
 
 
 class ExportError(ValueError):
     """The file is no export of one conversation."""
 
 
-def read_export(spark: SparkSession, path: str) -> DataFrame:
-    """Messages of an export (one JSON object), a row each, with chat_id, place (in the file) and text as it stands in the file.
-
-    A file that is no JSON object, holds a whole account (chats), or lacks a list of messages raises ExportError. Entries that are
-    no objects or have no id are left out here; unreadable_entries() returns them.
-    """
+def _open_export(spark: SparkSession, path: str) -> DataFrame:
+    """chat_id, place, m: the entries of an export as variants. A missing file raises FileNotFoundError, a file that is no JSON
+    object, holds a whole account (chats), or whose messages are no list or (required) not there raises ExportError."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        raise FileNotFoundError(path)
     raw = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
-    top = raw.select(F.expr("schema_of_variant(v)").alias("s"), F.expr("try_variant_get(v, '$.chats') is not null").alias("account"), F.expr("try_variant_get(v, '$.messages', 'array<variant>')").isNotNull().alias("listed")).first()
+    get = lambda p, kind: F.expr(f"try_variant_get(v, '$.{p}', '{kind}')")
+    top = raw.select(F.expr("schema_of_variant(v)").alias("s"), get("chats", "array<variant>").isNotNull().alias("account"), get("messages", "variant").isNotNull().alias("there"), get("messages", "array<variant>").isNotNull().alias("listed")).first()
     if top is None or top.s is None or not top.s.startswith("OBJECT"):
         raise ExportError("not a JSON object")
-    if top.account or not top.listed:
-        raise ExportError("no conversation's list of messages")
-    entries = raw.select(F.expr("try_variant_get(v, '$.id', 'bigint')").alias("chat_id"), F.posexplode(F.expr("variant_get(v, '$.messages', 'array<variant>')")).alias("place", "m"))
-    fields = [f.strip().split(" ")[0].strip("`") for f in MESSAGE.split(",") if " " in f.strip() and "<" not in f and ">" not in f]
-    get = lambda name, kind="string": F.expr(f"try_variant_get(m, '$.{name}', '{kind}')")
-    d = entries.select("chat_id", "place", *[get(f, "bigint" if f == "reply_to_message_id" else "string").alias(f) for f in fields if f not in ("text",)], flatten_text().alias("text"), get("id").isNull().alias("_bad"))
-    return d.where("not _bad").drop("_bad").withColumn("id", F.col("id").try_cast("long")).where("id is not null")
+    if top.account:
+        raise ExportError("a whole account, not one conversation")
+    if not top.listed:
+        raise ExportError("messages is no list" if top.there else "no messages")
+    return raw.select(get("id", "bigint").alias("chat_id"), F.posexplode(get("messages", "array<variant>")).alias("place", "m"))
+
+
+def export_chat_id(spark: SparkSession, path: str) -> int:
+    """The conversation's id; ExportError if it is no whole number."""
+    row = spark.read.text(path, wholetext=True).select(F.expr("schema_of_variant(variant_get(try_parse_json(value), '$.id', 'variant'))").alias("s"), F.expr("try_variant_get(try_parse_json(value), '$.id', 'bigint')").alias("id")).first()
+    if row is None or row.s != "BIGINT":
+        raise ExportError("the conversation's id is no whole number")
+    return row.id
+
+
+def split_export(spark: SparkSession, path: str, lines: str) -> None:
+    """Write an export's entries as JSON Lines (chat_id, place, m), a line each. An export is one object, which one task has to read; after
+    this, readers share the work."""
+    _open_export(spark, path).select("chat_id", "place", F.expr("to_json(m)").alias("m")).write.mode("errorifexists").json(lines)
+
+
+def read_split(spark: SparkSession, lines: str) -> DataFrame:
+    """Messages of a split export, as from read_export."""
+    return _messages(spark.read.schema("chat_id bigint, place int, m string").json(lines).withColumn("m", F.parse_json("m")))
+
+
+def read_export(spark: SparkSession, path: str) -> DataFrame:
+    """Messages of an export (one JSON object), a row each, with chat_id, place (in the file) and text, all its parts joined.
+
+    Entries that are no objects or have no whole number as id are left out here; unreadable_entries returns them. See _open_export for
+    errors. A large export is best split once (split_export).
+    """
+    return _messages(_open_export(spark, path))
+
+
+def _is_message():
+    return F.expr("schema_of_variant(m)").startswith("OBJECT") & F.coalesce(F.expr("schema_of_variant(try_variant_get(m, '$.id', 'variant'))") == "BIGINT", F.lit(False))
 
 
-def flatten_text():
-    """Text of the variant column m: a string, or a list of strings and objects with a text, joined."""
-    parts = F.expr("try_variant_get(m, '$.text', 'array<variant>')")
-    joined = F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_variant_get(p, "$.text", "string"), F.try_variant_get(p, "$", "string"), F.lit(""))), "")
-    return F.when(parts.isNotNull(), joined).otherwise(F.coalesce(F.expr("try_variant_get(m, '$.text', 'string')"), F.lit("")))
+def unreadable_entries(spark: SparkSession, path: str) -> DataFrame:
+    """chat_id, place, reason and entry (JSON) of what read_export leaves out."""
+    d = _open_export(spark, path)
+    reason = F.when(~F.expr("schema_of_variant(m)").startswith("OBJECT"), "no object").when(F.expr("try_variant_get(m, '$.id', 'variant')").isNull(), "no id").otherwise("id is no whole number")
+    return d.where(~_is_message()).select("chat_id", "place", reason.alias("reason"), F.expr("to_json(m)").alias("entry"))
+
+
+def _messages(entries: DataFrame) -> DataFrame:
+    get = lambda name, kind="string": F.expr(f"try_variant_get(m, '$.{name}', '{kind}')")
+    return entries.where(_is_message()).select(
+        "chat_id",
+        "place",
+        get("id", "bigint").alias("id"),
+        *[get(f, "bigint" if f in NUMBERS else "string").alias(f) for f in FIELDS],
+        *[F.expr(f"to_json(try_variant_get(m, '$.{f}', 'variant'))").alias(f) for f in OBJECTS],
+        get("poll.question").alias("poll_question"),
+        get("contact_information.first_name").alias("contact_first_name"),
+        get("contact_information.last_name").alias("contact_last_name"),
+        F.when(get("text", "variant").isNotNull(), flatten_text("text")).alias("text"),
+        get("text_entities", ENTITIES).alias("text_entities"),
+        flatten_text("text_entities").alias("entities_text"),
+    )
+
+
+#: How deep lists may stand in lists; the format has one level.
+DEPTH = 3
+
+
+def flatten_text(field: str):
+    """Text of a field of the variant column m: a string or number, or a list of strings, numbers, objects with a text that is a
+    string, and such lists, joined; all else is left out. Empty if there is none."""
+
+    def one(v, depth: int):
+        kind = F.schema_of_variant(v)
+        plain = F.when(kind == "STRING", F.try_variant_get(v, "$", "string")).when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL.*)$"), F.try_variant_get(v, "$", "string"))
+        inner = F.try_variant_get(v, "$.text", "variant")
+        plain = plain.when(kind.startswith("OBJECT") & (F.schema_of_variant(inner) == "STRING"), F.try_variant_get(v, "$.text", "string"))
+        if depth:
+            plain = plain.when(kind.startswith("ARRAY"), listed(F.try_variant_get(v, "$", "array<variant>"), depth - 1))
+        return F.coalesce(plain, F.lit(""))
+
+    def listed(items, depth: int):
+        return F.array_join(F.transform(items, lambda v: one(v, depth)), "")
+
+    whole = F.expr(f"try_variant_get(m, '$.{field}', 'variant')")
+    kind = F.schema_of_variant(whole)
+    text = F.when(kind.startswith("ARRAY"), listed(F.expr(f"try_variant_get(m, '$.{field}', 'array<variant>')"), DEPTH))
+    return F.coalesce(text.when(kind.rlike("^(STRING|BIGINT|DOUBLE|DECIMAL.*)$"), F.try_variant_get(whole, "$", "string")), F.lit(""))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -49,6 +125,25 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, _corrupt_record string").json(path)
 
 
+def check_jsonl(spark: SparkSession, path: str) -> None:
+    """Raise ValueError with the number of the first line that is no JSON object. Lines are numbered on the driver, up to that one: for
+    seeds, not for tables."""
+    for n, row in enumerate(spark.read.text(path).toLocalIterator(), 1):
+        if row.value.strip():
+            try:
+                ok = isinstance(json.loads(row.value), dict)
+            except ValueError:
+                ok = False
+            if not ok:
+                raise ValueError(f"{path}:{n}: no JSON object")
+
+
+def recent_history(spark: SparkSession, path: str, as_of, hours: int = 24, last: int = 50) -> DataFrame:
+    """The last rows (ts, role, text) of a JSON Lines file within so many hours before as_of."""
+    rows = spark.read.schema("ts timestamp, role string, text string").json(path)
+    return rows.where(F.col("ts") >= as_of - F.make_interval(hours=F.lit(hours))).orderBy(F.desc("ts")).limit(last)
+
+
 def read_sheet(spark: SparkSession, path: str, columns: int = 11) -> DataFrame:
     """Rows of a sheet saved as CSV with a header, padded to a number of columns; rows whose first cell is no integer are left out."""
     schema = ", ".join(f"c{i} string" for i in range(columns))
@@ -74,3 +169,8 @@ def write_version(df: DataFrame, table: str, version: int) -> str:
     path = f"{table}/v={version}"
     df.write.mode("errorifexists").parquet(path)
     return path
+
+
+def write_sheet(rows: DataFrame, path: str) -> None:
+    """A sheet's rows as CSV with a header, in the order of row_number. Readers of the folder see it once it is whole."""
+    rows.sort("row_number").write.mode("overwrite").option("header", True).csv(path)
