@@ -7,8 +7,8 @@ A mixer adds their logits with weights that are gated by how much the two longer
 refines the mixed chance by what such chances have been worth. Weights and map are learned online, from training
 tokens alone, each predicted with its own count left out. A score is the total coding cost.
 
-All contexts of a token hold the word before it, so tokens are dealt to groups by a hash of that word, and each group
-of some million tokens is a whole model of its contexts: what the model gathers grows with the corpus, and no task
+All contexts of a token hold the word before it, so tokens are dealt to groups, and in them to models, by a hash of that
+word. Each model, of most of a million tokens, has all of its contexts: what is gathered grows with the corpus, and no task
 holds more than one group. A word before that is too common for one group is dealt by the two (if both are common:
 three) words before. Tasks send packed columns, a row per group, and get back what each document's tokens cost.
 
@@ -34,10 +34,10 @@ from parlance.llm.common import cut, documents
 
 #: Words whose counts are broadcast, at most. The rest are joined: this bounds memory, not results.
 VOCABULARY = 1 << 17
-#: Tokens that a group aims at, and the share of them from which on a word before is dealt by more words.
-GROUP_TOKENS, HOT = 2_000_000, 8
+#: Tokens that a group aims at, and the share of them from which on a word before is dealt by more words; tokens of a model in it.
+GROUP_TOKENS, HOT, MODEL_TOKENS = 3_000_000, 8, 800_000
 #: Bytes of text that a task packs at once, and distinct events that are worked on at once.
-FLUSH_BYTES, BLOCK = 12_000_000, 60_000
+FLUSH_BYTES, BLOCK = 10_000_000, 60_000
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 END = 0  # place and hash of the end token, which also stands before a document's first word
 DEPTH = 52  # bits of a code, left-aligned
@@ -521,11 +521,20 @@ def _mix_group(table: pa.Table) -> pa.Table:
     words = np.split(at[1:], np.cumsum([len(h) for h in hashes])[:-1])
     for w, p in zip(words, parts, strict=True):
         spelling[w] = p[2]
-    one, two, token = (np.concatenate([w[_joined(p[k])] for w, p in zip(words, parts, strict=True)]) for k in (3, 4, 5))
-    number, trained = np.concatenate([_joined(p[7]) for p in parts]), np.concatenate([p[8] for p in parts]).astype(np.int64)
-    bits, left, escapes = event_bits(one, two, token, number * trained, len(known))
-    spelled = np.where(escapes, spelling[token], 0)
-    bits, left = (bits + spelled) * number, (np.where(trained > 0, left, bits) + spelled) * number
+    one, two, token = (np.concatenate([w[_joined(p[k])].astype(np.int32) for w, p in zip(words, parts, strict=True)]) for k in (3, 4, 5))
+    number, trained = np.concatenate([_joined(p[7]).astype(np.int32) for p in parts]), np.concatenate([p[8] for p in parts]).astype(bool)
+    bits, left = np.zeros(len(one), np.float32), np.zeros(len(one), np.float32)
+    # Each model has all events of its words before, so a group can be worked on in parts.
+    models = max(1, -(-int(number.sum()) // MODEL_TOKENS))
+    model = ((known.astype(np.uint64) * B) >> np.uint64(33)) % np.uint64(models)
+    for k in range(models):
+        at = np.flatnonzero(model[one] == k)
+        if len(at):
+            times = number[at] * trained[at]
+            some, less, escapes = event_bits(one[at].astype(np.int64), two[at].astype(np.int64), token[at].astype(np.int64), times, len(known))
+            spelled = np.where(escapes, spelling[token[at]], 0)
+            bits[at] = (some + spelled) * number[at]
+            left[at] = (np.where(trained[at], less, some) + spelled) * number[at]
     blobs, n = [], 0
     for p in parts:
         doc = np.cumsum(_joined(p[6]))
