@@ -171,10 +171,10 @@ def apply_import(messages: DataFrame, stored: DataFrame, raws: DataFrame, tombst
     ids = lambda df: df.select("chat_id", F.col("message_id").alias("id"))
     before = ids(stored).unionByName(ids(raws.where("update_id is null")))
     d = d.join(mark(ids(live), ["chat_id", "id"], "_live"), ["chat_id", "id"], "left").join(mark(before, ["chat_id", "id"], "_stored"), ["chat_id", "id"], "left")
-    for n, (_, name) in enumerate((("message", "_by_id"), ("message_hash", "_by_hash"), ("user", "_by_user"))):
-        keys = tombstone_keys(F.col("chat_id"), F.col("id"), F.col("content_hash"), F.col("user_id"))
-        own = F.filter(keys, lambda x, p=n + 1: x["priority"] == p)
-        d = d.withColumn("tombstone_key", F.get(own, F.lit(0))["key"]).join(mark(tombstones, ["tombstone_key"], name), "tombstone_key", "left").drop("tombstone_key")
+    keys = tombstone_keys(F.col("chat_id"), F.col("id"), F.col("content_hash"), F.col("user_id"))
+    d = d.withColumn("_keys", F.map_from_entries(F.transform(keys, lambda x: F.struct(x["priority"], x["key"]))))
+    for priority, name in ((1, "_by_id"), (2, "_by_hash"), (3, "_by_user")):
+        d = d.withColumn("tombstone_key", F.try_element_at("_keys", F.lit(priority))).join(mark(tombstones, ["tombstone_key"], name), "tombstone_key", "left").drop("tombstone_key")
     is_ = lambda c: F.coalesce(c, F.lit(False))
     alone = (
         F.when(F.col("id").isNull(), "no_id")

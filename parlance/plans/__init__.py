@@ -1 +1,3 @@
-"""Queries over the driver's tables."""
+"""Queries with their oracles."""
+
+from parlance.plans import archive, lifecycle  # noqa: F401  (each registers its queries)
