@@ -82,32 +82,38 @@ def assemble(rendered: DataFrame, max_chars: int = 1_000_000) -> DataFrame:
     return fit.groupBy("pair_id").agg(*[joined(p).alias(p) for p in ("prompt", "chosen", "rejected")], *[mask(p).alias(f"{p}_mask") for p in ("chosen", "rejected")])
 
 
-def neighbour_pairs(turns: DataFrame, conv: str = "conv_id") -> DataFrame:
-    """Conversations 2k and 2k + 1 as pair k, where both exist: chosen is the one whose last assistant turn is longer (equal: the even
-    one). A stand-in for human preferences, linear in the number of conversations."""
-    last = turns.where(F.col(conv).isNotNull()).groupBy(F.col(conv).alias("c")).agg(F.max(F.when(F.col("role") == TRAINED_ROLE, F.struct(F.col("turn").alias("t"), F.length("text").alias("n")))).alias("x"))
-    by_pair = last.groupBy(F.expr("c div 2").alias("pair_id")).agg(
-        F.max(F.when(F.col("c") % 2 == 0, F.col("c"))).alias("even"),
-        F.max(F.when(F.col("c") % 2 == 1, F.col("c"))).alias("odd"),
-        F.max(F.when(F.col("c") % 2 == 0, F.coalesce("x.n", F.lit(0)))).alias("n_even"),
-        F.max(F.when(F.col("c") % 2 == 1, F.coalesce("x.n", F.lit(0)))).alias("n_odd"),
-    )
-    odd_wins = F.col("n_odd") > F.col("n_even")
-    return by_pair.where("even is not null and odd is not null").select(
-        "pair_id", F.when(odd_wins, F.col("odd")).otherwise(F.col("even")).alias("chosen"), F.when(odd_wins, F.col("even")).otherwise(F.col("odd")).alias("rejected")
-    )
+def continuations(turns: DataFrame, conv: str = "conv_id") -> tuple[DataFrame, DataFrame]:
+    """Turns and pairs that share a history, from every conversation with an assistant turn: what comes before its last one,
+    followed by that turn (chosen) or by its neighbour's last one (rejected). Neighbours are conversations 2k and 2k + 1; where the
+    neighbour has none, the history alone is rejected. A stand-in for human preferences, linear in the turns.
+    """
+    t = turns.where(F.col(conv).isNotNull()).select(F.col(conv).cast("long").alias("c"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    said = t.where(F.col("role") == TRAINED_ROLE)
+    last = said.groupBy("c").agg(F.max("turn").alias("last")).where("last is not null")
+    known = t.join(last, "c")
+    history = known.where(F.col("turn").isNull() | (F.col("turn") < F.col("last")))
+    answers = said.join(last, "c").where("turn = last").select("c", "last", "role", "text")
+    other = answers.select((F.col("c").bitwiseXOR(F.lit(1))).alias("c"), F.col("text").alias("other"))
+    name = lambda side: F.concat(F.col("c").cast("string"), F.lit(side))
+    sides = [
+        history.select(F.explode(F.array(name("+"), name("-"))).alias("conv_id"), "turn", "role", "text"),
+        answers.select(name("+").alias("conv_id"), F.col("last").alias("turn"), "role", "text"),
+        last.join(other, "c").select(name("-").alias("conv_id"), F.col("last").alias("turn"), F.lit(TRAINED_ROLE).alias("role"), F.col("other").alias("text")),
+    ]
+    return sides[0].union(sides[1]).union(sides[2]), last.select(F.col("c").alias("pair_id"), name("+").alias("chosen"), name("-").alias("rejected"))
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = documents(spark, sf_dir, "conversations")
-    return format_preferences(turns, neighbour_pairs(turns))
+    return format_preferences(*continuations(documents(spark, sf_dir, "conversations")))
 
 
 OP3_SQL = """
-WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
-last AS (SELECT conv_id, coalesce(arg_max(length(text), turn) FILTER (role = 'assistant'), 0) AS n FROM t GROUP BY conv_id),
-p AS (SELECT e.conv_id // 2 AS pair_id, CASE WHEN o.n > e.n THEN o.conv_id ELSE e.conv_id END AS chosen, CASE WHEN o.n > e.n THEN e.conv_id ELSE o.conv_id END AS rejected
-      FROM last e JOIN last o ON e.conv_id % 2 = 0 AND o.conv_id = e.conv_id + 1),
+WITH r AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT c, max(turn) AS last FROM r WHERE role = 'assistant' GROUP BY c HAVING max(turn) IS NOT NULL),
+a AS (SELECT r.* FROM r JOIN l USING (c) WHERE role = 'assistant' AND turn = last),
+t AS (SELECT c || '+' AS conv_id, turn, role, text FROM r JOIN l USING (c) WHERE turn IS NULL OR turn < last UNION ALL SELECT c || '-', turn, role, text FROM r JOIN l USING (c) WHERE turn IS NULL OR turn < last
+      UNION ALL SELECT c || '+', turn, role, text FROM a UNION ALL SELECT l.c || '-', last, 'assistant', text FROM l JOIN a ON a.c = xor(l.c, 1)),
+p AS (SELECT c AS pair_id, c || '+' AS chosen, c || '-' AS rejected FROM l),
 m AS (SELECT pair_id, turn, role, text, bool_or(conv_id = chosen) AS c, bool_or(conv_id = rejected) AS r FROM t JOIN p ON conv_id IN (chosen, rejected) GROUP BY ALL),
 f AS (SELECT *, count(*) FILTER (NOT (c AND r)) OVER (PARTITION BY pair_id ORDER BY turn, role, text) = 0 AS in_prompt FROM m),
 d AS (SELECT pair_id, 'prompt' AS part, turn, role, text FROM f WHERE in_prompt UNION ALL SELECT pair_id, 'chosen', turn, role, text FROM f WHERE NOT in_prompt AND c

@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 from parlance.llm.common import cut, documents, free_name
 
 WINDOW = 13
-#: Bytes of item text whose windows are broadcast at once.
-BLOCK_BYTES = 16_000_000
+#: Bytes of item text whose windows are broadcast at once: some 100 MB in each Python worker.
+BLOCK_BYTES = 4_000_000
 
 #: Bytes that separate words become a space, A-Z becomes a-z; bytes of characters past ASCII stay.
 _WORD = b"0123456789abcdefghijklmnopqrstuvwxyz"

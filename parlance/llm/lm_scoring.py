@@ -18,6 +18,7 @@ model has at most 2 ** 24 counts, whatever the corpus.
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import heapq
 import io
@@ -109,9 +110,9 @@ class Tokens:
         self.n_words = np.bincount(doc, minlength=len(texts))
         self.n_bytes = np.bincount(doc, ends - starts, len(texts)).astype(np.int64) + self.n_words
         self.first = np.cumsum(self.n_words + 1) - self.n_words - 1
-        self.numbers = np.zeros(len(starts) + len(texts), np.int64)
+        self.numbers = np.zeros(len(starts) + len(texts), np.int32)
         self.numbers[np.arange(len(starts)) + doc] = number + 1
-        self.doc = np.repeat(np.arange(len(texts)), self.n_words + 1)
+        self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), self.n_words + 1)
 
     def letters(self) -> tuple[np.ndarray, ...]:
         """Byte before, the one before that, byte, and number of the word, for the bytes of the distinct words and a space
@@ -124,6 +125,13 @@ class Tokens:
         return one, np.where(place > 1, np.roll(byte, 2), 32), byte, word
 
 
+def _release() -> None:
+    """Give freed memory back, so that a worker which is used again for another stage doesn't add one's peak to the other's."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):  # glibc
+        libc.malloc_trim(0)
+
+
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows with about FLUSH_BYTES of text at a time, whatever the batches."""
     held, n = [], 0
@@ -156,6 +164,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.concatenate((n, of_triple, [len(t.numbers)]))
         some = count > 0
         yield pa.RecordBatch.from_arrays([pa.array(kind[some], pa.int32()), pa.array(key[some]), pa.array(count[some])], names=["kind", "key", "n"])
+        _release()
 
 
 class Code:
@@ -394,23 +403,26 @@ def _deal(t: Tokens, spelling: np.ndarray, hot: np.ndarray, trained: np.ndarray,
     """Groups with their events: hashes (48 bits, enough within a group) and spellings of the words used, then one and
     two words before, token, document, number, and whether it was trained on."""
     token, doc, first = t.numbers, t.doc, t.first
-    within = np.arange(len(token)) - first[doc]
-    before = [np.where(within >= k, np.concatenate((np.zeros(k, np.int64), token[:-k])) if len(token) > k else 0, END) for k in (1, 2, 3)]
+    within = np.arange(len(token), dtype=np.int32) - first.astype(np.int32)[doc]
+    before = [np.where(within >= k, np.concatenate((np.zeros(k, np.int32), token[:-k])) if len(token) > k else np.int32(0), np.int32(END)) for k in (1, 2, 3)]
     one, two, three = before
-    times = np.ones(len(token), np.int64)
+    del within, before
+    times = np.ones(len(token), np.int32)
     hot1 = hot[one]
     hot2 = hot1 & hot[two]
     h = t.hash[one] * A
     h = np.where(hot1, (h ^ (h >> np.uint64(29))) * B + t.hash[two] * A, h)
     h = np.where(hot2, (h ^ (h >> np.uint64(29))) * B + t.hash[three] * A, h)
     h = (h ^ (h >> np.uint64(32))) * B
-    group = ((h >> np.uint64(33)) % np.uint64(groups)).astype(np.int64)
+    group = ((h >> np.uint64(33)) % np.uint64(groups)).astype(np.int32)
+    del h, hot1
     # A document that repeats common words over and over gives each such event once, with its number.
     if len(often := np.flatnonzero(hot2)):
         keep, n = _distinct(doc[often], three[often], two[often], one[often], token[often])
         times[often] = 0
         times[often[keep]] = n
-    alive = np.flatnonzero(times)
+    alive = np.flatnonzero(times).astype(np.int32)
+    del three, hot2
     order = alive[np.argsort(group[alive], kind="stable")]
     cuts = np.concatenate(([0], np.flatnonzero(np.diff(group[order])) + 1, [len(order)]))
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -465,7 +477,7 @@ def _renumbered(columns: list[np.ndarray], most: int) -> tuple[np.ndarray, list[
 def _rare(t: Tokens, common: np.ndarray) -> pa.Array:
     """Each document's words that aren't common, and their numbers."""
     at = np.flatnonzero(~common[t.numbers])
-    kind, n = np.unique(t.doc[at] * len(t.hash) + t.numbers[at], return_counts=True)
+    kind, n = np.unique(t.doc[at].astype(np.int64) * len(t.hash) + t.numbers[at], return_counts=True)
     ends = np.searchsorted(kind // len(t.hash), np.arange(len(t.first) + 1))
     hashes = t.hash[kind % len(t.hash)].view(np.int64)
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(hashes), pa.array(n, pa.int64())], names=["token", "n"]))
@@ -498,6 +510,8 @@ def _send(shared, groups: int):
                 f.write_table(pa.table(columns))
             trained = ~b["held_out"].to_numpy(zero_copy_only=False)
             out = [(k % groups, True, sink.getvalue().to_pybytes()), *((g, False, blob) for g, blob in _deal(t, model["letters"].spelling(t), count > model["hot"], trained, groups))]
+            del t, place, count, common, base, columns, sink
+            _release()
             for i in range(0, len(out), 64):
                 g, is_docs, blob = zip(*out[i : i + 64], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array([flush] * len(g)), pa.array(is_docs), pa.array(blob, pa.binary())], names=["grp", "flush", "is_docs", "blob"])
@@ -515,6 +529,7 @@ def _mix_group(table: pa.Table) -> pa.Table:
     if not events.num_rows:
         return docs
     parts = [_unpack(x.as_py()) for x in events["blob"]]
+    events = events.drop_columns(["blob"])
     hashes = [p[0].astype(np.int64) << 16 | p[1] for p in parts]
     known, at = np.unique(np.concatenate([np.zeros(1, np.int64), *hashes]), return_inverse=True)
     spelling = np.zeros(len(known), np.float32)
@@ -522,8 +537,10 @@ def _mix_group(table: pa.Table) -> pa.Table:
     for w, p in zip(words, parts, strict=True):
         spelling[w] = p[2]
     one, two, token = (np.concatenate([w[_joined(p[k])].astype(np.int32) for w, p in zip(words, parts, strict=True)]) for k in (3, 4, 5))
+    docs_of = [_joined(p[6]) for p in parts]
     number, trained = np.concatenate([_joined(p[7]).astype(np.int32) for p in parts]), np.concatenate([p[8] for p in parts]).astype(bool)
     bits, left = np.zeros(len(one), np.float32), np.zeros(len(one), np.float32)
+    del parts, words, hashes, at
     # Each model has all events of its words before, so a group can be worked on in parts.
     models = max(1, -(-int(number.sum()) // MODEL_TOKENS))
     model = ((known.astype(np.uint64) * B) >> np.uint64(33)) % np.uint64(models)
@@ -536,13 +553,14 @@ def _mix_group(table: pa.Table) -> pa.Table:
             bits[at] = (some + spelled) * number[at]
             left[at] = (np.where(trained[at], less, some) + spelled) * number[at]
     blobs, n = [], 0
-    for p in parts:
-        doc = np.cumsum(_joined(p[6]))
+    for doc in map(np.cumsum, docs_of):
         some = slice(n, n + len(doc))
         n += len(doc)
         found, to = np.unique(doc, return_inverse=True)
         blobs.append(_pack([found.astype(np.uint32), *(np.bincount(to, x[some]).astype(np.float32) for x in (bits, left))]))
     costs = pa.table({"grp": events["grp"], "flush": events["flush"], "is_docs": events["is_docs"], "blob": pa.array(blobs, pa.binary())}).cast(docs.schema)
+    del one, two, token, number, trained, bits, left, docs_of
+    _release()
     return pa.concat_tables([docs, costs])
 
 

@@ -26,7 +26,6 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parlance.llm.common import cut, documents, free_name, maybe_among
@@ -267,7 +266,7 @@ def _tiled(df: DataFrame, rows: str, member: str) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links reach, its own included) for each row of docs.
 
-    Documents link when their shingle sets' Jaccard similarity is percent / 100 or more. Null, empty and wordless
+    Documents link when their shingle sets' Jaccard similarity is percent / 100 or more (percent: 50 to 100). Null, empty and wordless
     texts have no shingles and link with nothing; each is its own component. Rows with a null id take part, but
     give no component its id. Repeated rows fall into one component. Other columns are not read.
     """
@@ -280,6 +279,8 @@ def _row_key(key: str, text: str):
 
 def _grouped(docs: DataFrame, percent: int, key: str, text: str, frequent: int = FREQUENT) -> DataFrame:
     """near_duplicates with row (hash of key and text) and component (a class; null for a text without words)."""
+    if not 50 <= percent <= 100:
+        raise ValueError("percent must be from 50 to 100: points of sets that differ more in size do not meet")
     spark = docs.sparkSession
     d = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), _row_key(key, text).alias("row"))
     often = d.select("text").mapInArrow(_prefix_counts(percent), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > frequent)
@@ -291,15 +292,17 @@ def _grouped(docs: DataFrame, percent: int, key: str, text: str, frequent: int =
     # An alias of 8 bytes names a class while candidates are sought; two classes of one alias would only meet once more.
     alias = F.xxhash64("cls").alias("alias")
     valid = described.where("cls is not null")
-    by_token = W.partitionBy("token")
-    tokens = valid.select(alias, F.explode("prefix").alias("token"))
-    blocks = tokens.withColumn("least", F.min("alias").over(by_token)).withColumn("most", F.max("alias").over(by_token)).withColumn("rows", F.count(F.lit(1)).over(by_token)).where("least <> most")
+    unique = cut(valid.select(alias, "n_shingles", "point", "prefix").dropDuplicates(["alias"]), "classes")  # copies meet nowhere twice
+    tokens = unique.select("alias", F.explode("prefix").alias("token"))
+    met = tokens.groupBy("token").agg(F.min("alias").alias("least"), F.max("alias").alias("most"), F.count(F.lit(1)).alias("rows")).where("least <> most").drop("most")
+    met = cut(met, "met")
+    blocks = maybe_among(tokens, "token", met, "token").join(met, "token")
     # Blocks meet by their least member; of members with very many rows, by some of its tokens.
     large = blocks.groupBy("least").agg(F.ceil(F.count(F.lit(1)) / SHARE).alias("salts")).where("salts > 1").orderBy(F.desc("salts"), "least").limit(100_000)
     dealt = blocks.join(F.broadcast(large.withColumnRenamed("least", "l")), F.col("least") == F.col("l"), "left")
     shares = F.pmod(F.xxhash64("least", F.pmod("token", F.coalesce("salts", F.lit(1)))), F.lit(1 << 20))
     dealt = cut(_tiled(dealt.select("token", "alias", "rows", shares.alias("share")), "rows", "alias").select("share", "token", "low", "high", "alias"), "blocks")
-    points = valid.select(alias, "n_shingles", "point").dropDuplicates(["alias"])
+    points = unique.drop("prefix")
     members = dealt.select(F.col("share").alias("at"), F.col("alias").alias("member")).distinct().join(points.withColumnRenamed("alias", "member"), "member")
     # Shares are grouped once more, so that a task's call handles many.
     calls = max(200, min(20_000, dealt.count() // SHARE))

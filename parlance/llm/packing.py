@@ -3,8 +3,8 @@
 Documents' pieces are dealt to groups by hash and each group is packed by best-fit decreasing. Lower
 bounds from dual feasible functions certify a group whose bin count cannot be less. Groups with a gap
 give up the pieces of their bins that are not full, certified groups those of their least full bin;
-these are dealt anew and packed again, and the new bins are taken where they are fewer. Rounds end
-when nothing improves.
+these are dealt anew to groups of twice the size and packed again, and the new bins are taken where they are
+fewer. Rounds end when the bound of all pieces is met, or when groups of the largest size bring nothing.
 """
 
 from __future__ import annotations
@@ -22,19 +22,28 @@ from parlance.llm.common import cut, documents
 from parlance.llm.tokens import encoder, tokenizer_path
 
 CAPACITY = 2048
-#: Pieces that a group aims at, and rounds of exchange at most.
-GROUP, ROUNDS = 2000, 4
-
-
-def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """Bins that any packing needs: the best bound of the dual feasible functions that count a piece above
-    capacity - k as a whole bin, drop pieces under k and leave the rest, for k from 0 to capacity / 2."""
-    n = np.bincount(lengths, minlength=capacity + 1)[: capacity + 1]
-    count, total = np.cumsum(n), np.cumsum(n * np.arange(capacity + 1))
+#: Pieces that a group aims at, and that groups grow to in exchange (what one task sorts at once).
+GROUP, LARGEST = 2000, 64_000
+#: Steps of the second family of bounds.
+STEPS = 64
+
+
+def lower_bound(lengths: np.ndarray, capacity: int, counts: np.ndarray | None = None) -> int:
+    """Bins that any packing needs, by two families of dual feasible functions. The first counts a piece above capacity - k
+    as a whole bin, drops pieces under k and leaves the rest, for k from 0 to capacity / 2. The second rounds a piece to
+    steps: it counts floor((k + 1) * length / capacity) / k of a bin, or its own share where that division has no rest."""
+    n = np.bincount(lengths, counts, capacity + 1)[: capacity + 1].astype(np.int64)
+    length = np.arange(capacity + 1)
+    count, total = np.cumsum(n), np.cumsum(n * length)
     k = np.arange(capacity // 2 + 1)
     big = count[-1] - count[capacity - k]
     middle = total[capacity - k] - np.where(k > 0, total[np.maximum(k - 1, 0)], 0)
-    return int(np.max(big + -(-middle // capacity)))
+    best = int(np.max(big + -(-middle // capacity)))
+    for k in range(1, STEPS + 1):
+        steps, rest = np.divmod((k + 1) * length, capacity)
+        shares = np.where(rest == 0, k * length, capacity * steps)  # of capacity * k
+        best = max(best, -(-int((n * shares).sum()) // (capacity * k)))
+    return best
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +79,7 @@ def _pack_groups(rows: DataFrame, capacity: int, groups: int, seed: int, base: i
         lengths = group["length"].to_numpy(np.int64)
         bins, offsets = best_fit_decreasing(lengths, capacity)
         fill = np.bincount(bins, lengths).astype(np.int64)
-        first = base + (int(group["pack_group"].iloc[0]) << 24)
+        first = base + (int(group["pack_group"].iloc[0]) << 20)
         return group.assign(
             sequence_id=first + bins, offset=offsets, fill=fill[bins], least=first + int(np.argmin(fill)), certified=len(fill) <= lower_bound(lengths, capacity)
         )
@@ -81,25 +90,35 @@ def _pack_groups(rows: DataFrame, capacity: int, groups: int, seed: int, base: i
     return dealt.groupBy("pack_group").applyInPandas(pack, schema).drop("pack_group")
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds: int | None = None) -> DataFrame:
     """pieces (piece_key: distinct long, length: 1 to capacity, other columns) with sequence_id and offset.
 
-    Pieces of equal length are packed in the order of their keys. No pieces give an empty table.
+    Pieces of equal length are packed in the order of their keys. No pieces give an empty table. rounds: of exchange at
+    most (None: until they bring nothing).
     """
     names = pieces.columns
-    placed = cut(_pack_groups(pieces, capacity, max(1, -(-pieces.count() // group)), 0, 0), "packed")
-    done = []
-    for k in range(1, rounds + 1):
+    lengths = pieces.groupBy("length").count().toPandas()  # a row for each length up to capacity
+    bound = lower_bound(lengths["length"].to_numpy(np.int64), capacity, lengths["count"].to_numpy(np.int64))
+    size = group
+    placed = cut(_pack_groups(pieces, capacity, max(1, -(-int(lengths["count"].sum()) // size)), 0, 0), "packed")
+    done, full, k = [], 0, 0  # full: bins that are not exchanged any more
+    while rounds is None or k < rounds:
+        k += 1
         loose = (F.col("fill") < capacity) & (~F.col("certified") | (F.col("sequence_id") == F.col("least")))
-        moving = placed.where(loose)
-        n, before = moving.agg(F.count(F.lit(1)), F.count_distinct("sequence_id")).first()
-        if before < 2:
+        bins = placed.select("sequence_id", loose.alias("loose")).distinct().groupBy("loose").count().collect()
+        found = {r["loose"]: r["count"] for r in bins}
+        before = found.get(True, 0)
+        if before < 2 or full + sum(found.values()) <= bound:
             break
-        again = cut(_pack_groups(moving.select(*names), capacity, max(1, -(-n // group)), k, k << 56), "packed")
-        if again.agg(F.count_distinct("sequence_id")).first()[0] >= before:
+        moving = placed.where(loose)
+        size = min(2 * size, max(LARGEST, group))
+        again = cut(_pack_groups(moving.select(*names), capacity, max(1, -(-moving.count() // size)), k, k << 48), "packed")
+        if again.select("sequence_id").distinct().count() < before:
+            done.append(placed.where(~loose))
+            full += found.get(False, 0)
+            placed = again
+        elif size >= LARGEST or size >= moving.count():
             break
-        done.append(placed.where(~loose))
-        placed = again
     for d in done:
         placed = placed.unionByName(d)
     return placed.select(*names, "sequence_id", "offset")

@@ -34,6 +34,8 @@ COMMON_WORDS = {
 #: of sf0.1: labelled good documents reach 0.225 in classes and 0.323 in words; a text without common words has 0.362 or more.
 MAX_CLASS_DISTANCE, MIN_CHARS = 0.30, 200
 MAX_WORD_DISTANCE, MIN_WORDS = 0.33, 100
+#: Words beyond which windows are told apart by 64 bits beside their place, not by the bits that a place leaves.
+LONG = 16_384
 
 
 def _js_distance(p, q):
@@ -78,20 +80,17 @@ def judge_quality(docs: DataFrame, text: str = "text", lang: str = "lang", out:
             "_beyond": _matched("_t", r"[^\x00-\x7F]"),
         }
     ).drop("_lines")
-    # Windows of 3 words: a hash, with the place in the low bits, so that one sort brings equal windows together.
+    # Windows of 3 words: a hash, with the place in the low bits, so that one sort of plain numbers brings equal windows
+    # together. Long texts would leave the hash too few bits, so there it stands beside the place.
     d = d.withColumn("_bits", F.length(F.bin("_n")))
-    d = d.withColumn(
-        "_windows",
-        F.expr("CASE WHEN _n > 2 THEN sort_array(transform(sequence(1, _n - 2), i -> shiftleft(xxhash64(_words[i - 1], _words[i], _words[i + 1]), _bits) | CAST(i AS BIGINT))) ELSE array() END"),
-    )
-    d = d.withColumn(
-        "_again",
-        F.expr("filter(_windows, (x, j) -> shiftrightunsigned(x, _bits) = shiftrightunsigned(get(_windows, j - 1), _bits) OR shiftrightunsigned(x, _bits) = shiftrightunsigned(get(_windows, j + 1), _bits))"),
-    ).drop("_windows")
-    repeated = F.expr(
-        "aggregate(sort_array(transform(_again, x -> x & (shiftleft(1L, _bits) - 1))), named_struct('last', -3L, 'n', 0L),"
-        " (a, p) -> named_struct('last', p, 'n', a.n + least(3L, p - a.last)), a -> a.n)"
-    )
+    window = "xxhash64(_words[i - 1], _words[i], _words[i + 1])"
+    d = d.withColumn("_short", F.expr(f"CASE WHEN _n > 2 AND _n <= {LONG} THEN sort_array(transform(sequence(1, _n - 2), i -> shiftleft({window}, _bits) | CAST(i AS BIGINT))) ELSE array() END"))
+    d = d.withColumn("_long", F.expr(f"CASE WHEN _n > {LONG} THEN sort_array(transform(sequence(1, _n - 2), i -> struct({window} AS h, CAST(i AS BIGINT) AS i))) END"))
+    same = "shiftrightunsigned(x, _bits) = shiftrightunsigned(get(_short, {}), _bits)"
+    d = d.withColumn("_found", F.expr(f"filter(_short, (x, j) -> {same.format('j - 1')} OR {same.format('j + 1')})")).drop("_short")
+    d = d.withColumn("_found_long", F.expr("filter(_long, (x, j) -> x.h = get(_long, j - 1).h OR x.h = get(_long, j + 1).h)")).drop("_long")
+    d = d.withColumn("_again", F.expr(f"CASE WHEN _n > {LONG} THEN transform(_found_long, x -> x.i) ELSE transform(_found, x -> x & (shiftleft(1L, _bits) - 1)) END")).drop("_found", "_found_long")
+    repeated = F.expr("aggregate(sort_array(_again), named_struct('last', -3L, 'n', 0L), (a, p) -> named_struct('last', p, 'n', a.n + least(3L, p - a.last)), a -> a.n)")
     d = d.withColumn("_repeated", repeated).drop("_again")
     n, length = F.col("_n"), F.col("_length")
     counts = [F.col("_upper"), F.col("_digit"), length - F.col("_word_chars"), F.col("_punct"), F.col("_beyond"), F.col("_symbols")]

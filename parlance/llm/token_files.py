@@ -27,12 +27,14 @@ WIDTH = 2048
 BATCH, BLOCK_DOCS = 256, 4000
 
 
-def _encode(path: str, spaced: bool, end: int, dtype: str):
+def _encode(path: str, spaced: bool, end: int, dtype: str, bounds: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, spaced)
+        starts = np.array(bounds, np.int64)
         for b in batches:
+            block = np.searchsorted(starts, b["doc_id"].fill_null(-(1 << 63)).to_numpy(), "right")
             ids = [np.append(np.frombuffer(encode.ids(t or ""), "<u4"), np.uint32(end)).astype(dtype).tobytes() for t in b["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(ids, pa.binary()), pa.array(block, pa.int64())], names=["doc_id", "ids", "block"])
 
     return run
 
@@ -123,14 +125,13 @@ def write_token_files(
     """
     d = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     n = d.count()
+    # Beyond so many files they grow instead; a task streams through its block, whatever its size.
     parts = max(1, min(20_000, -(-n // block_docs)))
     # Bounds of ranges only: the order within and between them is exact.
     cuts = d.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else []
     bounds = sorted(set(cuts or []))
-    encoded = d.mapInArrow(_encode(tokenizer, spaced, end, dtype), "doc_id long, ids binary")
-    bounds_array = F.array(*[F.lit(x) for x in bounds]) if bounds else F.array().cast("array<bigint>")
-    block = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(bounds_array, lambda x: x <= F.col("doc_id")))).cast("long")
-    dealt = encoded.withColumn("block", block).repartition(len(bounds) + 1, "block").sortWithinPartitions("block", F.col("doc_id").asc_nulls_first(), "ids")
+    encoded = d.mapInArrow(_encode(tokenizer, spaced, end, dtype, bounds), "doc_id long, ids binary, block long")
+    dealt = encoded.repartition(len(bounds) + 1, "block").sortWithinPartitions("block", F.col("doc_id").asc_nulls_first(), "ids")
     _make(docs.sparkSession, folder)
     manifest = cut(dealt.mapInArrow(_write_blocks(folder, dtype, width, batch), "block long, n_tokens long"), "manifest")
     before = W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)  # a row per file

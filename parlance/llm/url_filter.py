@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parlance.llm.common import documents
+from parlance.llm.common import documents, free_name
 
-#: Sweeps that share a range of rules, and rules a range aims at.
-SALTS = 256
+#: Pages for each sweep that shares a range of rules, such sweeps at most, and rules a range aims at.
+PAGES_PER_SALT, SALTS = 50_000, 20_000
 RULES_PER_RANGE = 50_000
 SEP = "\u0001"  # below every character of a host, and at its end in a key
 
@@ -50,13 +50,14 @@ def _key(labels, path):
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
-    """All rows and columns of pages, with a struct column judged: host, path, rule, verdict.
+    """All rows and columns of pages, with a struct column judged: host, path, rule, verdict. A column of pages of that name is replaced.
 
     rules: host, path, verdict (strings). Of the rules that cover a URL the one with the longest host
     wins, then the one with the longest path; of equal rules the least verdict. Rules with a null
     are ignored. URLs that no rule covers get a null rule and the default verdict.
     """
     spark = pages.sparkSession
+    salts = max(1, min(SALTS, pages.count() // PAGES_PER_SALT))
     r = (
         rules.where("host is not null and path is not null and verdict is not null")
         .groupBy("host", "path")
@@ -87,7 +88,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
         .select("_url", "_path", "_labels", F.explode(F.expr("sequence(1, size(_labels))")).alias("depth"))
         .select("_url", "depth", _key(F.slice("_labels", F.lit(1), F.col("depth")), F.col("_path")).alias("key"))
     )
-    keys = keys.withColumn("_range", range_of(F.col("key"))).withColumn("_salt", F.pmod(F.xxhash64("_url"), F.lit(SALTS)))
+    keys = keys.withColumn("_range", range_of(F.col("key"))).withColumn("_salt", F.pmod(F.xxhash64("_url"), F.lit(salts)))
 
     ruled = stacks.withColumn("_range", range_of(F.col("key")))
     # A range's first rows may lie in a rule before it: the last rule of the ranges before, for each range.
@@ -103,7 +104,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     events = (
         ruled.select("key", "stack", "_range")
         .union(carried)
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
         .select("_range", "_salt", "key", "stack", F.lit(None).cast("string").alias("_url"), F.lit(0).alias("depth"))
         .union(keys.select("_range", "_salt", "key", F.lit(None).cast(stacks.schema["stack"].dataType), "_url", "depth"))
     )
@@ -117,11 +118,13 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
         .groupBy("_url")
         .agg(F.max(F.struct("depth", F.col("inner.n").alias("n"), F.col("inner.rule").alias("rule"), F.col("inner.verdict").alias("verdict"))).alias("_best"))
     )
+    key, best = free_name(pages, "judged_url"), free_name(pages, "judged_best")
     p_host, p_path = split_url(F.col(url))
     judged = F.struct(
-        p_host.alias("host"), p_path.alias("path"), F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict")
+        p_host.alias("host"), p_path.alias("path"), F.col(f"{best}.rule").alias("rule"), F.coalesce(f"{best}.verdict", F.lit(default)).alias("verdict")
     )
-    return pages.join(found, F.col(url) == F.col("_url"), "left").withColumn("judged", judged).drop("_url", "_best")
+    found = found.select(F.col("_url").alias(key), F.col("_best").alias(best))
+    return pages.join(found, F.col(url) == F.col(key), "left").withColumn("judged", judged).drop(key, best)
 
 
 #: The fixed rules of the query: host, path, verdict.

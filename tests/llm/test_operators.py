@@ -385,8 +385,13 @@ def test_lm_code_is_a_probability():
     assert sum(2.0 ** -int(n) for n in code.length) == 1
     rng = np.random.default_rng(0)
     bits = (rng.random(6000) < 0.9).astype(np.uint8)
-    logits = np.zeros((3, 6000), np.float32)
-    cost = lm_scoring.mix_online(logits, np.zeros(6000, np.int64), bits, np.array([0, 3000]), np.array([3000, 3000]))
+    x, gate, cost = [np.zeros(500, np.float32)] * 3, np.zeros(500, np.intp), np.zeros(2)
+    mixer = lm_scoring.Mixer()
+    for k in range(12):
+        bit = bits[500 * k : 500 * (k + 1)].astype(np.float32)
+        p, plain, interval = mixer.chance(x, gate)
+        cost[k // 6] -= np.log2(np.abs(p - (1 - bit))).sum()
+        mixer.learn(x, gate, plain, interval, bit, np.ones(500))
     assert (cost < 2600).all()  # a map learns what a useless predictor is worth
 
 
