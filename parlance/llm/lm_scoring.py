@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from parlance.llm.common import cut, documents
 
-#: Words whose counts are broadcast, at most. The rest are joined: this bounds memory, not results.
-VOCABULARY = 1 << 17
+#: Words whose counts are broadcast, at most (16 bytes each). The rest are joined: this bounds memory, not results.
+VOCABULARY = 1 << 19
 #: Tokens that a group aims at, and the share of them from which on a word before is dealt by more words; tokens of a model in it.
 GROUP_TOKENS, HOT, MODEL_TOKENS = 3_000_000, 8, 800_000
 #: Bytes of text that a task packs at once, and distinct events that are worked on at once.

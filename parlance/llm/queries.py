@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_decontamination": decontamination.decontamination_sql(),
+    "op2_sharding": sharding.OP2_SQL,
     "op3_chat_formatting": chat_format.OP3_SQL,
     "op5_url_filter": url_filter.OP5_SQL,
     "op6_quality_rules": quality.quality_sql(),

@@ -107,3 +107,14 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source"
     )
+
+
+#: DuckDB SQL for op2's rows; CRC-32 by its table, as there is no such function.
+OP2_SQL = """
+WITH s_t AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc_table),
+s_d AS (SELECT doc_id, source, coalesce(strlen(text), 0) + 8 AS size, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS bytes, md5('17:' || doc_id) AS h FROM documents),
+s_c AS (SELECT doc_id, source, size, h, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(bytes, lambda x: ('0x' || x)::BIGINT)), lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) AS text_crc32 FROM s_d, s_t),
+s_r AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY h, doc_id) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY source) AS f FROM s_c),
+s_a AS (SELECT *, row_number() OVER (ORDER BY f, source NULLS FIRST, h, doc_id) - 1 AS pos, count(*) OVER () AS n FROM s_r)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(pos * 24 // n AS INTEGER) AS shard, pos - ((pos * 24 // n) * n + 23) // 24 AS slot, CAST(NULL AS INTEGER) AS grown_shard, source FROM s_a
+"""
