@@ -43,6 +43,26 @@ def admin_stats(users: DataFrame, intros: DataFrame) -> DataFrame:
     return one(users.where("is_member"), "members").crossJoin(one(intros, "intros")).crossJoin(one(members_without_intro(users, intros), "without_intro"))  # one row each
 
 
+def status_counts(applications: DataFrame) -> DataFrame:
+    """Applications by status, in the order of its name."""
+    return funnel(applications).orderBy("status")
+
+
+def messages_of(messages: DataFrame) -> DataFrame:
+    """How many messages each sender has: what an erasure would touch."""
+    return messages.where(F.col("user_id").isNotNull()).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def surplus_pending(outbox: DataFrame) -> DataFrame:
+    """One row: pending rows beyond the first of each application."""
+    per = outbox.where("status = 'pending'").groupBy("application_id").agg((F.count(F.lit(1)) - 1).alias("n")).where("n > 0")
+    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("surplus"))
+
+
+def members_by_name(users: DataFrame) -> DataFrame:
+    return users.where("is_member").orderBy("name", "user_id")
+
+
 def overdue(applications: DataFrame, as_of: Column, hours: int) -> DataFrame:
     """Pending applications submitted (else created) more than so many hours before as_of."""
     return applications.where((F.col("status") == "pending") & (F.coalesce("submitted_at", "created_at") < as_of - F.make_interval(hours=F.lit(hours))))

@@ -442,3 +442,18 @@ def edited_versions(spark, messages):
     second = m.where("message_id % 2 = 0")
     edits = edit(second, 1, F.lit("edited")).union(edit(second, 2, F.col("text"))).union(edit(second.where("message_id % 6 = 0"), 3, F.lit("so #offrecord")))
     return versions.edit_versions(m, first, edits)[0].select("chat_id", "message_id", "version_seq", "is_redacted")
+
+
+@query("messages", oracle=" SELECT user_id, count(*) AS n FROM messages GROUP BY user_id")
+def messages_by_sender(spark, messages):
+    return community.messages_of(messages)
+
+
+@query("applications", oracle=" SELECT coalesce(sum(n), 0) AS surplus FROM (SELECT count(*) - 1 AS n FROM applications WHERE status = 'pending' GROUP BY user_id HAVING count(*) > 1)")
+def outbox_surplus(spark, applications):
+    return community.surplus_pending(applications.withColumnRenamed("user_id", "application_id")).select(F.col("surplus").cast("long").alias("surplus"))
+
+
+@query("exported", oracle=" SELECT DISTINCT from_id FROM exported WHERE type = 'message' AND from_id IS NOT NULL")
+def distinct_senders(spark, exported):
+    return ingest.distinct_senders(exported)

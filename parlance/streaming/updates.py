@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.streaming import StreamingQuery
 
-from parlance.functions.text import has_marker
+from parlance.functions.text import contact_name, has_marker, live_kind, merge_entities
 from parlance.operators.governance import scrub_update
 from parlance.operators.versions import KEY, fold_edits, unknown_edits
 
@@ -60,6 +60,29 @@ def describe(updates: DataFrame) -> DataFrame:
     )
 
 
+def live_messages(updates: DataFrame, community: int) -> DataFrame:
+    """New messages of the community's chat with a known sender, from raw updates, as versions.persist takes them; reply and thread
+    beside it. The order of arrival is that of update ids."""
+    at = lambda p, kind="string": F.get_json_object("payload", f"$.message.{p}").try_cast(kind)
+    listed = lambda p: F.from_json(F.get_json_object("payload", f"$.message.{p}"), "array<struct<offset:int,length:int,type:string>>")
+    d = updates.where((at("chat.id", "long") == community) & at("from.id", "long").isNotNull())
+    return d.select(
+        at("chat.id", "long").alias("chat_id"),
+        at("message_id", "long").alias("message_id"),
+        at("from.id", "long").alias("user_id"),
+        at("text").alias("text"),
+        at("caption").alias("caption"),
+        live_kind(F.get_json_object("payload", "$.message")).alias("kind"),
+        merge_entities(listed("entities"), listed("caption_entities")).alias("entities"),
+        at("poll.question").alias("poll_question"),
+        contact_name(at("contact.first_name"), at("contact.last_name")).alias("contact_name"),
+        F.timestamp_seconds(at("date", "long")).alias("date"),
+        F.col("update_id").alias("arrival"),
+        at("reply_to_message.message_id", "long").alias("reply_to"),
+        at("message_thread_id", "long").alias("thread_id"),
+    )
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

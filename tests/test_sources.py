@@ -249,3 +249,35 @@ def test_outcome_counts(spark):
     o = spark.createDataFrame([(1, i, i, "applied" if i % 3 else "service") for i in range(30)], "chat_id long, message_id long, place long, outcome string")
     got = {r.outcome: (r.n, r.ids) for r in ingest.outcome_counts(o, 4).collect()}
     assert got == {"applied": (20, [1, 2, 4, 5]), "service": (10, [0, 3, 6, 9])}
+
+
+def test_jobs(spark, tmp_path, capsys):
+    from parlance import jobs
+
+    path = write(tmp_path / "e.json", {"name": "n", "type": "private_group", "id": 7, "messages": ENTRIES})
+    assert jobs.main(["dry-run", path]) == 0
+    report = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert (report["total"], report["unreadable"], report["policy_nomem"], report["kinds"]["photo"], report["replies"]) == (7, 4, 1, 1, 1)
+    tables = tmp_path / "tables"
+    spark.createDataFrame([(1, "import", "completed", None), (2, "live", "running", None)], "run_id long, run_type string, status string, stats string").withColumns({"started_at": F.current_timestamp(), "finished_at": F.current_timestamp()}).write.parquet(f"{tables}/runs")
+    spark.createDataFrame([(1, 1, None), (2, 1, 5), (3, 2, None)], "raw_id long, run_id long, update_id long").write.parquet(f"{tables}/raws")
+    spark.createDataFrame([(1, i, i) for i in (1, 2, 3)], "chat_id long, message_id long, raw_id long").write.parquet(f"{tables}/messages")
+    spark.createDataFrame([(1, i) for i in (1, 1, 3)], "chat_id long, message_id long").write.parquet(f"{tables}/versions")
+    assert [jobs.main(["rollback", str(tables), run]) for run in ("9", "2", "1")] == [3, 2, 0]
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1]) == {"raws": 1, "messages": 1, "versions": 2, "done_before": False}
+    assert sorted(r.message_id for r in spark.read.parquet(f"{tables}/after/messages/v=1").collect()) == [2, 3]
+    assert spark.read.parquet(f"{tables}/after/runs/v=1").where("run_type = 'rolled_back'").count() == 1
+    assert jobs.main(["dry-run", str(tmp_path / "none.json")]) == 4
+
+
+def test_live_messages(spark):
+    def update(i, **m):
+        return (i, json.dumps({"message": {"chat": {"id": 7}, "message_id": i, "from": {"id": 3}, **m}}), None)
+
+    rows = [update(1, text="a #nomem", entities=[{"offset": 2, "length": 6, "type": "hashtag"}], date=1_700_000_000), update(2, poll={"question": "#offrecord?"}), update(3, chat={"id": 8}, text="elsewhere"), update(4, caption="c", photo=[1], reply_to_message={"message_id": 1}), (5, json.dumps({"message": {"chat": {"id": 7}, "message_id": 5}}), None)]
+    d = updates.live_messages(spark.createDataFrame(rows, updates.UPDATE), 7)
+    got = {r.message_id: r for r in d.collect()}
+    assert set(got) == {1, 2, 4} and (got[4].kind, got[4].reply_to, got[4].caption) == ("photo", 1, "c") and got[1].entities[0].type == "hashtag"
+    m, marks, v = versions.persist(d)
+    assert {r.message_id: (r.memory_policy, r.text) for r in m.collect()} == {1: ("nomem", "a #nomem"), 2: ("offrecord", None), 4: ("normal", None)}
+    assert {r.message_id for r in marks.collect()} == {1, 2} and v.count() == 3
