@@ -2,7 +2,7 @@
 
 A document's histogram of character classes and its histogram of its language's common words are
 compared with references of that language by Jensen-Shannon distance (square root of the divergence
-with base 2, from 0 to 1). Short texts give noisy histograms, so each comparison has a least length;
+with base 2, from 0 to 1); that of words as a share of what a text without common words has. Short texts give noisy histograms, so each comparison has a least length;
 below it the comparison passes. All of it is one projection: no shuffle, no Python.
 """
 
@@ -30,10 +30,11 @@ COMMON_WORDS = {
     "fr": {"de": 50, "la": 32, "le": 28, "et": 24, "les": 20, "des": 17, "un": 15, "en": 14, "une": 12, "du": 12, "est": 10, "que": 10, "dans": 9, "qui": 8, "par": 8, "pour": 7, "au": 7, "sur": 6, "pas": 5, "il": 5},
     "es": {"de": 62, "la": 38, "que": 29, "el": 28, "en": 26, "y": 26, "los": 17, "a": 20, "se": 13, "del": 12, "las": 11, "un": 10, "por": 9, "con": 9, "una": 8, "no": 8, "para": 6, "es": 6, "su": 6, "lo": 5},
 }
-#: Largest distances that pass, and the least characters and words at which they are judged. Set by the distances of all
-#: of sf0.1: labelled good documents reach 0.225 in classes and 0.323 in words; a text without common words has 0.362 or more.
+#: Largest distances that pass, and the least characters and words at which they are judged. That of words is a share of what a text
+#: without common words of the language has. Set by the distances of all of sf0.1 that pass the base rules: labelled good documents
+#: reach 0.225 in classes and 0.727 in words; labelled bad ones have 0.76 or more in words.
 MAX_CLASS_DISTANCE, MIN_CHARS = 0.30, 200
-MAX_WORD_DISTANCE, MIN_WORDS = 0.33, 100
+MAX_WORD_DISTANCE, MIN_WORDS = 0.735, 100
 #: Words beyond which windows are told apart by 64 bits beside their place, not by the bits that a place leaves.
 LONG = 16_384
 
@@ -46,6 +47,14 @@ def _js_distance(p, q):
     return F.sqrt(F.greatest(total / (2 * math.log(2)), F.lit(0.0)))
 
 
+def _without_common(name: str) -> float:
+    """Distance of a text that has no common word of a language."""
+    q = [s / 1000 for s in COMMON_WORDS[name].values()]
+    other = 1 - sum(q)
+    total = sum(x * math.log(2) for x in q) + math.log(2 / (1 + other)) + other * math.log(2 * other / (1 + other))
+    return math.sqrt(total / (2 * math.log(2)))
+
+
 def _table(values: dict[str, list]):
     """A literal map from language to array."""
     return F.create_map(*[x for name, v in values.items() for x in (F.lit(name), F.array(*map(F.lit, v)))])
@@ -108,13 +117,15 @@ def judge_quality(docs: DataFrame, text: str = "text", lang: str = "lang", out:
     common = _table({name: list(q) for name, q in COMMON_WORDS.items()})
     word_shares = _table({name: [*(s / 1000 for s in q.values()), 1 - sum(s / 1000 for s in q.values())] for name, q in COMMON_WORDS.items()})
 
+    without = F.create_map(*[x for name in COMMON_WORDS for x in (F.lit(name), F.lit(_without_common(name)))])
+
     def words_histogram(name):
         counts = F.transform(common[name], lambda w: F.size("_common") - F.size(F.array_remove("_common", w)))
         other = n - F.aggregate(counts, F.lit(0), lambda a, c: a + c)
         return F.transform(F.concat(counts, F.array(other)), lambda c: c / n)
 
     d = d.withColumn("_class_distance", F.when(F.col("_classes").isNotNull(), F.array_min(F.transform("_languages", lambda x: _js_distance(F.col("_classes"), class_shares[x])))))
-    d = d.withColumn("_word_distance", F.when(F.col("_common").isNotNull(), F.array_min(F.transform("_languages", lambda x: _js_distance(words_histogram(x), word_shares[x])))))
+    d = d.withColumn("_word_distance", F.when(F.col("_common").isNotNull(), F.array_min(F.transform("_languages", lambda x: _js_distance(words_histogram(x), word_shares[x]) / without[x]))))
     failed = (n < 50) | (100 * F.col("_repeated") > 50 * n)
     passed = F.coalesce(F.col("_class_distance") <= MAX_CLASS_DISTANCE, F.lit(True)) & F.coalesce(F.col("_word_distance") <= MAX_WORD_DISTANCE, F.lit(True))
     return d.select(
@@ -161,7 +172,7 @@ def quality_sql(table: str = "documents") -> str:
         p = [f"len(list_filter(ws, lambda w: w = '{w}')) / n::DOUBLE" for w in COMMON_WORDS[name]]
         q = [s / 1000 for s in COMMON_WORDS[name].values()]
         listed = ", ".join(f"'{w}'" for w in COMMON_WORDS[name])
-        return distance([*p, f"(n - len(list_filter(ws, lambda w: w IN ({listed})))) / n::DOUBLE"], [*q, 1 - sum(q)])
+        return distance([*p, f"(n - len(list_filter(ws, lambda w: w IN ({listed})))) / n::DOUBLE"], [*q, 1 - sum(q)]) + f" / {_without_common(name)!r}"
 
     def classes(name: str) -> str:
         return distance([f"{c} / length::DOUBLE" for c in ("n_upper", "n_digit", "n_space", "n_punct", "n_beyond", "n_symbols", "n_lower")], list(CLASS_SHARES[name]))
