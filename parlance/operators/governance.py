@@ -13,13 +13,6 @@ from pyspark.sql.types import StringType
 
 from parlance.functions.text import tombstone_keys
 
-#: Severity of policies; they only ever rise.
-SEVERITY = {"normal": 0, "nomem": 1, "offrecord": 2, "forgotten": 3}
-
-
-def severity(policy: Column) -> Column:
-    return F.coalesce(*[F.when(policy == name, F.lit(n)) for name, n in SEVERITY.items()], F.lit(0))
-
 
 def visible(messages: DataFrame, chat_id: int | None = None) -> DataFrame:
     """Rows that may be shown: normal policy, nothing redacted (neither the message nor its version), and of the chat if one is
