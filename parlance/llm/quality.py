@@ -128,29 +128,26 @@ def judge_quality(docs: DataFrame, text: str = "text", lang: str = "lang", out:
     d = d.withColumn("_word_distance", F.when(F.col("_common").isNotNull(), F.array_min(F.transform("_languages", lambda x: _js_distance(words_histogram(x), word_shares[x]) / without[x]))))
     failed = (n < 50) | (100 * F.col("_repeated") > 50 * n)
     passed = F.coalesce(F.col("_class_distance") <= MAX_CLASS_DISTANCE, F.lit(True)) & F.coalesce(F.col("_word_distance") <= MAX_WORD_DISTANCE, F.lit(True))
-    return d.select(
-        "_row.*",
-        F.struct(
-            n.cast("long").alias("n_words"),
-            F.col("_word_chars").alias("word_chars"),
-            F.col("_symbols").alias("n_symbols"),
-            F.col("_dup_lines").alias("n_dup_lines"),
-            F.col("_repeated").alias("n_repeat_words"),
-            failed.alias("base_failed"),
-            F.col("_class_distance").alias("class_distance"),
-            F.col("_word_distance").alias("word_distance"),
-            (~failed & passed).alias("kept"),
-        ).alias(out),
+    verdict = F.struct(
+        n.cast("long").alias("n_words"),
+        F.col("_word_chars").alias("word_chars"),
+        F.col("_symbols").alias("n_symbols"),
+        F.col("_dup_lines").alias("n_dup_lines"),
+        F.col("_repeated").alias("n_repeat_words"),
+        failed.alias("base_failed"),
+        F.col("_class_distance").alias("class_distance"),
+        F.col("_word_distance").alias("word_distance"),
+        (~failed & passed).alias("kept"),
     )
+    # A filter on the verdict would be pushed below all steps of its computation, each of them written out as often as it is
+    # used, which no planner ends. It isn't pushed below a row made from the verdict.
+    return d.select("_row", F.explode(F.array(verdict)).alias("_verdict")).select("_row.*", F.col("_verdict").alias(out))
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """Rows of docs that judge_quality keeps, with the columns of docs."""
     verdict = free_name(docs, "quality")
-    judged = judge_quality(docs, text, lang, verdict)
-    # A filter on the verdict itself would be pushed below all steps of its computation, each of them written out as
-    # often as it is used, which no planner ends. It isn't pushed below a row made from the verdict.
-    return judged.select(*docs.columns, F.explode(F.array(f"{verdict}.kept")).alias(verdict)).where(verdict).drop(verdict)
+    return judge_quality(docs, text, lang, verdict).where(f"{verdict}.kept").select(*docs.columns)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
