@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parlance.llm import chat_format, decontamination, line_dedup, lm_scoring, ngram_join, packing, quality, sharding, token_files, url_filter
+from parlance.llm import chat_format, conversation_repair, decontamination, exact_dedup, hard_negatives, line_dedup, lm_scoring, ngram_join, packing, quality, sharding, token_files, url_filter
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_token_files": token_files.op8_token_files,
     "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     "op10_ngram_jaccard_join": ngram_join.op10_ngram_jaccard_join,
+    "op11_exact_dedup": exact_dedup.op11_exact_dedup,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
 
 ORACLE_SQL = {
@@ -24,4 +27,6 @@ ORACLE_SQL = {
     "op5_url_filter": url_filter.OP5_SQL,
     "op6_quality_rules": quality.quality_sql(),
     "op10_ngram_jaccard_join": ngram_join.near_duplicates_sql(),
+    "op11_exact_dedup": exact_dedup.OP11_SQL,
+    "op12_hard_negatives": hard_negatives.OP12_SQL,
 }
