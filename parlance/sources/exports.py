@@ -8,6 +8,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parlance.sources.ranges import Ranges
+
 # Fields of an exported message that are read, beside its text and entities.
 FIELDS = "type date date_unixtime from from_id reply_to_message_id forwarded_from edited edited_unixtime media_type mime_type photo file action actor actor_id width height duration_seconds".split()
 NUMBERS = ["reply_to_message_id", "width", "height", "duration_seconds"]
@@ -20,36 +22,49 @@ class ExportError(ValueError):
     """The file is no export of one conversation."""
 
 
-def _open_export(spark: SparkSession, path: str) -> DataFrame:
-    """chat_id, place, m: the entries of an export as variants. A missing file raises FileNotFoundError, a file that is no JSON
-    object, holds a whole account (chats), or whose messages are no list or (required) not there raises ExportError."""
+def _envelope(spark: SparkSession, path: str) -> Ranges:
+    """The file's ranges and envelope, if it is an object; see _open_export for errors."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
         raise FileNotFoundError(path)
-    raw = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
-    get = lambda p, kind: F.expr(f"try_variant_get(v, '$.{p}', '{kind}')")
-    top = raw.select(F.expr("schema_of_variant(v)").alias("s"), get("chats", "array<variant>").isNotNull().alias("account"), get("messages", "variant").isNotNull().alias("there"), get("messages", "array<variant>").isNotNull().alias("listed")).first()
-    if top is None or top.s is None or not top.s.startswith("OBJECT"):
+    try:
+        ranges = Ranges(spark, path)
+    except ValueError as e:
+        raise ExportError("not a JSON object") from e
+    if not isinstance(ranges.envelope, dict):
         raise ExportError("not a JSON object")
-    if top.account:
+    return ranges
+
+
+def _is_id(value) -> bool:
+    return isinstance(value, int) and not isinstance(value, bool) and abs(value) < 1 << 63
+
+
+def _open_export(spark: SparkSession, path: str) -> DataFrame:
+    """chat_id, place, raw, m: the entries of an export as text and as variants (null: no JSON), read by as many tasks as the file has
+    ranges. A missing file raises FileNotFoundError, a file that is no JSON object, holds a whole account (chats), or whose messages are no
+    list or not there raises ExportError. An entry of more than 128 MiB is no JSON."""
+    ranges = _envelope(spark, path)
+    top = ranges.envelope
+    if top.get("chats") is not None:
         raise ExportError("a whole account, not one conversation")
-    if not top.listed:
-        raise ExportError("messages is no list" if top.there else "no messages")
-    return raw.select(get("id", "bigint").alias("chat_id"), F.posexplode(get("messages", "array<variant>")).alias("place", "m"))
+    if not isinstance(top.get("messages"), list):
+        raise ExportError("messages is no list" if "messages" in top else "no messages")
+    chat_id = F.lit(top["id"] if _is_id(top.get("id")) else None).cast("long")
+    return ranges.entries("messages").select(chat_id.alias("chat_id"), F.col("place").cast("int").alias("place"), "raw", F.try_parse_json("raw").alias("m"))
 
 
 def export_chat_id(spark: SparkSession, path: str) -> int:
     """The conversation's id; ExportError if it is no whole number."""
-    row = spark.read.text(path, wholetext=True).select(F.expr("schema_of_variant(variant_get(try_parse_json(value), '$.id', 'variant'))").alias("s"), F.expr("try_variant_get(try_parse_json(value), '$.id', 'bigint')").alias("id")).first()
-    if row is None or row.s != "BIGINT":
+    found = _envelope(spark, path).envelope.get("id")
+    if not _is_id(found):
         raise ExportError("the conversation's id is no whole number")
-    return row.id
+    return found
 
 
 def split_export(spark: SparkSession, path: str, lines: str) -> None:
-    """Write an export's entries as JSON Lines (chat_id, place, m), a line each. An export is one object, which one task has to read; after
-    this, readers share the work."""
-    _open_export(spark, path).select("chat_id", "place", F.expr("to_json(m)").alias("m")).write.mode("errorifexists").json(lines)
+    """Write an export's entries as JSON Lines (chat_id, place, m), a line each, for readers of JSON Lines."""
+    _open_export(spark, path).select("chat_id", "place", F.expr("to_json(m)").alias("m")).where("m is not null").write.mode("errorifexists").json(lines)
 
 
 def read_split(spark: SparkSession, lines: str) -> DataFrame:
@@ -61,7 +76,7 @@ def read_export(spark: SparkSession, path: str) -> DataFrame:
     """Messages of an export (one JSON object), a row each, with chat_id, place (in the file) and text, all its parts joined.
 
     Entries that are no objects or have no whole number as id are left out here; unreadable_entries returns them. See _open_export for
-    errors. A large export is best split once (split_export).
+    errors. The file is read once for its envelope and once for each use of the result.
     """
     return _messages(_open_export(spark, path))
 
@@ -71,10 +86,10 @@ def _is_message():
 
 
 def unreadable_entries(spark: SparkSession, path: str) -> DataFrame:
-    """chat_id, place, reason and entry (JSON) of what read_export leaves out."""
+    """chat_id, place, reason and entry (JSON; as it stands in the file, if it is none) of what read_export leaves out."""
     d = _open_export(spark, path)
-    reason = F.when(~F.expr("schema_of_variant(m)").startswith("OBJECT"), "no object").when(F.expr("try_variant_get(m, '$.id', 'variant')").isNull(), "no id").otherwise("id is no whole number")
-    return d.where(~_is_message()).select("chat_id", "place", reason.alias("reason"), F.expr("to_json(m)").alias("entry"))
+    reason = F.when(F.col("m").isNull(), "no JSON").when(~F.expr("schema_of_variant(m)").startswith("OBJECT"), "no object").when(F.expr("try_variant_get(m, '$.id', 'variant')").isNull(), "no id").otherwise("id is no whole number")
+    return d.where(~F.coalesce(_is_message(), F.lit(False))).select("chat_id", "place", reason.alias("reason"), F.coalesce(F.expr("to_json(m)"), F.col("raw")).alias("entry"))
 
 
 def _messages(entries: DataFrame) -> DataFrame:
@@ -94,8 +109,8 @@ def _messages(entries: DataFrame) -> DataFrame:
     )
 
 
-#: How deep lists may stand in lists; the format has one level.
-DEPTH = 3
+#: How deep lists may stand in lists; the format has one level. Text further down is left out.
+DEPTH = 16
 
 
 def flatten_text(field: str):
