@@ -157,9 +157,13 @@ def message_kind(m: str = "", names: list[str] | None = None) -> Column:
     return kind.when(given("dice"), "dice").when(c("mime_type").startswith("application/"), "document").when(c("text").isNotNull() | c("text_entities").isNotNull(), "text").otherwise("unknown")
 
 
-# Attributes of a live message in the order in which they decide its kind.
-LIVE_KINDS = [(x, x) for x in ("photo", "video", "voice", "audio", "document", "sticker", "animation", "video_note", "location", "contact", "poll", "dice")]
-LIVE_KINDS = [("forward_origin", "forward"), *LIVE_KINDS, *[(x, "service") for x in ("new_chat_members", "left_chat_member", "pinned_message")], ("text", "text")]
+# Attributes of a live message and the kinds they stand for, in the order in which they decide.
+LIVE_KINDS = [
+    ("forward_origin", "forward"), ("photo", "photo"), ("video", "video"), ("voice", "voice"), ("audio", "audio"), ("document", "document"),
+    ("sticker", "sticker"), ("animation", "animation"), ("video_note", "video_note"), ("location", "location"), ("contact", "contact"),
+    ("poll", "poll"), ("dice", "dice"), ("new_chat_members", "service"), ("left_chat_member", "service"), ("pinned_message", "service"),
+    ("text", "text"),
+]
 
 
 def live_kind(message: Column) -> Column:
@@ -178,9 +182,9 @@ def text_and_caption(kind: Column, text: Column, entities_text: Column | None =
 
 
 def export_user_id(from_id: Column) -> Column:
-    """user<N> gives N, channel<N> gives -1, all else null."""
+    """user<N> gives N, channel<N> gives -1, all else, and numbers that no id reaches, null."""
     digits = F.regexp_extract(from_id, r"^(?:user|channel)(\d+)$", 1)
-    return F.when(digits == "", None).when(from_id.startswith("channel"), F.lit(-1)).otherwise(digits.cast("long"))
+    return F.when(digits == "", None).when(from_id.startswith("channel"), F.lit(-1)).otherwise(digits.try_cast("long"))
 
 
 def utc_time(iso: Column) -> Column:

@@ -127,6 +127,69 @@ def forget_cascade(tables: dict[str, DataFrame], events: DataFrame, limit: int =
     return after, d.drop("_fine", "_state", "_old")
 
 
+def run_cascade(log, limit: int = 10, layers: dict[str, Layer | None] | None = None) -> dict:
+    """One tick over a table log (see sources.tablelog) with tombstones (id, tombstone_key, target_type, target_id, status, created_at, cascade,
+    error) and the layers' tables: the ids that were claimed, and those that failed with their error.
+
+    The oldest pending events go to processing in one commit, so of two ticks at once only one claims an event. Then each layer's change
+    and what it records in the events are one commit; a layer that raises is recorded as failed, with its error, and the
+    others go on. At the end events go to completed, or to failed if a layer has. Layers that an event names as completed are not
+    applied again. A layer whose table is not in the log is skipped.
+    """
+    layers = LAYERS if layers is None else layers
+
+    def claim(tables):
+        events = tables["tombstones"]
+        due = [r["id"] for r in events.where("status = 'pending'").orderBy("created_at", "id").limit(limit).collect()]
+        taken = events.withColumn("status", F.when(F.col("id").isin(*due), "processing").otherwise(F.col("status")))
+        return ({"tombstones": taken} if due else {}), {}, due
+
+    ids = log.change(claim, {"job": "forget", "step": "claim"})
+    if not ids:
+        return {"claimed": [], "failed": {}}
+    mine = F.col("id").isin(*ids) & (F.col("status") == "processing")
+    fine = F.col("target_type").isin(*UNSUPPORTED) | F.col("target_id").try_cast("long").isNotNull()
+    done = lambda name: F.coalesce(F.try_element_at("cascade", F.lit(name))["status"] == "completed", F.lit(False))
+
+    def recorded(events, name, state):
+        old = F.coalesce("cascade", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<struct<status:string,reason:string>>")))
+        new = F.map_concat(F.map_filter(old, lambda k, v: k != name), F.create_map(F.lit(name), state))
+        return events.withColumn("cascade", F.when(mine & fine & ~done(name), new).otherwise(F.col("cascade")))
+
+    errors = {}
+    for name, layer in layers.items():
+        skipped = F.struct(F.lit("skipped").alias("status"), F.lit("table_not_exists").alias("reason"))
+
+        def step(tables, name=name, layer=layer, skipped=skipped):
+            events = tables["tombstones"]
+            here = layer is not None and name in tables
+            applies = events.where(mine & fine & ~done(name) & F.col("target_type").isin("message", "user"))
+            changed = {}
+            if here and not applies.isEmpty():
+                keys = _keys(tables["messages"], ["chat_id", "message_id"]).where("priority <> 2").join(applies.select(F.col("tombstone_key").alias("key")), "key", "left_semi")
+                changed = {name: layer(tables[name], keys.select("chat_id", "message_id").distinct(), applies)}
+            state = layer_state(name, F.col("target_type")) if here else F.when(F.col("target_type").isin(*UNSUPPORTED), layer_state(name, F.col("target_type"))).otherwise(skipped)
+            return {"tombstones": recorded(events, name, state), **changed}, {}, None
+
+        try:
+            log.change(step, {"job": "forget", "layer": name})
+        except Exception as e:
+            errors[name] = type(e).__name__
+            failed = F.struct(F.lit("failed").alias("status"), F.lit(errors[name]).alias("reason"))
+            log.change(lambda tables, name=name, failed=failed: ({"tombstones": recorded(tables["tombstones"], name, failed)}, {}, None), {"job": "forget", "layer": name})
+
+    def end(tables):
+        wrong = F.array_join(F.map_keys(F.map_filter(F.col("cascade"), lambda k, v: v["status"] == "failed")), ", ")
+        error = F.when(~fine, "target_id must be a whole number").when(wrong != "", F.concat(F.lit("failed layers: "), wrong))
+        d = tables["tombstones"].withColumn("_error", F.when(mine, error))
+        d = d.withColumn("error", F.when(mine, F.col("_error")).otherwise(F.col("error")))
+        ended = log.stage(d.withColumn("status", F.when(mine & F.col("_error").isNotNull(), "failed").when(mine, "completed").otherwise(F.col("status"))).drop("_error"))
+        bad = ended.where(F.col("id").isin(*ids) & (F.col("status") == "failed")).select("id", "error").collect()
+        return {"tombstones": ended}, {}, {r["id"]: r["error"] for r in bad}
+
+    return {"claimed": ids, "failed": log.change(end, {"job": "forget", "step": "end"})}
+
+
 def cascade_tick(tables: dict[str, DataFrame], events: DataFrame, flags: DataFrame, limit: int = 10, flag: str = "memory.forget.cascade_worker.enabled") -> tuple[dict[str, DataFrame], DataFrame]:
     """forget_cascade if the flag (of no scope) is on; else nothing changes. The flag is read once, on the driver."""
     on = flags.where((F.col("key") == flag) & F.col("scope_type").isNull() & F.col("scope_id").isNull() & F.col("enabled")).limit(1).count()

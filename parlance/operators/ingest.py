@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -143,24 +144,29 @@ def reply_by_raw(replies: DataFrame, messages: DataFrame, raws: DataFrame) -> Da
 
 
 # What of an exported message may be kept beside its stored content.
-SAFE_KEYS = "id type date date_unixtime edited edited_unixtime from_id reply_to_message_id media_type mime_type forwarded_from duration_seconds width height actor_id action".split()
+SAFE_KEYS = [
+    "id", "type", "date", "date_unixtime", "edited", "edited_unixtime", "from_id", "reply_to_message_id", "media_type",
+    "mime_type", "forwarded_from", "duration_seconds", "width", "height", "actor_id", "action",
+]
 
 
 def raw_payload(names: list[str]) -> Column:
-    """JSON of an exported message's safe columns (of those there are), with chat_id and message_id; nulls are left out."""
-    kept = [F.col(f"`{c}`") for c in SAFE_KEYS if c in names]
+    """JSON of an exported message's safe columns (of those there are), with chat_id and message_id; nulls are left out. The date as
+    the export writes it may stand in date_text."""
+    kept = [F.col("date_text").alias("date") if c == "date" and "date_text" in names else F.col(f"`{c}`") for c in SAFE_KEYS if c in names]
     return F.to_json(F.struct(*kept, F.col("chat_id"), F.col("id").alias("message_id")))
 
 
-def apply_import(messages: DataFrame, stored: DataFrame, raws: DataFrame, tombstones: DataFrame, users: DataFrame, run_id: int, resume_point: int | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+def apply_import(messages: DataFrame, stored: DataFrame, raws: DataFrame, tombstones: DataFrame, users: DataFrame, run_id: int, resume_point: int | None = None, cut: Callable[[DataFrame], DataFrame] | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
     """Rows that an import adds (raws, users, messages, marks, versions), and an outcome for each message.
 
     messages: chat_id, place, id, type, from_id, from, text, caption, kind, entities, poll_question, contact_name, reply_to, date and columns of
     the export. stored: chat_id, message_id, raw_id. raws: raw_id, chat_id, message_id, update_id, run_id. A message meets, in this order: an
     erasure of its id, a live copy, a stored or (by its raw row) imported copy, a sender that can't be read, an erasure by content or
     user. What is left is written; offrecord messages are written blank. Senders not among users are added as imported only, channels as one.
-    Every message that gets so far leaves a raw row, with a null update_id and without content. All of it is joins over the
-    whole export, so chunks and their checkpoints fall away: a run's rows become visible together.
+    Every message that gets so far leaves a raw row, with a null update_id and without content; its raw_id names run and message, so
+    that a run which starts over makes the same rows. All of it is joins over all messages given. cut: writes the judged messages and reads
+    them back, as several tables are made of them.
     """
     left = messages if resume_point is None else messages.where(F.col("id") > resume_point)
     d = left.withColumn("user_id", export_user_id(F.col("from_id"))).withColumn("content_hash", content_hash(F.col("text"), F.col("caption"), F.col("kind"), F.col("entities")))
@@ -189,15 +195,18 @@ def apply_import(messages: DataFrame, stored: DataFrame, raws: DataFrame, tombst
     earlier = F.max(F.col("_alone") == "applied").over(W.partitionBy("chat_id", "id").orderBy("place").rowsBetween(W.unboundedPreceding, -1))
     late = is_(earlier) & F.col("_alone").isin("applied", "no_user")
     d = d.withColumn("outcome", F.when(late, "stored_duplicate").otherwise(F.col("_alone")))
+    if cut:
+        d = cut(d.drop("_keys", "_alone"))
     new = d.where("outcome = 'applied'")
     written, marks, versions = persist(new.select("chat_id", F.col("id").alias("message_id"), "user_id", "text", "caption", "kind", "entities", "poll_question", "contact_name", "date", F.col("place").alias("arrival")))
     off = policy(F.col("text"), F.col("caption"), F.col("poll_question"), F.col("contact_name")) == "offrecord"
-    raw = new.select("chat_id", F.col("id").alias("message_id"), F.lit(None).cast("long").alias("update_id"), F.lit(run_id).alias("run_id"), raw_payload(messages.columns).alias("payload"), off.alias("is_redacted"))
+    raw_id = lambda message: F.concat_ws(":", F.lit("import"), F.lit(run_id), F.col("chat_id"), F.col(message)).alias("raw_id")
+    raw = new.select(raw_id("id"), "chat_id", F.col("id").alias("message_id"), F.lit(None).cast("long").alias("update_id"), F.lit(run_id).alias("run_id"), raw_payload(messages.columns).alias("payload"), off.alias("is_redacted"))
     known = users.select("user_id")
     name = F.max_by("from", F.struct(F.col("from").isNotNull(), -F.col("place")))
     ghosts = new.groupBy("user_id").agg(name.alias("first_name")).join(known, "user_id", "left_anti").withColumn("imported_only", F.lit(True))
     outcomes = d.withColumn("outcome", F.when((F.col("outcome") == "applied") & off, "offrecord").otherwise(F.col("outcome"))).select("chat_id", F.col("id").alias("message_id"), "place", "outcome")
-    return {"raws": raw, "users": ghosts, "messages": written, "marks": marks, "versions": versions}, outcomes
+    return {"raws": raw, "users": ghosts, "messages": written.withColumn("raw_id", raw_id("message_id")), "marks": marks, "versions": versions}, outcomes
 
 
 def latest_prior_run(messages: DataFrame, runs: DataFrame) -> DataFrame:
@@ -281,6 +290,58 @@ def live_run(runs: DataFrame) -> DataFrame:
     return runs.where("run_type = 'live' and status = 'running'").orderBy(F.desc("started_at"), F.desc("run_id")).limit(1)
 
 
+#: Columns of runs that new_run fills.
+RUN = "run_id long, run_type string, status string, path string, hash string, chat_id long, stats string, error string, started_at timestamp, finished_at timestamp"
+
+
+def new_run(runs: DataFrame, run_type: str, as_of: Column, path: str | None = None, digest: str | None = None, chat_id: int | None = None) -> DataFrame:
+    """A row for runs: the next number, running."""
+    if run_type not in RUN_TYPES:
+        raise ValueError(f"no type of run: {run_type}")
+    given = {"run_type": run_type, "status": "running", "path": path, "hash": digest, "chat_id": chat_id, "stats": "{}", "error": None}
+    kinds = dict(x.split() for x in RUN.split(", "))
+    row = runs.agg((F.coalesce(F.max("run_id"), F.lit(0)) + 1).cast("long").alias("run_id"))
+    return row.select("run_id", *[F.lit(v).cast(kinds[k]).alias(k) for k, v in given.items()], as_of.cast("timestamp").alias("started_at"), F.lit(None).cast("timestamp").alias("finished_at"))
+
+
+def live_run_or_new(runs: DataFrame, as_of: Column) -> tuple[int, DataFrame | None]:
+    """The running live run's number, and the row to append to runs if there was none."""
+    found = live_run(runs).first()
+    if found is not None:
+        return found["run_id"], None
+    row = new_run(runs, "live", as_of)
+    return row.first()["run_id"], row
+
+
+# Types of runs.
+RUN_TYPES = ["live", "import", "dry_run", "cancelled", "rolled_back"]
+
+
+def stored_replies(new: DataFrame, messages: DataFrame, raws: DataFrame, runs: DataFrame, run_id: int) -> DataFrame:
+    """new (chat_id, message_id, reply_to and others) with reply_to only where its target is stored or is new and has a smaller id.
+
+    A target is found by its id among the messages of this run, of earlier ones and live ones (see resolve_replies), else by
+    the id in its raw row (see reply_by_raw), whose message's id takes its place. messages: chat_id, message_id, raw_id. raws: raw_id,
+    message_id, run_id. runs: run_id, started_at.
+    """
+    stored = messages.join(raws.select("raw_id", "run_id"), "raw_id", "left").join(runs.select("run_id", F.col("started_at").alias("run_started_at")), "run_id", "left")
+    columns = ["chat_id", "message_id", F.col("message_id").alias("target"), "run_id", "run_started_at"]
+    began = runs.where(F.col("run_id") == run_id).select("started_at").first()["started_at"]
+    mine = {"run_id": F.lit(run_id).cast("long"), "started_at": F.lit(began).cast("timestamp")}
+    known = stored.select(*columns).unionByName(new.withColumns({"run_id": mine["run_id"], "run_started_at": mine["started_at"]}).select(*columns))
+    asked = new.where("reply_to is not null").withColumns(mine)
+    ask = lambda d: d.select("chat_id", "reply_to", "run_id", "started_at").distinct()
+    earlier = resolve_replies(ask(asked.where("reply_to < message_id")), known).withColumn("earlier", F.lit(True))
+    later = resolve_replies(ask(asked.where("reply_to >= message_id")), stored.select(*columns)).withColumn("earlier", F.lit(False))
+    found = earlier.unionByName(later)
+    lost = found.where("target is null").select("chat_id", "reply_to").distinct()
+    by_raw = reply_by_raw(lost, messages, raws).select("chat_id", "reply_to", F.col("message_id").alias("by_raw"))
+    targets = found.join(by_raw, ["chat_id", "reply_to"], "left").select(F.col("chat_id").alias("_chat"), F.col("reply_to").alias("_reply"), F.col("earlier").alias("_earlier"), F.coalesce("target", "by_raw").alias("_target"))
+    same = (F.col("chat_id") == F.col("_chat")) & (F.col("reply_to") == F.col("_reply")) & ((F.col("reply_to") < F.col("message_id")) == F.col("_earlier"))
+    return new.join(targets, same, "left").withColumn("reply_to", F.col("_target")).select(*new.columns)
+
+
+# Names of secrets.
 SECRET = r"(?i)(token|secret|password|passphrase|api[_-]?key)"
 
 

@@ -47,7 +47,7 @@ def persist(incoming: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     d = incoming.withColumn("_audit", audit).withColumn("memory_policy", F.col("_audit.policy")).withColumn("is_redacted", F.col("memory_policy") == "offrecord")
     d = d.withColumns({c: F.when(~F.col("is_redacted"), F.col(c)) for c in ("text", "caption", "entities")})
     digest = content_hash(F.col("text"), F.col("caption"), F.col("kind"), F.col("entities"))
-    messages = d.select(*KEY, "user_id", "text", "caption", "kind", "date", "memory_policy", "is_redacted", "arrival")
+    messages = d.select(*KEY, "user_id", "text", "caption", "kind", "date", "memory_policy", "is_redacted", digest.alias("content_hash"), "arrival")
     marks = d.where("memory_policy <> 'normal'").select(*KEY, F.col("memory_policy").alias("mark_type"), F.col("_audit.detected_by").alias("detected_by"), F.col("user_id").alias("set_by"), "arrival")
     versions = d.select(*KEY, digest.alias("content_hash"), "text", "caption", "is_redacted", "arrival")
     return messages, marks, versions

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from parlance.sources.ranges import Ranges
 
 # Fields of an exported message that are read, beside its text and entities.
-FIELDS = "type date date_unixtime from from_id reply_to_message_id forwarded_from edited edited_unixtime media_type mime_type photo file action actor actor_id width height duration_seconds".split()
+FIELDS = [
+    "type", "date", "date_unixtime", "from", "from_id", "reply_to_message_id", "forwarded_from", "edited", "edited_unixtime", "media_type",
+    "mime_type", "photo", "file", "action", "actor", "actor_id", "width", "height", "duration_seconds",
+]
 NUMBERS = ["reply_to_message_id", "width", "height", "duration_seconds"]
 #: Objects that tell a message's kind, as JSON.
 OBJECTS = ["location_information", "contact_information", "poll", "dice"]
@@ -174,6 +177,16 @@ def source_digest(path: str, block: int = 1 << 20) -> str:
     return digest.hexdigest()
 
 
+def file_digest(spark: SparkSession, path: str) -> str:
+    """SHA-256 of a file in any store that Spark reads, streamed through the driver's JVM."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()
+
+
 def report_json(report: DataFrame) -> DataFrame:
     """Each row as a JSON string."""
     return report.select(F.to_json(F.struct("*"), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ssXXX"}).alias("value"))

@@ -158,8 +158,8 @@ def test_policies_and_times(spark):
     assert got == [1_700_000_000_000_000, 1_700_000_000_500_000, utc(2026, 1, 2, 3, 4, 5), utc(2026, 1, 2, 0, 4, 5), None, utc(2026, 1, 2)]
     marks = spark.createDataFrame([("a#nomem",), ("#NoMem!",), ("привет #offrecord",), ("#offrecordя",), ("#nomem_x",), (None,)], "t string").select(T.policy(F.col("t")).alias("p")).collect()
     assert [r.p for r in marks] == ["normal", "nomem", "offrecord", "normal", "normal", "normal"]
-    names = spark.createDataFrame([("user12",), ("channel9",), ("user-1",), ("bot3",), (None,)], "f string").select(T.export_user_id(F.col("f")).alias("u")).collect()
-    assert [r.u for r in names] == [12, -1, None, None, None]
+    names = spark.createDataFrame([("user12",), ("channel9",), ("user-1",), ("bot3",), (None,), ("user99999999999999999999",)], "f string").select(T.export_user_id(F.col("f")).alias("u")).collect()
+    assert [r.u for r in names] == [12, -1, None, None, None, None]
 
 
 def test_stem(spark):
@@ -258,15 +258,6 @@ def test_jobs(spark, tmp_path, capsys):
     assert jobs.main(["dry-run", path]) == 0
     report = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert (report["total"], report["unreadable"], report["policy_nomem"], report["kinds"]["photo"], report["replies"]) == (7, 4, 1, 1, 1)
-    tables = tmp_path / "tables"
-    spark.createDataFrame([(1, "import", "completed", None), (2, "live", "running", None)], "run_id long, run_type string, status string, stats string").withColumns({"started_at": F.current_timestamp(), "finished_at": F.current_timestamp()}).write.parquet(f"{tables}/runs")
-    spark.createDataFrame([(1, 1, None), (2, 1, 5), (3, 2, None)], "raw_id long, run_id long, update_id long").write.parquet(f"{tables}/raws")
-    spark.createDataFrame([(1, i, i) for i in (1, 2, 3)], "chat_id long, message_id long, raw_id long").write.parquet(f"{tables}/messages")
-    spark.createDataFrame([(1, i) for i in (1, 1, 3)], "chat_id long, message_id long").write.parquet(f"{tables}/versions")
-    assert [jobs.main(["rollback", str(tables), run]) for run in ("9", "2", "1")] == [3, 2, 0]
-    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1]) == {"raws": 1, "messages": 1, "versions": 2, "done_before": False}
-    assert sorted(r.message_id for r in spark.read.parquet(f"{tables}/after/messages/v=1").collect()) == [2, 3]
-    assert spark.read.parquet(f"{tables}/after/runs/v=1").where("run_type = 'rolled_back'").count() == 1
     assert jobs.main(["dry-run", str(tmp_path / "none.json")]) == 4
 
 
