@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,13 +58,53 @@ def json_string(text: Column) -> Column:
     return F.concat(F.lit('"'), out, F.lit('"'))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+#: How deep objects and lists may stand in each other in canonical_json; what is deeper ends the job, so that no hash leaves it out.
+JSON_DEPTH = 6
+
+
+def canonical_json(v: Column, depth: int = JSON_DEPTH) -> Column:
+    """Compact JSON of a variant with the keys of objects in order, keys whose value is null left out, and characters past ASCII kept.
+
+    Objects and lists are both a list of (key, value), so a level adds one expression. Numbers are written as the variant has them:
+    whole numbers and decimals without an exponent.
+    """
+    kind = F.schema_of_variant(v)
+    whole = lambda t: F.try_variant_get(v, "$", t)
+    plain = F.when(kind == "STRING", json_string(whole("string"))).when(kind == "VOID", "null").otherwise(whole("string"))
+    if not depth:
+        return F.when(kind.rlike("^(OBJECT|ARRAY)"), F.raise_error(F.lit(f"JSON is nested deeper than {JSON_DEPTH}"))).otherwise(plain)
+    # Objects as sorted (key, value) and lists as (null, value), so that a level stands once in the expression.
+    entries = lambda m: F.transform(F.array_sort(F.map_keys(m)), lambda k: F.struct(k.alias("key"), F.try_element_at(m, k).alias("value")))
+    fields = F.filter(let(whole("map<string,variant>"), entries), lambda e: F.schema_of_variant(e["value"]) != "VOID")
+    items = F.transform(whole("array<variant>"), lambda x: F.struct(F.lit(None).cast("string").alias("key"), x.alias("value")))
+    inner = F.when(kind.startswith("OBJECT"), fields).when(kind.startswith("ARRAY"), items)
+    each = F.transform(inner, lambda e: F.concat(F.coalesce(F.concat(json_string(e["key"]), F.lit(":")), F.lit("")), canonical_json(e["value"], depth - 1)))
+    body = F.array_join(each, ",")
+    return F.when(kind.startswith("OBJECT"), F.concat(F.lit("{"), body, F.lit("}"))).when(kind.startswith("ARRAY"), F.concat(F.lit("["), body, F.lit("]"))).otherwise(plain)
+
+
+def _as_variant(e: Column) -> Column:
+    """An entity, a struct or a variant, as a variant without null fields."""
+    return F.parse_json(F.to_json(e))
+
+
+def _span(v: Column) -> list[Column]:
+    """Offset, length and type of an entity, with what counts where they are missing."""
+    get = lambda name, kind, none: F.coalesce(F.try_variant_get(v, f"$.{name}", kind), F.lit(none))
+    return [get("offset", "int", 0), get("length", "int", 0), get("type", "string", "")]
+
+
 def entities_json(entities: Column) -> Column:
-    """Entities (array of structs with offset, length, type, perhaps url and language) as a compact JSON list, sorted by
-    offset, length and type, keys in order; a null or empty list is []."""
-    # JSON keys in the order of the alphabet; null values are left out.
-    one = lambda e: F.to_json(F.struct(e["length"].alias("length"), e["offset"].alias("offset"), e["type"].alias("type")))
-    sorted_ = F.array_sort(F.transform(entities, lambda e: F.struct(F.coalesce(e["offset"], F.lit(0)).alias("o"), F.coalesce(e["length"], F.lit(0)).alias("l"), F.coalesce(e["type"], F.lit("")).alias("t"), e.alias("e"))))
-    return F.concat(F.lit("["), F.coalesce(F.array_join(F.transform(sorted_, lambda x: one(x["e"])), ","), F.lit("")), F.lit("]"))
+    """Entities (array of structs or variants) with all they hold (url, language, user, ...) as a compact JSON list, sorted by
+    offset, length and type, then by their place; keys in order, nulls left out. A null or empty list is []."""
+    one = lambda e, i: let(_as_variant(e), lambda v: F.struct(*[x.alias(n) for x, n in zip(_span(v), "olt")], i.alias("i"), canonical_json(v, 3).alias("json")))
+    sorted_ = F.array_sort(F.transform(entities, one))
+    return F.concat(F.lit("["), F.coalesce(F.array_join(F.transform(sorted_, lambda x: x["json"]), ","), F.lit("")), F.lit("]"))
 
 
 def content_hash(text: Column, caption: Column, kind: Column, entities: Column | None = None) -> Column:
@@ -73,13 +115,28 @@ def content_hash(text: Column, caption: Column, kind: Column, entities: Column |
 
 
 def merge_entities(*lists: Column) -> Column:
-    """Entities of the lists in order, the first of each offset, length and type; null if there are none."""
-    every = F.concat(*[F.coalesce(x, F.array().cast("array<struct<offset:int,length:int,type:string>>")) for x in lists])
-    same = lambda a, b: (a["offset"] == b["offset"]) & (a["length"] == b["length"]) & (a["type"] == b["type"])
-    first = F.filter(every, lambda e, i: ~F.exists(F.slice(every, F.lit(1), i), lambda o: same(o, e)))
+    """Entities (structs or variants) of the lists in order, the first of each offset, length and type; null if there are none."""
+    every = F.flatten(F.filter(F.array(*lists), lambda x: x.isNotNull()))
+    span = lambda e: let(_as_variant(e), lambda v: F.struct(*[x.alias(n) for x, n in zip(_span(v), "olt")]))
+    firsts = lambda every: let(F.transform(every, span), lambda spans: F.filter(every, lambda e, i: F.array_position(spans, spans[i]) == i + 1))
+    first = let(every, firsts)
     return F.when(F.size(first) > 0, first)
 
 
+# The published Snowball list of Russian words that say little.
+RUSSIAN_STOP_WORDS = [
+    "и", "в", "во", "не", "что", "он", "на", "я", "с", "со", "как", "а", "то", "все", "она", "так", "его", "но", "да", "ты", "к", "у", "же",
+    "вы", "за", "бы", "по", "только", "ее", "мне", "было", "вот", "от", "меня", "еще", "нет", "о", "из", "ему", "теперь", "когда", "даже",
+    "ну", "вдруг", "ли", "если", "уже", "или", "ни", "быть", "был", "него", "до", "вас", "нибудь", "опять", "уж", "вам", "ведь", "там",
+    "потом", "себя", "ничего", "ей", "может", "они", "тут", "где", "есть", "надо", "ней", "для", "мы", "тебя", "их", "чем", "была", "сам",
+    "чтоб", "без", "будто", "чего", "раз", "тоже", "себе", "под", "будет", "ж", "тогда", "кто", "этот", "того", "потому", "этого", "какой",
+    "совсем", "ним", "здесь", "этом", "один", "почти", "мой", "тем", "чтобы", "нее", "сейчас", "были", "куда", "зачем", "всех", "никогда",
+    "можно", "при", "наконец", "два", "об", "другой", "хоть", "после", "над", "больше", "тот", "через", "эти", "нас", "про", "всего", "них",
+    "какая", "много", "разве", "три", "эту", "моя", "впрочем", "хорошо", "свою", "этой", "перед", "иногда", "лучше", "чуть", "том",
+    "нельзя", "такой", "им", "более", "всегда", "конечно", "всю", "между",
+]
+
+
 # Endings of the published Snowball stemmer for Russian; those of the first kind count after а or я alone.
 _GERUND = ("(?<=[ая])(вшись|вши|в)", "ившись|ивши|ив|ывшись|ывши|ыв")
 _ADJECTIVE = "ими|ыми|его|ого|ему|ому|ее|ие|ые|ое|ей|ий|ый|ой|ем|им|ым|ом|их|ых|ую|юю|ая|яя|ою|ею"
@@ -230,34 +287,100 @@ def row_hash(*cells: Column) -> Column:
     return F.sha2(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in cells]), 256)
 
 
-def headline(text: Column, terms: Column, max_words: int = 35, around: int = 10) -> Column:
-    """Words about the stretch of max_words with the most different terms (the first such), with terms in <b>."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    plain = lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]+", "")
-    places = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(terms, plain(w)), F.struct(i.alias("i"), plain(w).alias("t")))), lambda x: x.isNotNull())
-    covered = F.transform(places, lambda p: F.struct(F.size(F.array_distinct(F.transform(F.filter(places, lambda q: (q["i"] >= p["i"]) & (q["i"] < p["i"] + max_words)), lambda q: q["t"]))).alias("n"), (-p["i"]).alias("i")))
-    start = F.greatest(F.coalesce(-F.array_max(covered)["i"], F.lit(0)) - around, F.lit(0))
-    shown = F.slice(words, start + 1, F.lit(max_words))
-    return F.array_join(F.transform(shown, lambda w: F.when(F.array_contains(terms, plain(w)), F.concat(F.lit("<b>"), w, F.lit("</b>"))).otherwise(w)), " ")
+def _best_cover(events: Column, n_terms: Column, most: int) -> Column:
+    """Of the shortest stretches that hold all terms the best one: a struct of long (more than most words), fewer (minus its hits; 0 if long),
+    size and first; null if there is none. That of the least struct is the best.
+
+    events: sorted array of structs (pos, term), one at a position, term from 0 to n_terms - 1. Two pointers run over the events: the
+    last place of each term, and the event at hand; places carry their number, so a stretch's hits are a difference.
+    """
+    nowhere = F.struct(F.lit(-1).alias("pos"), F.lit(-1).alias("n"))
+    none = F.lit(None).cast("struct<long:boolean,fewer:int,size:int,first:int>")
+    start = F.struct(F.array_repeat(nowhere, n_terms).alias("last"), F.lit(-1).alias("from"), F.lit(0).alias("n"), none.alias("best"))
+
+    def step(state: Column, e: Column) -> Column:
+        here = F.struct(e["pos"].cast("int").alias("pos"), state["n"].alias("n"))
+        last = F.transform(state["last"], lambda v, i: F.when(i == e["term"], here).otherwise(v))
+
+        def judged(last: Column) -> Column:
+            begin = F.array_min(last)
+            size = e["pos"].cast("int") - begin["pos"] + 1
+            found = F.struct((size > most).alias("long"), F.when(size > most, 0).otherwise(begin["n"] - state["n"] - 1).alias("fewer"), size.alias("size"), begin["pos"].alias("first"))
+            best = F.when(begin["pos"] > state["from"], F.least(F.coalesce(state["best"], found), found)).otherwise(state["best"])
+            return F.struct(last.alias("last"), begin["pos"].alias("from"), (state["n"] + 1).alias("n"), best.alias("best"))
+
+        return let(last, judged)
+
+    return F.aggregate(events, start, step, lambda s: s["best"])
 
 
 def cover_density(events: Column, n_terms: Column, weight: float = 0.1) -> Column:
     """Cover-density rank: for each shortest stretch that holds all terms, weight / (1 + words in it that are no term).
 
-    events: sorted array of structs (pos, term), term from 0 to n_terms - 1: where a text has terms.
+    events: sorted array of structs (pos, term), term from 0 to n_terms - 1: where a text has terms. Linear in the events.
     """
-    start = F.struct(F.array_repeat(F.lit(-1), n_terms).alias("last"), F.lit(-1).alias("from"), F.lit(0.0).cast("double").alias("rank"))
+    nowhere = F.struct(F.lit(-1).alias("pos"), F.lit(-1).alias("n"))
+    start = F.struct(F.array_repeat(nowhere, n_terms).alias("last"), F.lit(-1).alias("from"), F.lit(0).alias("n"), F.lit(0.0).cast("double").alias("rank"))
 
     def step(state: Column, e: Column) -> Column:
-        last = F.transform(state["last"], lambda v, i: F.when(i == e["term"], e["pos"]).otherwise(v))
-        begin = F.array_min(last)
-        inside = F.size(F.filter(events, lambda o: (o["pos"] >= begin) & (o["pos"] <= e["pos"])))
-        worth = F.lit(weight) / (1 + (e["pos"] - begin) - (inside - 1))
-        return F.struct(last.alias("last"), begin.alias("from"), (state["rank"] + F.when(begin > state["from"], worth).otherwise(0.0)).alias("rank"))
+        here = F.struct(e["pos"].cast("int").alias("pos"), state["n"].alias("n"))
+        last = F.transform(state["last"], lambda v, i: F.when(i == e["term"], here).otherwise(v))
+
+        def judged(last: Column) -> Column:
+            begin = F.array_min(last)
+            # Of the words after the first, those that are no event.
+            worth = F.lit(weight) / (1 + (e["pos"] - begin["pos"]) - (state["n"] - begin["n"]))
+            return F.struct(last.alias("last"), begin["pos"].alias("from"), (state["n"] + 1).alias("n"), (state["rank"] + F.when(begin["pos"] > state["from"], worth).otherwise(0.0)).alias("rank"))
+
+        return let(last, judged)
 
     return F.aggregate(events, start, step, lambda s: s["rank"])
 
 
+def bare_word(word: Column) -> Column:
+    """A word in lower case with nothing but letters and digits."""
+    return F.regexp_replace(F.lower(word), r"[^\p{L}\p{N}]+", "")
+
+
+def headline(text: Column, terms: Column, max_words: int = 35, min_words: int = 10, short: int = 2, normal: Callable[[Column], Column] = bare_word) -> Column:
+    """A piece of text with its terms in <b>.
+
+    The piece grows from the best of the shortest stretches that hold all terms the text has: of those within max_words the one with most
+    hits, then the shortest, then the first; if none is that short, the first max_words words of the shortest, then first. A
+    stretch under min_words is continued to its right, then to its left. Words of at most short characters at either end that are no
+    hits are cut, as long as min_words are left. Without a hit the piece is the text's first min_words words. normal: what
+    is compared of a word. Linear in the words.
+    """
+    if max_words < 1 or not 0 < min_words <= max_words or short < 0:
+        raise ValueError("max_words and min_words must be positive, min_words not above max_words, short not negative")
+
+    def shown(words: Column, own: Column, here: Column, best: Column) -> Column:
+        n = F.size(words)
+        first = F.coalesce(best["first"], F.lit(0))
+        length = F.least(F.coalesce(best["size"], F.lit(min_words)), F.lit(max_words))
+        end = F.least(F.greatest(first + length, first + min_words), n)
+        begin = F.greatest(F.least(first, end - min_words), F.lit(0))
+        piece = F.slice(F.zip_with(words, own, lambda w, o: F.struct(w.alias("w"), o.alias("o"))), begin + 1, F.greatest(end - begin, F.lit(0)))
+        hit = lambda x: F.array_contains(here, x["o"])
+
+        def trimmed(piece: Column) -> Column:
+            firm = F.filter(F.transform(piece, lambda x, i: F.when((F.length(x["w"]) > short) | hit(x), i)), lambda i: i.isNotNull())
+            spare = F.greatest(F.size(piece) - min_words, F.lit(0))
+            right = F.least(F.size(piece) - 1 - F.coalesce(F.array_max(firm), F.lit(-1)), spare)
+            left = F.least(F.coalesce(F.array_min(firm), F.size(piece)), spare - right)
+            return F.slice(piece, left + 1, F.greatest(F.size(piece) - left - right, F.lit(0)))
+
+        return F.array_join(F.transform(let(piece, trimmed), lambda x: F.when(hit(x), F.concat(F.lit("<b>"), x["w"], F.lit("</b>"))).otherwise(x["w"])), " ")
+
+    def with_terms(words: Column, own: Column, here: Column) -> Column:
+        # Terms that the text doesn't have don't count, so numbers are dealt to those it has.
+        at = F.filter(F.transform(own, lambda w, i: F.struct(i.alias("pos"), (F.array_position(here, w) - 1).cast("int").alias("term"))), lambda e: e["term"] >= 0)
+        return let(_best_cover(at, F.size(here), max_words), lambda best: shown(words, own, here, best))
+
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return let(words, lambda words: let(F.transform(words, normal), lambda own: let(F.array_intersect(terms, own), lambda here: with_terms(words, own, here))))
+
+
 def intro_text(template: str, answers: list[Column]) -> Column:
     """template with {0}, {1}, ... replaced by the answers, escaped; a dash for what is missing."""
     out = F.lit(template)

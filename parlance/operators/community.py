@@ -118,6 +118,16 @@ def answers_wide(answers: DataFrame, questions: int = 7) -> DataFrame:
     return answers.groupBy("user_id").agg(*[of(k) for k in range(questions)])
 
 
+def numbered(rows: DataFrame, key: str, name: str, block: int = 10_000) -> DataFrame:
+    """rows with their number from 1 by key (whole numbers) under name: numbers inside blocks of keys, after the sums of the blocks before.
+    The sums are a row for each block, in one task."""
+    d = rows.withColumn("_block", F.floor(F.col(key) / block))
+    sums = d.groupBy("_block").agg(F.count(F.lit(1)).alias("_rows"))
+    before = sums.select(F.col("_block").alias("_of"), F.coalesce(F.sum("_rows").over(W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy("_block").orderBy(key))
+    return d.withColumn("_inside", inside).join(before, F.col("_block") == F.col("_of")).withColumn(name, F.col("_inside") + F.col("_before")).drop("_block", "_of", "_before", "_inside")
+
+
 def sheet_changes(sheet: DataFrame, local: DataFrame) -> DataFrame:
     """Users of both whose rows differ; the sheet wins. Both: user_id, row_hash."""
     return sheet.join(local.select("user_id", F.col("row_hash").alias("local_hash")), "user_id").where(F.col("row_hash") != F.col("local_hash")).select("user_id", "row_hash")
@@ -141,7 +151,7 @@ def sync_sheet(sheet: DataFrame, intros: DataFrame, users: DataFrame, answers: D
     pushed = intros.where(F.col("row_number").isNull()).join(users.select("user_id", F.col("username").alias("_name")), "user_id")
     pushed = pushed.drop("row_number").join(first_row, "user_id", "left").join(current, "user_id", "left")
     end = sheet.agg(F.coalesce(F.max("row_number"), F.lit(1)).alias("_end"))  # one row
-    fresh = pushed.where(F.col("_row").isNull()).select("user_id").withColumn("_n", F.row_number().over(W.orderBy("user_id"))).crossJoin(end).select("user_id", (F.col("_end") + F.col("_n")).alias("_new"))
+    fresh = numbered(pushed.where(F.col("_row").isNull()).select("user_id"), "user_id", "_n").join(F.broadcast(end)).select("user_id", (F.col("_end") + F.col("_n")).alias("_new"))
     pushed = pushed.join(fresh, "user_id", "left").withColumn("row_number", F.coalesce("_row", "_new").cast("long"))
     name = F.coalesce(F.concat(F.lit("@"), "_name"), F.lit(""))
     rows = pushed.select("row_number", "user_id", name.alias("username"), *[F.coalesce(q, F.lit("")).alias(q) for q in qs], F.coalesce("voucher", F.lit("")).alias("voucher"), F.lit(HAS_INTRO).alias("status"))
@@ -286,8 +296,11 @@ def append_pending(outbox: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFr
 
 def forward_lookup(texts: DataFrame, messages: DataFrame, users: DataFrame, intros: DataFrame) -> DataFrame:
     """query_id, found (nothing, no_intro, intro), user_id, intro_text: who wrote exactly that text last (ties: the greater id)."""
-    m = messages.select("text", F.col("user_id").alias("author"), "captured_at", "message_id")
-    hit = texts.where("text <> ''").join(m, "text").groupBy("query_id").agg(F.max_by("author", F.struct("captured_at", "message_id")).alias("user_id"))
+    # The last author of each text first, so that equal texts don't meet in pairs.
+    asked = texts.where("text <> ''").select("query_id", F.sha2("text", 256).alias("_digest"))
+    said = messages.select(F.sha2("text", 256).alias("_text"), "user_id", F.struct("captured_at", "message_id").alias("_order"))
+    last = said.groupBy("_text").agg(F.max_by("user_id", "_order").alias("user_id"))
+    hit = asked.join(last, F.col("_digest") == F.col("_text")).select("query_id", "user_id")
     d = texts.select("query_id").join(hit, "query_id", "left").join(users.select("user_id", F.lit(True).alias("_known")), "user_id", "left").join(intros.select("user_id", "intro_text"), "user_id", "left")
     found = F.when(F.col("_known").isNull(), "nothing").when(F.col("intro_text").isNull(), "no_intro").otherwise("intro")
     return d.select("query_id", found.alias("found"), F.when(F.col("_known"), F.col("user_id")).alias("user_id"), "intro_text")

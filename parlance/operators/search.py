@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parlance.functions.text import cover_density, display_name, headline, iso_time, normalize_query, permalink, policy, russian_stem, search_tokens
+from parlance.functions.text import bare_word, cover_density, display_name, headline, iso_time, normalize_query, permalink, policy, russian_stem, search_tokens
 from parlance.operators.governance import ACTIVE, may_ask, visible, without_tombstones
 
 
@@ -53,20 +53,15 @@ def evidence(queries: DataFrame, hits: DataFrame) -> DataFrame:
     return joined.select("query_id", ids.alias("message_ids"), (F.size(ids) == 0).alias("abstained"))
 
 
-def snippets(hits: DataFrame, messages: DataFrame, queries: DataFrame) -> DataFrame:
-    """Hits with a marked snippet of their text."""
-    terms = queries.select("query_id", search_tokens(normalize_query(F.col("query"))).alias("terms"))
+def snippets(hits: DataFrame, messages: DataFrame, queries: DataFrame, max_words: int = 35, analyzer: str = "simple", stop_words: list[str] | None = None) -> DataFrame:
+    """Hits with a marked snippet of their text, of at most so many words."""
+    normal = bare_word if analyzer == "simple" else lambda w: russian_stem(bare_word(w))
+    terms = queries.select("query_id", _terms(search_tokens(normalize_query(F.col("query"))), analyzer, stop_words or []).alias("terms"))
     joined = hits.join(messages.select("chat_id", "message_id", "text", "caption"), ["chat_id", "message_id"]).join(terms, "query_id")
-    return joined.withColumn("snippet", headline(F.concat_ws(" ", "text", "caption"), F.col("terms"))).drop("text", "caption", "terms")
+    return joined.withColumn("snippet", headline(F.concat_ws(" ", "text", "caption"), F.col("terms"), max_words, min(10, max_words), normal=normal)).drop("text", "caption", "terms")
 
 
-def audit(queries: DataFrame, bundles: DataFrame, policies: DataFrame) -> DataFrame:
-    """Trace rows: the query's text is kept only if its own policy is normal."""
-    joined = queries.join(bundles, "query_id").join(policies, "query_id")
-    return joined.select("query_id", F.when(F.col("memory_policy") == "normal", F.col("query")).alias("query_text"), "message_ids", "abstained")
-
-
-def recall(asked: DataFrame, users: DataFrame, messages: DataFrame, tombstones: DataFrame, community: int, limit: int = 3) -> tuple[DataFrame, DataFrame]:
+def recall(asked: DataFrame, users: DataFrame, messages: DataFrame, tombstones: DataFrame, community: int, limit: int = 3, analyzer: str = "simple", stop_words: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Answers (query_id, message_id, user_id, place, author, link, rank) and a trace of every question asked by someone (query_id, user_id,
     chat_id, query_text, query_redacted, message_ids, abstained).
 
@@ -77,7 +72,7 @@ def recall(asked: DataFrame, users: DataFrame, messages: DataFrame, tombstones:
     q = asked.where(F.col("user_id").isNotNull()).withColumn("query", F.trim(F.coalesce("query", F.lit(""))))
     d = q.join(u, F.col("user_id") == F.col("_u"), "left")
     allowed = d.where((F.col("chat_id") == community) & may_ask(F.col("_u"), F.col("is_member"), F.col("is_admin")) & (F.col("query") != "")).select("query_id", "chat_id", "query")
-    hits = search(messages, allowed, tombstones, limit)
+    hits = search(messages, allowed, tombstones, limit, analyzer, stop_words)
     names = users.select(F.col("user_id").alias("_author"), display_name(F.col("first_name"), F.col("last_name"), F.col("username")).alias("author"))
     answers = hits.join(names, F.col("user_id") == F.col("_author"), "left").select("query_id", "message_id", "user_id", "place", F.coalesce("author", F.lit("—")).alias("author"), permalink(F.col("chat_id"), F.col("message_id")).alias("link"), "rank")
     redacted = policy(F.col("query")) != "normal"

@@ -64,7 +64,7 @@ def live_messages(updates: DataFrame, community: int) -> DataFrame:
     """New messages of the community's chat with a known sender, from raw updates, as versions.persist takes them; reply and thread
     beside it. The order of arrival is that of update ids."""
     at = lambda p, kind="string": F.get_json_object("payload", f"$.message.{p}").try_cast(kind)
-    listed = lambda p: F.from_json(F.get_json_object("payload", f"$.message.{p}"), "array<struct<offset:int,length:int,type:string>>")
+    listed = lambda p: F.from_json(F.get_json_object("payload", f"$.message.{p}"), "array<variant>")
     d = updates.where((at("chat.id", "long") == community) & at("from.id", "long").isNotNull())
     return d.select(
         at("chat.id", "long").alias("chat_id"),

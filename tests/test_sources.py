@@ -265,10 +265,10 @@ def test_live_messages(spark):
     def update(i, **m):
         return (i, json.dumps({"message": {"chat": {"id": 7}, "message_id": i, "from": {"id": 3}, **m}}), None)
 
-    rows = [update(1, text="a #nomem", entities=[{"offset": 2, "length": 6, "type": "hashtag"}], date=1_700_000_000), update(2, poll={"question": "#offrecord?"}), update(3, chat={"id": 8}, text="elsewhere"), update(4, caption="c", photo=[1], reply_to_message={"message_id": 1}), (5, json.dumps({"message": {"chat": {"id": 7}, "message_id": 5}}), None)]
+    rows = [update(1, text="a #nomem", entities=[{"offset": 2, "length": 6, "type": "hashtag", "url": "u"}], date=1_700_000_000), update(2, poll={"question": "#offrecord?"}), update(3, chat={"id": 8}, text="elsewhere"), update(4, caption="c", photo=[1], reply_to_message={"message_id": 1}), (5, json.dumps({"message": {"chat": {"id": 7}, "message_id": 5}}), None)]
     d = updates.live_messages(spark.createDataFrame(rows, updates.UPDATE), 7)
     got = {r.message_id: r for r in d.collect()}
-    assert set(got) == {1, 2, 4} and (got[4].kind, got[4].reply_to, got[4].caption) == ("photo", 1, "c") and got[1].entities[0].type == "hashtag"
+    assert set(got) == {1, 2, 4} and (got[4].kind, got[4].reply_to, got[4].caption) == ("photo", 1, "c") and got[1].entities[0].toPython() == {"offset": 2, "length": 6, "type": "hashtag", "url": "u"}
     m, marks, v = versions.persist(d)
     assert {r.message_id: (r.memory_policy, r.text) for r in m.collect()} == {1: ("nomem", "a #nomem"), 2: ("offrecord", None), 4: ("normal", None)}
     assert {r.message_id for r in marks.collect()} == {1, 2} and v.count() == 3
