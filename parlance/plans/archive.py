@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parlance.functions import text as T
-from parlance.operators import community, governance, ingest, search, versions
+from parlance.operators import community, governance, ingest, search, search_index, versions
 from parlance.plans.proxies import AS_OF, sql, table
 
 QUERIES, ORACLES = {}, {}
@@ -60,6 +60,73 @@ def governed_search_topk(spark, messages, tombstones):
     return search.search(messages, asked(spark), tombstones)
 
 
+@query("messages", "tombstones", oracle=FOUND_SQL + "SELECT query_id, chat_id, message_id, user_id, rank, place FROM hits")
+def indexed_search(spark, messages, tombstones):
+    return search_index.search_postings(search_index.postings(messages), search_index.unposted(messages.limit(0), 0), asked(spark), tombstones)
+
+
+_CHANGED = (
+    ", before AS (SELECT * FROM messages), edited AS (SELECT * REPLACE (CASE WHEN message_id % 7 = 0 THEN concat('und the der and die ', text) WHEN message_id % 7 = 1 THEN 'new' ELSE text END AS text, is_redacted OR message_id % 9 = 0 AS is_redacted) FROM before)"
+)
+
+
+@query("messages", "tombstones", oracle=_CHANGED + FOUND_SQL.replace("FROM messages m", "FROM edited m") + "SELECT query_id, chat_id, message_id, user_id, rank, place FROM hits")
+def indexed_search_after_edits(spark, messages, tombstones):
+    """Edits and erasures go into an index of all messages by their own rows alone."""
+    m = F.col("message_id")
+    changed = messages.where((m % 7 < 2) | (m % 9 == 0))
+    text = F.when(m % 7 == 0, F.concat(F.lit("und the der and die "), "text")).when(m % 7 == 1, "new").otherwise(F.col("text"))
+    changed = changed.withColumn("text", text).withColumn("is_redacted", F.col("is_redacted") | (m % 9 == 0))
+    rows = search_index.postings(messages, 0).unionByName(search_index.postings(changed, 1))
+    return search_index.search_postings(rows, search_index.unposted(changed, 1), asked(spark), tombstones)
+
+
+@query("messages", "tombstones", oracle=", before AS (SELECT * FROM messages), edited AS (SELECT * REPLACE (CASE WHEN message_id % 3 = 0 THEN concat('the and ', text) ELSE text END AS text, is_redacted OR message_id % 30 = 0 AS is_redacted) FROM before)" + FOUND_SQL.replace("FROM messages m", "FROM edited m") + "SELECT query_id, chat_id, message_id, user_id, rank, place FROM hits")
+def current_version_search(spark, messages, tombstones):
+    """Every third message has a second version, every thirtieth a blank one: earlier versions aren't found."""
+    m = F.col("message_id")
+    version = lambda n, text, off: messages.select("chat_id", "message_id", F.lit(n).alias("version_seq"), text.alias("text"), F.lit(None).cast("string").alias("caption"), off.alias("is_redacted"))
+    stored = version(1, F.col("text"), F.lit(False)).union(version(2, F.concat(F.lit("the and "), "text"), m % 30 == 0).where("message_id % 3 = 0"))
+    current = versions.current_versions(messages.withColumn("current_version", F.when(m % 3 == 0, 2).otherwise(1)), stored)
+    return search.search(current, asked(spark), tombstones)
+
+
+@query(
+    "messages",
+    "tombstones",
+    oracle=VISIBLE_SQL + " SELECT c AS query_id, chat_id, message_id, user_id, 0.1::DOUBLE AS rank, row_number() OVER (PARTITION BY chat_id ORDER BY message_id DESC) AS place FROM shown, range(4) r(c) WHERE chat_id = c AND message_id % 4 < 2 QUALIFY place <= 3",
+)
+def stemmed_search(spark, messages, tombstones):
+    """Russian words meet in any form; words that say little don't count, nor do they take a place."""
+    m = F.col("message_id")
+    text = F.when(m % 4 == 0, "Новости города").when(m % 4 == 1, "новостями о городе!").when(m % 4 == 2, "скорость города").otherwise(F.col("text"))
+    q = messages.select("chat_id").distinct().select(F.col("chat_id").alias("query_id"), "chat_id", F.lit(" новость, в  ГОРОДАХ ").alias("query"))
+    return search.search(messages.withColumn("text", text), q, tombstones, analyzer="russian", stop_words=T.RUSSIAN_STOP_WORDS)
+
+
+_USER = """'{"first_name":"U' || user_id || '","id":' || user_id || '}'"""
+
+
+@query(
+    "messages",
+    oracle=f""" SELECT message_id, sha256('["chv1","x","","text",[' || CASE WHEN message_id % 3 = 0 THEN '{{"length":2,"offset":1,"type":"text_link","url":"https://e.org/?q=\\"' || message_id || '\\""}}'
+WHEN message_id % 3 = 1 THEN '{{"language":"py","length":3,"offset":0,"type":"pre"}},{{"length":4,"offset":5,"type":"text_mention","user":' || {_USER} || '}}' ELSE '' END || ']]') AS content_hash FROM messages""",
+)
+def entity_hashes(spark, messages):
+    """Links, languages and users are part of a hash; keys are sorted and nulls left out at every depth."""
+    m = F.col("message_id")
+    user = F.struct(F.col("user_id").alias("id"), F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("first_name"), F.lit(None).cast("string").alias("last_name"))
+
+    def entity(kind, offset, length, url=None, language=None, user=user.cast("struct<id:bigint,first_name:string,last_name:string>"), named=False):
+        none = F.lit(None).cast("string")
+        return F.struct(F.lit(kind).alias("type"), F.lit(offset).alias("offset"), F.lit(length).alias("length"), (none if url is None else url).alias("url"), (none if language is None else F.lit(language)).alias("language"), F.when(F.lit(named), user).alias("user"))
+
+    link = entity("text_link", 1, 2, url=F.concat(F.lit('https://e.org/?q="'), m.cast("string"), F.lit('"')))
+    two = F.array(entity("text_mention", 5, 4, named=True), entity("pre", 0, 3, language="py"))
+    entities = F.when(m % 3 == 0, F.array(link)).when(m % 3 == 1, two)
+    return messages.select("message_id", T.content_hash(F.lit("x"), F.lit(None).cast("string"), F.lit(None).cast("string"), entities).alias("content_hash"))
+
+
 @query(
     "messages",
     "tombstones",
