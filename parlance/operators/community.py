@@ -59,8 +59,33 @@ def surplus_pending(outbox: DataFrame) -> DataFrame:
     return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("surplus"))
 
 
-def members_by_name(users: DataFrame) -> DataFrame:
-    return users.where("is_member").orderBy("name", "user_id")
+def _first(rows: DataFrame, order: list, limit: int) -> DataFrame:
+    """The first rows in an order with their place from 1; a limit keeps what one task numbers small."""
+    return rows.orderBy(*order).limit(limit).withColumn("place", F.row_number().over(W.orderBy(*order)))
+
+
+def members_by_name(users: DataFrame, limit: int = 10_000) -> DataFrame:
+    """Members by name, then id, with their place."""
+    return _first(users.where("is_member"), ["name", "user_id"], limit)
+
+
+def unanswered_first(chats: DataFrame, key: str, limit: int = 10_000) -> DataFrame:
+    """Chats (key, last_from_me, unread) with their place: those that wait for an answer first, those with more unread messages before others."""
+    return _first(chats, ["last_from_me", F.desc("unread"), key], limit)
+
+
+def upsert_intros(intros: DataFrame, incoming: DataFrame) -> DataFrame:
+    """intros after incoming (user_id, intro_text, voucher, at): text and voucher are those of the last writer (ties: the greater text), all else
+    stays; a user without an intro gets one, with nulls elsewhere."""
+    last = incoming.groupBy("user_id").agg(F.max(F.struct("at", "intro_text", "voucher")).alias("_new"))
+    d = intros.withColumn("_old", F.lit(True)).join(last, "user_id", "full")
+    given = {c: F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)) for c in ("intro_text", "voucher")}
+    return d.withColumns(given).select(*intros.columns)
+
+
+def delete_intros(intros: DataFrame, users: DataFrame) -> DataFrame:
+    """intros without those of users (user_id)."""
+    return intros.join(users.select("user_id"), "user_id", "left_anti")
 
 
 def overdue(applications: DataFrame, as_of: Column, hours: int) -> DataFrame:
@@ -307,8 +332,9 @@ def forward_lookup(texts: DataFrame, messages: DataFrame, users: DataFrame, intr
 
 
 def health_deltas(samples: DataFrame) -> DataFrame:
-    """samples (host, ts, restarts, pending): red when restarts rose by more than two, or more than fifty are pending and rising."""
+    """samples (host, ts, status, restarts, pending) with d_restarts, d_pending and state: red when the status begins with exited:, restarts rose
+    by more than two, or more than fifty are pending and rising; else green."""
     w = W.partitionBy("host").orderBy("ts")
     d = samples.withColumn("d_restarts", F.col("restarts") - F.lag("restarts").over(w)).withColumn("d_pending", F.col("pending") - F.lag("pending").over(w))
-    red = (F.coalesce("d_restarts", F.lit(0)) > 2) | ((F.col("pending") > 50) & (F.coalesce("d_pending", F.lit(0)) > 0))
+    red = F.coalesce(F.col("status").startswith("exited:"), F.lit(False)) | (F.coalesce("d_restarts", F.lit(0)) > 2) | ((F.col("pending") > 50) & (F.coalesce("d_pending", F.lit(0)) > 0))
     return d.withColumn("state", F.when(red, "red").otherwise("green"))

@@ -80,10 +80,12 @@ def recall(asked: DataFrame, users: DataFrame, messages: DataFrame, tombstones:
     return answers, traces
 
 
-def evidence_json(hits: DataFrame) -> DataFrame:
-    """Each hit (with captured_at and message_date as timestamps, if it has them) as JSON with ISO times."""
+def evidence_json(hits: DataFrame, without: list[str] | None = None) -> DataFrame:
+    """query_id and item: each hit (with captured_at and message_date as timestamps, if it has them) as JSON with ISO times. without: columns
+    that stay out of it."""
     times = [c for c, kind in hits.dtypes if kind.startswith("timestamp")]
-    return hits.select("query_id", F.to_json(F.struct(*[iso_time(F.col(c)).alias(c) if c in times else F.col(c) for c in hits.columns])).alias("item"))
+    kept = [c for c in hits.columns if c not in (without or [])]
+    return hits.select("query_id", F.to_json(F.struct(*[iso_time(F.col(c)).alias(c) if c in times else F.col(c) for c in kept])).alias("item"))
 
 
 class SeedError(ValueError):

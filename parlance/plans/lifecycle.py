@@ -457,3 +457,122 @@ def outbox_surplus(spark, applications):
 @query("exported", oracle=" SELECT DISTINCT from_id FROM exported WHERE type = 'message' AND from_id IS NOT NULL")
 def distinct_senders(spark, exported):
     return ingest.distinct_senders(exported)
+
+
+@query(
+    "messages",
+    oracle=""" SELECT chat_id, message_id, CASE WHEN message_id % 2 = 1 THEN inc WHEN memory_policy = 'offrecord' THEN 'offrecord' ELSE coalesce(inc, memory_policy) END AS memory_policy,
+message_id % 10 = 0 OR message_id % 2 = 0 AND is_redacted AS is_redacted FROM (SELECT *, CASE message_id % 6 WHEN 0 THEN 'normal' WHEN 1 THEN 'nomem' WHEN 2 THEN 'offrecord' WHEN 3 THEN 'normal' END AS inc FROM messages)""",
+)
+def policy_ratchet_stored(spark, messages):
+    """Every second message is stored before all are delivered: offrecord stays, a missing policy changes nothing."""
+    m = F.col("message_id")
+    incoming = F.when(m % 6 == 0, "normal").when(m % 6 == 1, "nomem").when(m % 6 == 2, "offrecord").when(m % 6 == 3, "normal")
+    columns = ["chat_id", "message_id", "memory_policy", "is_redacted"]
+    new = messages.select("chat_id", "message_id", incoming.alias("memory_policy"), (m % 10 == 0).alias("is_redacted"), m.alias("arrival"))
+    return versions.upsert_messages(messages.where("message_id % 2 = 0").select(*columns), new)
+
+
+@query(
+    "messages",
+    "tombstones",
+    oracle=""", due AS (SELECT * FROM tombstones WHERE status = 'pending' ORDER BY created_at, id LIMIT 10), hit AS (SELECT DISTINCT m.chat_id, m.message_id FROM messages m JOIN due d ON d.target_type <> 'message_hash' AND d.target_id <> 'none'
+AND d.tombstone_key IN (concat('message:', m.chat_id, ':', m.message_id), concat('user:', m.user_id)))
+SELECT m.chat_id, m.message_id, v.n::BIGINT AS version_seq, h.message_id IS NOT NULL OR n = 2 AS is_redacted, CASE WHEN h.message_id IS NULL THEN sha256(text) END AS text_hash, CASE WHEN h.message_id IS NULL THEN 'n' || v.n END AS normalized_text, content_hash
+FROM messages m CROSS JOIN (VALUES (1), (2)) v(n) LEFT JOIN hit h ON h.chat_id = m.chat_id AND h.message_id = m.message_id""",
+)
+def forgotten_versions(spark, messages, tombstones):
+    """An erasure blanks all versions of a message; their hashes stay."""
+    none = F.lit(None).cast("string")
+    v = messages.withColumn("version_seq", F.explode(F.array(F.lit(1), F.lit(2)).cast("array<bigint>")))
+    v = v.select("chat_id", "message_id", "version_seq", "content_hash", "text", none.alias("caption"), F.concat(F.lit("n"), F.col("version_seq").cast("string")).alias("normalized_text"), none.alias("entities"), (F.col("version_seq") == 2).alias("is_redacted"))
+    after, _ = governance.forget_cascade({"messages": messages, "versions": v}, tombstones)
+    return after["versions"].select("chat_id", "message_id", "version_seq", "is_redacted", F.sha2("text", 256).alias("text_hash"), "normalized_text", "content_hash")
+
+
+@query(
+    "exported",
+    oracle=""" SELECT count(*) FILTER (NOT far AND place % 4 = 3) AS same_run, count(*) FILTER (NOT far AND place % 4 IN (1, 2)) AS prior_run, count(*) FILTER (NOT far AND place % 4 = 0) AS live, count(*) FILTER (far) AS unresolved
+FROM (SELECT DISTINCT chat_id, place, place % 5 = 0 AS far FROM exported)""",
+)
+def replies_unresolved(spark, exported):
+    run = F.when(F.col("place") % 4 != 0, (F.col("place") % 4).cast("int"))
+    c = exported.select("chat_id", F.col("place").alias("message_id"), F.col("place").alias("target"), run.alias("run_id"), (run * 100).alias("run_started_at"))
+    asked = F.when(F.col("place") % 5 == 0, -F.col("place") - 1).otherwise(F.col("place"))
+    r = exported.select("chat_id", asked.alias("reply_to"), F.lit(3).alias("run_id"), F.lit(300).alias("started_at")).distinct()
+    return ingest.resolution_counts(ingest.resolve_replies(r, c))
+
+
+@query(
+    "users",
+    "messages",
+    "tombstones",
+    oracle=""", ask AS (SELECT u.user_id AS query_id, is_member OR is_admin AS may, u.user_id % 2 = 0 AS other FROM users u WHERE u.user_id <= 40),
+v AS (SELECT message_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '') AS ts FROM messages m WHERE chat_id = 0 AND memory_policy = 'normal' AND NOT is_redacted AND NOT EXISTS (SELECT 1 FROM tombstones t WHERE t.status <> 'failed'
+AND t.tombstone_key IN (concat('message:', m.chat_id, ':', m.message_id), 'message_hash:' || m.content_hash, concat('user:', m.user_id)))),
+best AS (SELECT message_id, row_number() OVER (ORDER BY round(len(list_filter(ts, lambda t: t = 'the')) * 0.1::DOUBLE, 6) DESC, message_id DESC) AS place FROM v WHERE list_contains(ts, 'the') QUALIFY place <= 3),
+ids AS (SELECT coalesce(string_agg(message_id, ',' ORDER BY place), '') AS s FROM best)
+SELECT query_id, query_id AS user_id, 'The' AS query_text, CASE WHEN may AND NOT other THEN s ELSE '' END AS message_ids, NOT (may AND NOT other AND s <> '') AS abstained FROM ask, ids""",
+)
+def recall_trace_hits(spark, users, messages, tombstones):
+    """Traces name the messages that were shown; who may not ask, or asks in another chat, gets none."""
+    u = F.col("user_id")
+    asked = users.where("user_id <= 40").select(u.alias("query_id"), "user_id", F.when(u % 2 == 0, 9).otherwise(0).cast("long").alias("chat_id"), F.lit(" The ").alias("query"))
+    people = users.withColumns({"first_name": F.col("name"), "last_name": F.lit(None).cast("string")})
+    traces = search.recall(asked, people, messages, tombstones, 0)[1]
+    return traces.select("query_id", "user_id", "query_text", F.array_join(F.transform("message_ids", lambda x: x.cast("string")), ",").alias("message_ids"), "abstained")
+
+
+@query("messages", oracle=""" SELECT message_id AS query_id, '{"message_id":' || message_id || ',"place":1,"captured_at":"' || strftime(to_timestamp(message_id)::TIMESTAMP, '%Y-%m-%dT%H:%M:%S') || '+00:00"}' AS item FROM messages""")
+def evidence_items(spark, messages):
+    m = F.col("message_id")
+    return search.evidence_json(messages.select(m.alias("query_id"), "message_id", F.lit(1).alias("place"), F.timestamp_seconds(m).alias("captured_at")), without=["query_id"])
+
+
+@query("users", oracle=" SELECT user_id, strftime(to_timestamp(user_id * 1000)::TIMESTAMP, '%Y-%m-%d %H:%M') AS shown FROM users")
+def shown_times(spark, users):
+    return users.select("user_id", T.shown_time(F.timestamp_seconds(F.col("user_id") * 1000)).alias("shown"))
+
+
+@query(
+    "users",
+    "intros",
+    oracle=""" SELECT user_id, CASE WHEN user_id % 2 = 0 THEN 'second' ELSE intro_text END AS intro_text, CASE WHEN user_id % 2 = 0 THEN 'v' ELSE voucher END AS voucher, row_number FROM intros WHERE user_id % 7 <> 0
+UNION ALL SELECT user_id, 'second', 'v', NULL FROM users WHERE user_id % 2 = 0 AND user_id % 7 <> 0 AND user_id NOT IN (SELECT user_id FROM intros)""",
+)
+def intros_after(spark, users, intros):
+    """Two writers of the same intros, then some intros are deleted."""
+    new = lambda text, at: users.where("user_id % 2 = 0").select("user_id", F.lit(text).alias("intro_text"), F.lit("v").alias("voucher"), F.lit(at).alias("at"))
+    after = community.upsert_intros(intros, new("second", 2).union(new("first", 1)))
+    return community.delete_intros(after, users.where("user_id % 7 = 0")).select("user_id", "intro_text", "voucher", "row_number")
+
+
+@query("users", oracle=" SELECT user_id, CASE WHEN user_id % 3 = 0 THEN NOT is_member ELSE is_member END AS is_member, CASE WHEN user_id % 6 = 0 THEN user_id ELSE -1 END AS joined_at, CASE WHEN user_id % 6 = 3 THEN user_id ELSE -2 END AS left_at FROM users")
+def members_set(spark, users):
+    u = F.col("user_id")
+    before = users.select("user_id", "is_member", F.lit(-1).cast("long").alias("joined_at"), F.lit(-2).cast("long").alias("left_at"))
+    changes = users.where("user_id % 3 = 0").select("user_id", (~F.col("is_member")).alias("is_member"), F.when(u % 6 == 0, u).alias("joined_at"), F.when(u % 6 == 3, u).alias("left_at"))
+    return community.set_member(before, changes)
+
+
+@query(
+    "applications",
+    oracle=""", s AS (SELECT user_id AS host, id AS ts, id % 11 AS restarts, id % 120 AS pending, CASE WHEN id % 50 = 0 THEN 'exited:1' ELSE 'running' END AS status FROM applications),
+d AS (SELECT *, restarts - lag(restarts) OVER w AS dr, pending - lag(pending) OVER w AS dp FROM s WINDOW w AS (PARTITION BY host ORDER BY ts))
+SELECT host, ts, CASE WHEN status LIKE 'exited:%' OR coalesce(dr, 0) > 2 OR (pending > 50 AND coalesce(dp, 0) > 0) THEN 'red' ELSE 'green' END AS state FROM d""",
+)
+def health_states(spark, applications):
+    i = F.col("id")
+    samples = applications.select(F.col("user_id").alias("host"), i.alias("ts"), (i % 11).alias("restarts"), (i % 120).alias("pending"), F.when(i % 50 == 0, "exited:1").otherwise("running").alias("status"))
+    return community.health_deltas(samples).select("host", "ts", "state")
+
+
+@query("users", oracle=" SELECT user_id, name, row_number() OVER (ORDER BY name, user_id) AS place FROM users WHERE is_member QUALIFY place <= 20")
+def members_first(spark, users):
+    return community.members_by_name(users, 20).select("user_id", "name", "place")
+
+
+@query("users", oracle=" SELECT user_id, row_number() OVER (ORDER BY user_id % 2, user_id % 13 DESC, user_id) AS place FROM users QUALIFY place <= 50")
+def chats_unanswered(spark, users):
+    u = F.col("user_id")
+    return community.unanswered_first(users.select("user_id", (u % 2 == 1).alias("last_from_me"), (u % 13).alias("unread")), "user_id", 50).select("user_id", "place")
