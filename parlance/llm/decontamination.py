@@ -38,7 +38,7 @@ def words(text: bytes) -> list[bytes]:
 class Windows:
     """Windows of some items: vocabulary, and by length the items of each window's ids."""
 
-    def __init__(self, items: list[tuple[str, bytes]], width: int):
+    def __init__(self, items: list[tuple[str | None, bytes]], width: int):
         self.vocabulary: dict[bytes, int] = {}
         self.by_length: dict[int, dict[bytes, tuple[str, ...]]] = {}
         for item, text in items:
@@ -47,7 +47,8 @@ class Windows:
                 found = self.by_length.setdefault(n, {})
                 for i in range(len(ids) - n + 1):
                     key = ids[i : i + n].tobytes()
-                    if item not in (known := found.get(key, ())):
+                    known = found.setdefault(key, ())
+                    if item is not None and item not in known:
                         found[key] = (*known, item)
 
     def scan(self, text: bytes) -> tuple[int, np.ndarray | None, set[str]]:
@@ -60,7 +61,7 @@ class Windows:
             if len(ids) < n:
                 continue
             for i in np.flatnonzero(run[n:] - run[:-n] == n):
-                if at := windows.get(ids[i : i + n].tobytes()):
+                if (at := windows.get(ids[i : i + n].tobytes())) is not None:
                     if hit is None:
                         hit = np.zeros(len(ids), bool)
                     hit[i : i + n] = True
@@ -81,7 +82,7 @@ SPANS = "array<struct<first:bigint,past:bigint>>"
 
 def _blocks(bench: DataFrame, item: str, text: str, limit: int) -> Iterator[tuple[list[tuple[str, bytes]], bool]]:
     """Items in blocks of about limit bytes, and whether a block is the last; one at a time on the driver."""
-    items = bench.where(f"{text} is not null and {item} is not null").select(F.col(item).cast("string").alias("item"), F.col(text).cast("binary").alias("text")).distinct()
+    items = bench.where(F.col(text).isNotNull()).select(F.col(item).cast("string").alias("item"), F.col(text).cast("binary").alias("text")).distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = 1 + total // limit
     for k in range(n):
@@ -128,8 +129,8 @@ def find_contamination(
     """The columns in keep (all of docs by default) and a struct column out: n_words, n_hit (long), items
     (array of item ids as sorted strings), spans (array of first and past, counted in words).
 
-    A null or wordless text has no words and no hits. Items with a null text, null id or no words have no
-    windows; rows of equal id count as one item with the windows of all. An item of fewer words than width is
+    A null or wordless text has no words and no hits. Items with a null text or no words have no windows; windows of
+    items without an id hit, but such items aren't listed; rows of equal id count as one item with the windows of all. An item of fewer words than width is
     one window. An empty benchmark hits nothing. A column named like out is replaced.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() != out.lower()]
@@ -198,7 +199,7 @@ def decontamination_sql(table: str = "documents") -> str:
     norm = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return f"""
 WITH c_d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({norm.format("coalesce(text, '')")}, '{word}') AS ws FROM {table}),
-c_b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({norm.format("text")}, '{word}') AS ws FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+c_b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({norm.format("text")}, '{word}') AS ws FROM benchmark WHERE text IS NOT NULL),
 c_win AS (SELECT DISTINCT item, least(len(ws), {WINDOW}) AS n, array_to_string(ws[i:i + least(len(ws), {WINDOW}) - 1], ' ') AS w
           FROM (SELECT item, ws, unnest(range(1, len(ws) - least(len(ws), {WINDOW}) + 2)) AS i FROM c_b WHERE len(ws) > 0)),
 c_n AS (SELECT DISTINCT n FROM c_win),
