@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parlance.llm.common import documents, text_bytes
+from parlance.llm.common import documents, free_name, text_bytes
 
 #: Hash buckets of a source, and of the order of fractions. Rows per task fall with it; the only
 #: single-task steps sum this many counts (per source).
@@ -82,15 +82,16 @@ def assign_shards(
     )
 
 
-def write_shards(rows: DataFrame, assigned: DataFrame, path: str, shards: int, key: str = "doc_id") -> None:
-    """Write whole rows to path/shard=N in slot order. key must be unique here."""
-    (
-        rows.join(assigned.select(key, "shard", "slot"), key)
-        .repartition(shards, "shard")
-        .sortWithinPartitions("shard", "slot")
-        .write.partitionBy("shard")
-        .parquet(path)
-    )
+def write_shards(rows: DataFrame, path: str, shards: int, seed: int = 17, key: str = "doc_id", source: str = "source") -> None:
+    """Write whole rows to path, a folder for each shard (shard=N) with its rows in the order of slot.
+
+    Every row is written once, repeated ones and those without key or source too. Where rows have columns shard or slot, the
+    new ones have underscores before their names. Rows are ordered by all they hold, so columns can't be maps.
+    """
+    whole, shard, slot = (free_name(rows, n) for n in ("whole_row", "shard", "slot"))
+    packed = rows.select(key, source, F.struct("*").alias(whole))
+    placed = assign_shards(packed, shards, seed, key, source, keep=[whole]).select(f"{whole}.*", F.col("shard").alias(shard), F.col("slot").alias(slot))
+    placed.repartition(shards, shard).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)
 
 
 SHARDS = 24
