@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from parlance.llm.common import cut, documents
 
-#: Turns and characters of a segment, and repeated rows in one record.
-SEGMENT, TEXT, COPIES = 65_536, 4_000_000, 1024
+#: Turns and characters of a segment, repeated rows in one record, and turns that a task follows.
+SEGMENT, TEXT, COPIES, SHARE = 65_536, 4_000_000, 1024, 50_000
 KEEP_LATE, REROLE, DELETE, INSERT = 3, 3, 4, 3
 
 #: Grammar states: nothing yet, after system, after user, after assistant; the first and the last accept.
@@ -346,10 +346,14 @@ def repair_segments(turns: DataFrame, conv: str = "conv_id", turn: str = "turn",
     segments = cut(split.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_segments, _SEGMENTS), "segments")
 
     behind = _scan(segments, ["conv", "seg", "transfer"], True, _costs_behind, "conv string, seg long, behind array<long>, is_last boolean", pa.schema([("conv", pa.string()), ("seg", pa.int64()), ("behind", pa.list_(pa.int64())), ("is_last", pa.bool_())]))
-    ways = segments.select("conv", "seg", "codes", "first", "last", "illegal").join(behind, ["conv", "seg"]).select("conv", "seg", "codes", "behind", "is_last", "first", "last", "illegal")
+    # Numbered partitions: by their bytes, a byte for each turn, Spark would join them up to few.
+    turns_known = segments.agg(F.sum(F.octet_length("codes"))).first()[0] or 0
+    parts = max(int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")), turns_known // SHARE)
+    dealt = lambda d: d.repartition(parts, "conv", "seg")
+    ways = dealt(segments.select("conv", "seg", "codes", "first", "last", "illegal")).join(dealt(behind), ["conv", "seg"]).select("conv", "seg", "codes", "behind", "is_last", "first", "last", "illegal")
     ways = cut(ways.mapInArrow(_follow, "conv string, seg long, states array<long>, audits array<string>, costs array<long>, first string, last string, illegal long"), "audits")
     states = _scan(ways, ["conv", "seg", "states", "first", "last", "illegal"], False, _state_before, "conv string, seg long, state long, illegal long", pa.schema([("conv", pa.string()), ("seg", pa.int64()), ("state", pa.int64()), ("illegal", pa.int64())]))
-    whole = segments.select("conv", "seg", "codes", "roles", "texts").join(ways.select("conv", "seg", "audits", "costs"), ["conv", "seg"]).join(states, ["conv", "seg"])
+    whole = dealt(segments.select("conv", "seg", "codes", "roles", "texts")).join(dealt(ways.select("conv", "seg", "audits", "costs")), ["conv", "seg"]).join(dealt(states), ["conv", "seg"])
     repaired = whole.mapInArrow(_render, "conv string, seg long, audit string, cost long, illegal long, turns array<struct<role: string, text: string, edit: string>>")
     return repaired, faults
 
