@@ -67,8 +67,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 JSON_DEPTH = 6
 
 
-def canonical_json(v: Column, depth: int = JSON_DEPTH) -> Column:
-    """Compact JSON of a variant with the keys of objects in order, keys whose value is null left out, and characters past ASCII kept.
+def canonical_json(v: Column, depth: int = JSON_DEPTH, nulls: bool = False, spaced: bool = False) -> Column:
+    """JSON of a variant with the keys of objects in order and characters past ASCII kept. nulls: whether keys whose value is null
+    are kept. spaced: whether blanks stand behind commas and colons.
 
     Objects and lists are both a list of (key, value), so a level adds one expression. Numbers are written as the variant has them:
     whole numbers and decimals without an exponent.
@@ -80,11 +81,14 @@ def canonical_json(v: Column, depth: int = JSON_DEPTH) -> Column:
         return F.when(kind.rlike("^(OBJECT|ARRAY)"), F.raise_error(F.lit(f"JSON is nested deeper than {JSON_DEPTH}"))).otherwise(plain)
     # Objects as sorted (key, value) and lists as (null, value), so that a level stands once in the expression.
     entries = lambda m: F.transform(F.array_sort(F.map_keys(m)), lambda k: F.struct(k.alias("key"), F.try_element_at(m, k).alias("value")))
-    fields = F.filter(let(whole("map<string,variant>"), entries), lambda e: F.schema_of_variant(e["value"]) != "VOID")
+    fields = let(whole("map<string,variant>"), entries)
+    if not nulls:
+        fields = F.filter(fields, lambda e: F.schema_of_variant(e["value"]) != "VOID")
+    comma, colon = (", ", ": ") if spaced else (",", ":")
     items = F.transform(whole("array<variant>"), lambda x: F.struct(F.lit(None).cast("string").alias("key"), x.alias("value")))
     inner = F.when(kind.startswith("OBJECT"), fields).when(kind.startswith("ARRAY"), items)
-    each = F.transform(inner, lambda e: F.concat(F.coalesce(F.concat(json_string(e["key"]), F.lit(":")), F.lit("")), canonical_json(e["value"], depth - 1)))
-    body = F.array_join(each, ",")
+    each = F.transform(inner, lambda e: F.concat(F.coalesce(F.concat(json_string(e["key"]), F.lit(colon)), F.lit("")), canonical_json(e["value"], depth - 1, nulls, spaced)))
+    body = F.array_join(each, comma)
     return F.when(kind.startswith("OBJECT"), F.concat(F.lit("{"), body, F.lit("}"))).when(kind.startswith("ARRAY"), F.concat(F.lit("["), body, F.lit("]"))).otherwise(plain)
 
 

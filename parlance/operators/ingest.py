@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from parlance.functions.text import content_hash, export_user_id, policy, tombstone_keys, utc_time
+from parlance.functions.text import canonical_json, content_hash, export_user_id, json_string, let, policy, tombstone_keys, utc_time
 from parlance.operators.versions import persist
 
 
@@ -261,14 +258,18 @@ def checkpoint(stats: Column) -> Column:
     return F.struct(number("last_processed_export_msg_id").alias("last_id"), F.coalesce(number("chunk_index"), F.lit(0)).alias("chunk"), at.alias("at"), valid.alias("is_valid"))
 
 
-@F.pandas_udf(StringType())
-def merge_json(old: pd.Series, patch: pd.Series) -> pd.Series:
-    """Top-level keys of two JSON objects, the patch's first; keys in order. A null is an empty object."""
+def merge_json(old: Column, patch: Column) -> Column:
+    """Top-level keys of two JSON objects, the patch's first; keys in order, blanks behind commas and colons. A null or empty string is an empty
+    object; what is no JSON ends the job. Nested values may be six deep."""
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>"))
+    given = lambda c: F.coalesce(F.try_variant_get(F.parse_json(F.nullif(c, F.lit(""))), "$", "map<string,variant>"), none)
+    both = lambda a, b: F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k)), b)
 
-    def merged(a: str | None, b: str | None) -> str:
-        return json.dumps((json.loads(a) if a else {}) | (json.loads(b) if b else {}), sort_keys=True, ensure_ascii=False)
+    def shown(m: Column) -> Column:
+        field = lambda k: F.concat(json_string(k), F.lit(": "), canonical_json(F.try_element_at(m, k), nulls=True, spaced=True))
+        return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_keys(m)), field), ", "), F.lit("}"))
 
-    return pd.Series([merged(a, b) for a, b in zip(old, patch, strict=True)], dtype=object)
+    return let(given(old), lambda a: let(given(patch), lambda b: let(both(a, b), shown)))
 
 
 def finalize_runs(runs: DataFrame, wanted: DataFrame, as_of: Column) -> DataFrame:

@@ -51,6 +51,15 @@ def test_canonical_json(spark):
         spark.range(1).select(T.canonical_json(F.parse_json(F.lit("[" * 9 + "]" * 9)))).collect()
 
 
+def test_merge_json(spark):
+    from parlance.operators import ingest
+
+    rows = [('{"b": {"y": null, "x": [1, {"k": "é\\n"}]}, "a": 1}', '{"c": true, "a": null}'), (None, '{"a": {}}'), ("", None), ('{"z": 0.5, "a": []}', "")]
+    got = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a string, b string").select("i", ingest.merge_json(F.col("a"), F.col("b")).alias("m")).collect()
+    want = {i: json.dumps((json.loads(a) if a else {}) | (json.loads(b) if b else {}), sort_keys=True, ensure_ascii=False) for i, (a, b) in enumerate(rows)}
+    assert {r.i: r.m for r in got} == want
+
+
 def covers(terms_at, n):
     """Minimal stretches of (pos, term) with all n terms, by trying all."""
     found = []
