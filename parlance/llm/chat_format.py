@@ -83,23 +83,23 @@ def assemble(rendered: DataFrame, max_chars: int = 1_000_000) -> DataFrame:
 
 
 def continuations(turns: DataFrame, conv: str = "conv_id") -> tuple[DataFrame, DataFrame]:
-    """Turns and pairs that share a history, from every conversation with an assistant turn: what comes before its last one,
-    followed by that turn (chosen) or by its neighbour's last one (rejected). Neighbours are conversations 2k and 2k + 1; where the
-    neighbour has none, the history alone is rejected. A stand-in for human preferences, linear in the turns.
+    """Turns and pairs that share a history, from every conversation and all its turns: what comes before its last assistant turn, followed by
+    that turn and the rest (chosen), or by its neighbour's last assistant turn (rejected). A stand-in for human preferences, linear in the turns.
+
+    Neighbours are conversations 2k and 2k + 1; without a neighbour's answer the rejected one is empty. A conversation without an assistant turn, or
+    with such turns without a number alone, is all history: the rejected answer comes behind it. Rows without a conversation are left out.
     """
     t = turns.where(F.col(conv).isNotNull()).select(F.col(conv).cast("long").alias("c"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    said = t.where(F.col("role") == TRAINED_ROLE)
-    last = said.groupBy("c").agg(F.max("turn").alias("last")).where("last is not null")
+    said = F.col("role") == TRAINED_ROLE
+    last = t.groupBy("c").agg(F.max(F.when(said, F.col("turn"))).alias("last"), F.max("turn").alias("top"))
     known = t.join(last, "c")
-    history = known.where(F.col("turn").isNull() | (F.col("turn") < F.col("last")))
-    answers = said.join(last, "c").where("turn = last").select("c", "last", "role", "text")
+    history = known.where(F.col("turn").isNull() | F.col("last").isNull() | (F.col("turn") < F.col("last")))
+    answers = known.where(said & (F.col("turn") == F.col("last")))
     other = answers.select((F.col("c").bitwiseXOR(F.lit(1))).alias("c"), F.col("text").alias("other"))
     name = lambda side: F.concat(F.col("c").cast("string"), F.lit(side))
-    sides = [
-        history.select(F.explode(F.array(name("+"), name("-"))).alias("conv_id"), "turn", "role", "text"),
-        answers.select(name("+").alias("conv_id"), F.col("last").alias("turn"), "role", "text"),
-        last.join(other, "c").select(name("-").alias("conv_id"), F.col("last").alias("turn"), F.lit(TRAINED_ROLE).alias("role"), F.col("other").alias("text")),
-    ]
+    place = F.coalesce("last", F.col("top") + 1, F.lit(0))
+    rejected = last.join(other, "c", "left").select(name("-").alias("conv_id"), place.alias("turn"), F.lit(TRAINED_ROLE).alias("role"), F.coalesce("other", F.lit("")).alias("text"))
+    sides = [t.select(name("+").alias("conv_id"), "turn", "role", "text"), history.select(name("-").alias("conv_id"), "turn", "role", "text"), rejected]
     return sides[0].union(sides[1]).union(sides[2]), last.select(F.col("c").alias("pair_id"), name("+").alias("chosen"), name("-").alias("rejected"))
 
 
@@ -109,10 +109,10 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = """
 WITH r AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
-l AS (SELECT c, max(turn) AS last FROM r WHERE role = 'assistant' GROUP BY c HAVING max(turn) IS NOT NULL),
+l AS (SELECT c, max(turn) FILTER (role = 'assistant') AS last, max(turn) AS top FROM r GROUP BY c),
 a AS (SELECT r.* FROM r JOIN l USING (c) WHERE role = 'assistant' AND turn = last),
-t AS (SELECT c || '+' AS conv_id, turn, role, text FROM r JOIN l USING (c) WHERE turn IS NULL OR turn < last UNION ALL SELECT c || '-', turn, role, text FROM r JOIN l USING (c) WHERE turn IS NULL OR turn < last
-      UNION ALL SELECT c || '+', turn, role, text FROM a UNION ALL SELECT l.c || '-', last, 'assistant', text FROM l JOIN a ON a.c = xor(l.c, 1)),
+t AS (SELECT c || '+' AS conv_id, turn, role, text FROM r UNION ALL SELECT c || '-', turn, role, text FROM r JOIN l USING (c) WHERE turn IS NULL OR last IS NULL OR turn < last
+      UNION ALL SELECT l.c || '-', coalesce(last, top + 1, 0), 'assistant', coalesce(text, '') FROM l LEFT JOIN a ON a.c = xor(l.c, 1)),
 p AS (SELECT c AS pair_id, c || '+' AS chosen, c || '-' AS rejected FROM l),
 m AS (SELECT pair_id, turn, role, text, bool_or(conv_id = chosen) AS c, bool_or(conv_id = rejected) AS r FROM t JOIN p ON conv_id IN (chosen, rejected) GROUP BY ALL),
 f AS (SELECT *, count(*) FILTER (NOT (c AND r)) OVER (PARTITION BY pair_id ORDER BY turn, role, text) = 0 AS in_prompt FROM m),

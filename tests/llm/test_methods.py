@@ -143,15 +143,18 @@ def test_continuations(spark):
     turns = [(c, t, "assistant" if t % 2 else "user", f"{c}.{t}") for c in range(6) for t in range(2 + c)] + [(7, 0, "user", "alone"), (None, 0, "user", "x"), (8, 1, "assistant", "a"), (8, 1, "assistant", "a")]
     t = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
     made = {r.pair_id: r for r in chat_format.assemble(chat_format.format_preferences(*chat_format.continuations(t))).collect()}
-    assert set(made) == {0, 1, 2, 3, 4, 5, 8}
-    last = {c: max(t for k, t, r, _ in turns if k == c and r == "assistant") for c in made}
+    assert set(made) == {0, 1, 2, 3, 4, 5, 7, 8}
+    last = {c: max((t for k, t, r, _ in turns if k == c and r == "assistant"), default=None) for c in made}
     show = lambda role, text: f"<|{role}|>\n{text}\n<|end|>\n"
     for c, r in made.items():
-        assert r.prompt == "".join(show(role, x) for k, t, role, x in turns if k == c and t < last[c])
-        mine = "a" if c == 8 else f"{c}.{last[c]}"
-        other = None if c == 8 else f"{c ^ 1}.{last[c ^ 1]}"
-        assert r.chosen == show("assistant", mine) and r.rejected == (show("assistant", other) if other else "")
-        assert [r.chosen[s.start : s.end] for s in r.chosen_mask] == [f"{mine}\n<|end|>"]
+        own = sorted({x[1:] for x in turns if x[0] == c})
+        before = [x for x in own if last[c] is None or x[0] < last[c]]
+        assert r.prompt == "".join(show(role, x) for _, role, x in before)
+        assert r.chosen == "".join(show(role, x) for _, role, x in own if (_, role, x) not in before)
+        other = f"{c ^ 1}.{last[c ^ 1]}" if last.get(c ^ 1) is not None else ""
+        assert r.rejected == show("assistant", other)
+        mine = [] if last[c] is None else ["a\n<|end|>" if c == 8 else f"{c}.{last[c]}\n<|end|>"]
+        assert [r.chosen[s.start : s.end] for s in r.chosen_mask] == mine
     assert chat_format.format_preferences(*chat_format.continuations(t.limit(0))).count() == 0
 
 
@@ -160,7 +163,7 @@ def test_long_conversation(spark):
     t = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
     rows = chat_format.format_preferences(*chat_format.continuations(t)).where("pair_id = 1").collect()
     prompt = sorted((r.start, r.rendered) for r in rows if r.part == "prompt")
-    assert len(prompt) == 2998 and all(a + len(x) == b for (a, x), (b, _) in zip(prompt, prompt[1:]))
+    assert len(prompt) == 2998 and len(rows) == 3001 and all(a + len(x) == b for (a, x), (b, _) in zip(prompt, prompt[1:]))
     assert chat_format.format_preferences(t, spark.createDataFrame([], "pair_id long, chosen long, rejected long")).count() == 0
 
 
