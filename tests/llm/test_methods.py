@@ -355,7 +355,7 @@ def test_against_sql(spark, name):
     from tests.test_archive import SF, sorted_rows
 
     db = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "conversations"):
+    for t in ("documents", "benchmark", "pages", "conversations", "embeddings"):
         db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got, want = queries.QUERIES[name](spark, SF), db.sql(queries.ORACLE_SQL[name])
     assert sorted_rows(got.columns, got.collect()) == sorted_rows(want.columns, want.fetchall())
