@@ -11,8 +11,9 @@ prefix of the key that sorts before the last rule encloses that rule too), so th
 a prefix of the key is the answer.
 
 Rows are dealt to sweeps by a range of the rules' keys and a salt of the URL, so a host with a third
-of all URLs is spread out; only rules are repeated, once per salt, and each range starts with the
-last rule before it. Equal URLs are judged once.
+of all URLs is spread out. Each range has as many salts as its own keys need, and only its own rules
+are repeated, once per salt: with rules spread over ranges, repeated rules grow with the keys, not with
+keys times rules. Each range starts with the last rule before it. Equal URLs are judged once.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from parlance.llm.common import documents, free_name
 
-#: Pages for each sweep that shares a range of rules, such sweeps at most, and rules a range aims at.
+#: Keys for each sweep that shares a range of rules, such sweeps of a range at most, and rules a range aims at.
 PAGES_PER_SALT, SALTS = 50_000, 20_000
 RULES_PER_RANGE = 50_000
 SEP = "\u0001"  # below every character of a host, and at its end in a key
@@ -57,7 +58,6 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     are ignored. URLs that no rule covers get a null rule and the default verdict.
     """
     spark = pages.sparkSession
-    salts = max(1, min(SALTS, pages.count() // PAGES_PER_SALT))
     r = (
         rules.where("host is not null and path is not null and verdict is not null")
         .groupBy("host", "path")
@@ -88,7 +88,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
         .select("_url", "_path", "_labels", F.explode(F.expr("sequence(1, size(_labels))")).alias("depth"))
         .select("_url", "depth", _key(F.slice("_labels", F.lit(1), F.col("depth")), F.col("_path")).alias("key"))
     )
-    keys = keys.withColumn("_range", range_of(F.col("key"))).withColumn("_salt", F.pmod(F.xxhash64("_url"), F.lit(salts)))
+    keys = keys.withColumn("_range", range_of(F.col("key")))
+    # Keys of each range, 200 numbers at most; with one range the pages say enough.
+    counts = dict(keys.groupBy("_range").count().collect()) if ranges > 1 else {0: pages.count()}
+    salts = F.array(*[F.lit(max(1, min(SALTS, counts.get(i, 0) // PAGES_PER_SALT))).cast("long") for i in range(ranges)])
+    salts_of = lambda r: F.get(salts, r)
+    keys = keys.withColumn("_salt", F.pmod(F.xxhash64("_url"), salts_of(F.col("_range"))))
 
     ruled = stacks.withColumn("_range", range_of(F.col("key")))
     # A range's first rows may lie in a rule before it: the last rule of the ranges before, for each range.
@@ -104,7 +109,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     events = (
         ruled.select("key", "stack", "_range")
         .union(carried)
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts_of(F.col("_range")) - 1)))
         .select("_range", "_salt", "key", "stack", F.lit(None).cast("string").alias("_url"), F.lit(0).alias("depth"))
         .union(keys.select("_range", "_salt", "key", F.lit(None).cast(stacks.schema["stack"].dataType), "_url", "depth"))
     )

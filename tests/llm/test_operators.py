@@ -203,7 +203,7 @@ def test_url_filter(spark):
 
 def test_url_filter_many_rules(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "RULES_PER_RANGE", 10)
-    monkeypatch.setattr(url_filter, "SALTS", 4)
+    monkeypatch.setattr(url_filter, "PAGES_PER_SALT", 5)
     rules = [(f"h{i % 30}.com", f"/p{i}", "block") for i in range(200)] + [("com", "", "allow"), ("h3.com", "", "block")]
     pages = spark.createDataFrame([(i, f"http://www.h{i % 40}.com/p{i}x") for i in range(300)], "page_id long, url string")
     got = {r.page_id: r.judged.rule for r in url_filter.judge_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()}
