@@ -303,6 +303,9 @@ def test_pipeline(spark, tmp_path):
     for w in changed:
         w[rng.randrange(60)] = "changed"
     texts[34] = "\n".join(map(" ".join, changed))  # a near copy: its lines go
+    words = texts[6].split()
+    words[150] = "changed"
+    texts[36] = "\n".join(" ".join(words[i : i + 37]) for i in range(0, 300, 37))  # a near copy in other lines, for the join alone
     docs = [(i, t, "en", "src", len(t)) for i, t in texts.items()] + [(35, None, "en", "src", 0)]
     spark.createDataFrame(docs, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
@@ -311,9 +314,10 @@ def test_pipeline(spark, tmp_path):
         d = common.cut(stage(spark, d, str(tmp_path)), name)
         assert d.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         seen[name] = {r.doc_id: r.text for r in d.collect()}
-    assert set(seen["quality_rules"]) == {*range(20), 32, 33, 34}
+    assert set(seen["quality_rules"]) == {*range(20), 32, 33, 34, 36}
     assert seen["line_dedup"][3] == texts[3] and texts[3].split("\n")[0] not in seen["line_dedup"][32] and seen["line_dedup"][34] == ""
-    assert set(seen["ngram_jaccard_join"]) == set(seen["line_dedup"])
+    assert seen["line_dedup"][6] == texts[6] and seen["line_dedup"][36] == texts[36]
+    assert set(seen["ngram_jaccard_join"]) == set(seen["line_dedup"]) - {36}
     assert set(seen["benchmark_decontamination"]) == {*range(20), 32, 34}
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in rows} == {*range(20), 32, 34} and all(r.length <= 2048 for r in rows)
