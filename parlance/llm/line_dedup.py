@@ -5,9 +5,10 @@ its shingles of bytes: of each of evenly spaced ranges of the hash space the lea
 chance that as many independent MinHash rows agree. These are the bands, and bands give buckets. Pairs that meet are
 decided by the exact Jaccard similarity of their sets of character shingles. Which lines of a bucket meet:
 1. Each line meets the least of its bucket. 2. Lines that this leaves in several components of one bucket meet again by one to
-four bands on end: all pairs of up to FEW lines, of more lines each with the least and the greatest. So not all pairs of a
-large bucket are compared, and a link may be lost there; the README has the share of lines that are found, measured by brute
-force over all pairs. Verified pairs are resolved by distributed union-find, and the first line of each component stays.
+four bands on end: all pairs of up to FEW lines, of more lines each with the least and the greatest. 3. In buckets that still have
+several components all pairs of different ones meet, whatever the bucket's size: a sketch of each line's shingles rules out
+pairs that can't reach the threshold, and no other. So no link between lines that share a bucket is lost. Verified pairs are
+resolved by distributed union-find, and the first line of each component stays.
 
 Equal lines are one node before they are dealt to buckets, so a line with a third of all rows costs one row per task. Buckets
 are found by an aggregate that combines before the shuffle, never collected. Lines and rows are told apart by two 64-bit
@@ -29,6 +30,8 @@ BANDS, ROWS = 8, 4
 DEPTHS = (1, 2, 3, 4)
 #: Lines up to which all pairs are compared of those that meet so.
 FEW = 12
+#: Longs of a line's sketch (a power of 2), and lines of a block in which those of a large bucket are compared.
+WORDS, BLOCK = 16, 1000
 #: Where the ranges of the hash space begin, but the first.
 STARTS = [(k << 64) // BANDS - (1 << 63) for k in range(1, BANDS)]
 #: What is no text: white space other than line breaks.
@@ -112,18 +115,36 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return sets.where((100 + PERCENT) * F.size(F.array_intersect("x", "y")) >= PERCENT * (F.size("x") + F.size("y"))).select("a", "b")
 
 
-def _open_lines(met: DataFrame, found: DataFrame, distinct: DataFrame) -> DataFrame:
-    """h, component, bands of the lines that met the least of a bucket and are in several components there."""
-    placed = met.select("bucket", F.col("b").alias("h")).join(found.withColumnRenamed("node", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
+def _open_rows(placed: DataFrame, found: DataFrame) -> DataFrame:
+    """bucket, h, component of the buckets that have lines of several components. placed: bucket, h."""
+    placed = placed.join(found.withColumnRenamed("node", "h"), "h", "left").select("bucket", "h", F.coalesce("component", "h").alias("component"))
     placed = cut(placed, "placed")
     several = placed.groupBy("bucket").agg(F.min("component").alias("m"), F.max("component").alias("z")).where("m <> z").select("bucket")
-    lines = cut(maybe_among(placed, "bucket", several, "bucket").join(several, "bucket").select("h", "component").distinct(), "open")
-    return cut(lines.join(maybe_among(distinct, "h", lines, "h"), "h"), "open")
+    return cut(maybe_among(placed, "bucket", several, "bucket").join(several, "bucket"), "open")
 
 
-def _closer(lines: DataFrame) -> DataFrame:
+def _sketches(lines: DataFrame, texts: DataFrame) -> DataFrame:
+    """h, n (size of its set of shingles), w0 and on: a bit for each shingle, by its hash. lines: h."""
+    sets = maybe_among(texts, "h", lines, "h").join(lines, "h", "left_semi").select("h", F.explode(_shingles("line")).alias("s"))
+    word, bit = F.expr(f"shiftright(s, 6) & {WORDS - 1}"), F.expr("shiftleft(1L, CAST(s & 63 AS INT))")
+    return cut(sets.groupBy("h").agg(F.count(F.lit(1)).alias("n"), *[F.bit_or(F.when(word == k, bit).otherwise(F.lit(0))).alias(f"w{k}") for k in range(WORDS)]), "sketches")
+
+
+def _sketch(side: str) -> list:
+    return [F.col(c).alias(f"{c}_{side}") for c in ("n", *[f"w{k}" for k in range(WORDS)])]
+
+
+def _reachable():
+    """Whether two sets may reach the threshold. A bit that one has and the other has not is a shingle of the one alone, so no pair
+    that reaches it is left out."""
+    alone = lambda x, y: F.expr(" + ".join(f"bit_count(w{k}_{x} & ~w{k}_{y})" for k in range(WORDS)))
+    least = PERCENT * (F.col("n_a") + F.col("n_b"))
+    return ((100 + PERCENT) * (F.col("n_a") - alone("a", "b")) >= least) & ((100 + PERCENT) * (F.col("n_b") - alone("b", "a")) >= least)
+
+
+def _closer(lines: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs (a, b) of open lines of different components that share several bands on end: all pairs where few lines do, else
-    each line with the least and the greatest of them. Linear in the lines."""
+    each line with the least and the greatest of them. Linear in the lines; it joins most components before _rest looks at every pair."""
     keys = F.array(*[F.xxhash64(F.lit(b), F.lit(depth), *[F.col("bands")[(b + i) % BANDS] for i in range(depth)]) for depth in DEPTHS for b in range(BANDS)])
     rows = cut(lines.select("h", "component", F.explode(keys).alias("key")), "closer")
     ends = rows.groupBy("key").agg(F.min("component").alias("m"), F.max("component").alias("n"), F.min("h").alias("low"), F.max("h").alias("high"), (F.count(F.lit(1)) <= FEW).alias("few")).where("m <> n")
@@ -134,7 +155,23 @@ def _closer(lines: DataFrame) -> DataFrame:
     far = met.where("not few").select("h", "component", F.explode(F.array("low", "high")).alias("end"))
     of = lines.select(F.col("h").alias("end"), F.col("component").alias("end_component"))
     far = far.join(of, "end").where("component <> end_component").select(F.least("h", "end").alias("a"), F.greatest("h", "end").alias("b"))
-    return every.union(far).distinct()
+    pairs = every.union(far).distinct()
+    for side in "ab":
+        pairs = pairs.join(sketches.select(F.col("h").alias(side), *_sketch(side)), side)
+    return cut(pairs.where(_reachable()).select("a", "b"), "pairs")
+
+
+def _rest(rows: DataFrame, sketches: DataFrame) -> DataFrame:
+    """All pairs (a, b) that may reach the threshold, of lines of one bucket and different components. rows: bucket, h, component.
+
+    Every pair of a bucket is looked at by its sketches; a large bucket goes to tasks in pairs of blocks of some BLOCK lines."""
+    blocks = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(blocks, "bucket").withColumn("block", F.expr("CAST(pmod(xxhash64(h, bucket), blocks) AS INT)"))
+    dealt = cut(dealt.join(sketches, "h"), "dealt")
+    left = dealt.select("bucket", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("h").alias("a"), F.col("component").alias("component_a"), *_sketch("a"))
+    right = dealt.select("bucket", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("h").alias("b"), F.col("component").alias("component_b"), *_sketch("b"))
+    met = left.join(right, ["bucket", "i", "j"]).where(F.expr("component_a <> component_b AND (i < j OR a < b)") & _reachable())
+    return cut(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest")
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", out: str = "lines") -> DataFrame:
@@ -154,10 +191,15 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", out: s
     wanted = cut(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct(), "wanted")
     texts = _texts(wanted, docs, signed, key, text)
     found = connected_components(_verified(pairs, texts), "a", "b")
-    some = _open_lines(met, found, lines)
-    if not some.isEmpty():
-        more = _verified(_closer(some), texts)
-        found = connected_components(more.union(found.select(F.col("node").alias("a"), F.col("component").alias("b"))), "a", "b")
+    rows = _open_rows(met.select("bucket", F.col("b").alias("h")), found)
+    if not rows.isEmpty():
+        join = lambda more: connected_components(more.union(found.select(F.col("node").alias("a"), F.col("component").alias("b"))), "a", "b")
+        some = cut(rows.select("h", "component").distinct(), "open")
+        sketches = _sketches(some.select("h"), texts)
+        found = join(_verified(_closer(cut(some.join(maybe_among(lines, "h", some, "h"), "h"), "open"), sketches), texts))
+        rest = _rest(_open_rows(rows.select("bucket", "h"), found), sketches)
+        if not rest.isEmpty():
+            found = join(_verified(rest, texts))
 
     first = signed.groupBy("h").agg(F.min(F.struct("doc", "row", "row2", "pos")).alias("first"))
     groups = first.join(found.withColumnRenamed("node", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))

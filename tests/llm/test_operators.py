@@ -179,6 +179,33 @@ def test_line_dedup_template_family(spark):
     assert 1 < len({find(i) for i in up}) < len(lines) and left == {i for i in up if find(i) == i}
 
 
+def test_line_dedup_siblings_in_large_buckets(spark):
+    """Pairs whose lines share all bands with very many others that they don't link with."""
+    rng = random.Random(1)
+    word = lambda k: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
+    head, tail = (" ".join(word(7) for _ in range(18)) for _ in "ab")
+    lines = set()
+    for _ in range(400):
+        x = word(30)
+        lines |= {f"{head} {x} {tail}", f"{head} {x[:-3]}{word(3)} {tail}"}
+    lines = sorted(lines)
+    d = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    bands = {r.pos: set(r.bands) for r in line_dedup.signatures(line_dedup._lines(d, "doc_id", "text").drop("row", "pos").withColumnRenamed("doc", "pos")).collect()}
+    sets = [{x[i : i + 8] for i in range(len(x) - 7)} for x in lines]
+    up = list(range(len(lines)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(lines)), 2):
+        if bands[i] & bands[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            up[max(find(i), find(j))] = min(find(i), find(j))
+    left = {r.doc_id for r in line_dedup.dedup_lines(d).collect() if r.lines.n_removed == 0}
+    assert left == {i for i in up if find(i) == i}
+
+
 # --- URL filter
 
 
