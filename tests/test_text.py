@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parlance.functions import text as T
-from parlance.operators import community
+from parlance.operators import community, search
 
 
 def digest(text, entities):
@@ -125,3 +125,19 @@ def test_numbered(spark):
     d = spark.createDataFrame([(k,) for k in (5, -3, 40, 17, 18)], "k long")
     assert {r.k: r.n for r in community.numbered(d, "k", "n", 10).collect()} == {-3: 1, 5: 2, 17: 3, 18: 4, 40: 5}
     assert community.numbered(d.limit(0), "k", "n").count() == 0
+
+
+def test_stem_computes_each_step_once(spark):
+    plan = spark.range(1).select(T.russian_stem(F.concat(F.lit("новостями"), F.col("id").cast("string")))).where("id >= 0")._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace") <= 30  # 566 when each step was written out
+
+
+def test_search_deals_no_text_by_chat(spark):
+    """A chat may hold most of a corpus: its texts stay in the tasks that read them."""
+    messages = spark.range(10).selectExpr("0L AS chat_id", "id AS message_id", "id AS user_id", "'The text' AS text", "'' AS caption", "'normal' AS memory_policy", "false AS is_redacted", "id AS captured_at", "'h' AS content_hash")
+    queries = spark.createDataFrame([(1, 0, "the"), (2, 0, " The "), (3, 0, ""), (4, 1, "the")], "query_id long, chat_id long, query string")
+    gone = spark.createDataFrame([("message:0:9", "completed")], "tombstone_key string, status string")
+    found = search.search(messages, queries, gone)
+    assert sorted((r.query_id, r.message_id, r.place) for r in found.collect()) == [(q, 9 - p, p) for q in (1, 2) for p in (3, 2, 1)]
+    dealt = [x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "SortMergeJoin" in x or "ShuffledHashJoin" in x]
+    assert not [x for x in dealt if "Join [chat_id#" in x or "Join [term#" in x]
