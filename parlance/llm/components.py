@@ -3,12 +3,12 @@
 Each step joins every node with the least of its neighbours (an aggregate that combines before the
 shuffle, so a hub costs no more than its edges) and rewrites edges towards that least node, until
 every edge is (node, least node of its component). Edges are written to the shared folder after each
-round; nothing but two numbers per round reaches the driver.
+round; nothing but two numbers per round, observed as they are written, reaches the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from parlance.llm.common import cut
@@ -38,10 +38,20 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     pairs = cut(pairs, "edges")
     seen = None
     while True:
-        pairs = cut(_star(_star(pairs, True), False), "edges")
-        state = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        seen_now = Observation()
+        pairs = cut(_star(_star(pairs, True), False).observe(seen_now, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), "edges")
+        state = seen_now.get
         if state == seen:
             break
         seen = state
     tops = pairs.select(F.col("v").alias("node")).distinct()
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(tops.select("node", F.col("node").alias("component")))
+
+
+def merged_components(found: DataFrame, links: DataFrame, left: str, right: str) -> DataFrame:
+    """found (node, component) after links between components. A node that found hasn't is a component of its own. Only the graph of
+    components is resolved, which is smaller than that of the nodes."""
+    over = cut(connected_components(links, left, right), "over")
+    named = over.select(F.col("node").alias("was"), F.col("component").alias("now"))
+    moved = found.join(named, F.col("component") == F.col("was"), "left").select("node", F.coalesce("now", "component").alias("component"))
+    return cut(moved.union(over.join(found.select("node"), "node", "left_anti")), "components")

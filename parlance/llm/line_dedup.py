@@ -6,9 +6,9 @@ chance that as many independent MinHash rows agree. These are the bands, and ban
 decided by the exact Jaccard similarity of their sets of character shingles. Which lines of a bucket meet:
 1. Each line meets the least of its bucket. 2. Lines that this leaves in several components of one bucket meet again by one to
 four bands on end: all pairs of up to FEW lines, of more lines each with the least and the greatest. 3. In buckets that still have
-several components all pairs of different ones meet, whatever the bucket's size: a sketch of each line's shingles rules out
-pairs that can't reach the threshold, and no other. So no link between lines that share a bucket is lost. Verified pairs are
-resolved by distributed union-find, and the first line of each component stays.
+several components all pairs of different ones meet, whatever the bucket's size. So no link between lines that share a bucket
+is lost. Before any pair is verified, sketches of the lines' shingles, made once for each line, rule out what can't reach the
+threshold, and no other pair. Verified pairs are resolved by distributed union-find, and the first line of each component stays.
 
 Equal lines are one node before they are dealt to buckets, so a line with a third of all rows costs one row per task. Buckets
 are found by an aggregate that combines before the shuffle, never collected. Lines and rows are told apart by two 64-bit
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm.common import cut, documents, maybe_among
-from parlance.llm.components import connected_components
+from parlance.llm.components import connected_components, merged_components
 
 SHINGLE, PERCENT = 8, 80
 #: A pair at 0.8 is found with probability 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.985, one at 0.9 with 0.9998.
@@ -108,11 +108,11 @@ def _texts(wanted: DataFrame, docs: DataFrame, signed: DataFrame, key: str, text
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of pairs (a, b: line hashes) whose shingle sets reach the threshold."""
+    """Those of pairs (a, b: line hashes; other columns stay) whose shingle sets reach the threshold."""
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("line_b")), "b")
     # The number of the row keeps Spark from writing the sets' computation into the filter, once for each use.
-    sets = both.select("a", "b", _shingles("line_a").alias("x"), _shingles("line_b").alias("y"), F.monotonically_increasing_id().alias("row"))
-    return sets.where((100 + PERCENT) * F.size(F.array_intersect("x", "y")) >= PERCENT * (F.size("x") + F.size("y"))).select("a", "b")
+    sets = both.select(*pairs.columns, _shingles("line_a").alias("x"), _shingles("line_b").alias("y"), F.monotonically_increasing_id().alias("row"))
+    return sets.where((100 + PERCENT) * F.size(F.array_intersect("x", "y")) >= PERCENT * (F.size("x") + F.size("y"))).select(*pairs.columns)
 
 
 def _open_rows(placed: DataFrame, found: DataFrame) -> DataFrame:
@@ -123,11 +123,13 @@ def _open_rows(placed: DataFrame, found: DataFrame) -> DataFrame:
     return cut(maybe_among(placed, "bucket", several, "bucket").join(several, "bucket"), "open")
 
 
-def _sketches(lines: DataFrame, texts: DataFrame) -> DataFrame:
-    """h, n (size of its set of shingles), w0 and on: a bit for each shingle, by its hash. lines: h."""
-    sets = maybe_among(texts, "h", lines, "h").join(lines, "h", "left_semi").select("h", F.explode(_shingles("line")).alias("s"))
-    word, bit = F.expr(f"shiftright(s, 6) & {WORDS - 1}"), F.expr("shiftleft(1L, CAST(s & 63 AS INT))")
-    return cut(sets.groupBy("h").agg(F.count(F.lit(1)).alias("n"), *[F.bit_or(F.when(word == k, bit).otherwise(F.lit(0))).alias(f"w{k}") for k in range(WORDS)]), "sketches")
+def _sketches(texts: DataFrame) -> DataFrame:
+    """h, n (size of its set of shingles), w0 and on: for each bit, whether the shingles that have it are odd in number. texts: h, line."""
+    # Dealt by h alone, so that both aggregates find a line's shingles in its task.
+    sets = texts.repartition("h").select("h", F.explode(_shingles("line")).alias("s"))
+    bit = F.expr("shiftleft(1L, CAST(s & 63 AS INT))")
+    words = sets.groupBy("h", F.expr(f"CAST(shiftright(s, 6) & {WORDS - 1} AS INT)").alias("word")).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(bit).alias("w"))
+    return cut(words.groupBy("h").agg(F.sum("n").alias("n"), *[F.bit_xor(F.when(F.col("word") == k, F.col("w")).otherwise(F.lit(0))).alias(f"w{k}") for k in range(WORDS)]), "sketches")
 
 
 def _sketch(side: str) -> list:
@@ -135,34 +137,47 @@ def _sketch(side: str) -> list:
 
 
 def _reachable():
-    """Whether two sets may reach the threshold. A bit that one has and the other has not is a shingle of the one alone, so no pair
-    that reaches it is left out."""
-    alone = lambda x, y: F.expr(" + ".join(f"bit_count(w{k}_{x} & ~w{k}_{y})" for k in range(WORDS)))
-    least = PERCENT * (F.col("n_a") + F.col("n_b"))
-    return ((100 + PERCENT) * (F.col("n_a") - alone("a", "b")) >= least) & ((100 + PERCENT) * (F.col("n_b") - alone("b", "a")) >= least)
+    """Whether two sets may reach the threshold. A bit in which sketches differ is odd in one set alone, so it has a shingle that is in one
+    of them alone; sets that reach it have (100 - PERCENT) / (100 + PERCENT) of their sizes' sum of these at most, so none is left out."""
+    odd = F.expr(" + ".join(f"bit_count(w{k}_a ^ w{k}_b)" for k in range(WORDS)))
+    sizes = F.col("n_a") + F.col("n_b")
+    return ((100 + PERCENT) * F.least("n_a", "n_b") >= PERCENT * sizes) & ((100 + PERCENT) * odd <= (100 - PERCENT) * sizes)
+
+
+def _may_link(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Those of pairs (a, b: line hashes; other columns stay) that may reach the threshold."""
+    both = pairs
+    for side in "ab":
+        both = both.join(sketches.select(F.col("h").alias(side), *_sketch(side)), side)
+    return cut(both.where(_reachable()).select(*pairs.columns), "pairs")
 
 
 def _closer(lines: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs (a, b) of open lines of different components that share several bands on end: all pairs where few lines do, else
-    each line with the least and the greatest of them. Linear in the lines; it joins most components before _rest looks at every pair."""
+    """Pairs (a, b, component_a, component_b) of open lines that share several bands on end, as far as they may link: all pairs where few
+    lines do, else each line with the least and the greatest of them. Linear in the lines; it joins most components before _rest
+    looks at every pair."""
     keys = F.array(*[F.xxhash64(F.lit(b), F.lit(depth), *[F.col("bands")[(b + i) % BANDS] for i in range(depth)]) for depth in DEPTHS for b in range(BANDS)])
     rows = cut(lines.select("h", "component", F.explode(keys).alias("key")), "closer")
     ends = rows.groupBy("key").agg(F.min("component").alias("m"), F.max("component").alias("n"), F.min("h").alias("low"), F.max("h").alias("high"), (F.count(F.lit(1)) <= FEW).alias("few")).where("m <> n")
     ends = cut(ends.select("key", "low", "high", "few"), "ends")
     met = cut(maybe_among(rows, "key", ends, "key").join(ends, "key"), "met")
     left, right = (met.where("few").select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("h", "component")]) for side in "ab")
-    every = left.join(right, "key").where("h_a < h_b AND component_a <> component_b").select(F.col("h_a").alias("a"), F.col("h_b").alias("b"))
+    every = left.join(right, "key").where("h_a < h_b AND component_a <> component_b").select(F.col("h_a").alias("a"), F.col("h_b").alias("b"), "component_a", "component_b")
     far = met.where("not few").select("h", "component", F.explode(F.array("low", "high")).alias("end"))
     of = lines.select(F.col("h").alias("end"), F.col("component").alias("end_component"))
-    far = far.join(of, "end").where("component <> end_component").select(F.least("h", "end").alias("a"), F.greatest("h", "end").alias("b"))
-    pairs = every.union(far).distinct()
-    for side in "ab":
-        pairs = pairs.join(sketches.select(F.col("h").alias(side), *_sketch(side)), side)
-    return cut(pairs.where(_reachable()).select("a", "b"), "pairs")
+    far = far.join(of, "end").where("component <> end_component").select(F.col("h").alias("a"), F.col("end").alias("b"), F.col("component").alias("component_a"), F.col("end_component").alias("component_b"))
+    return _may_link(_once(every.union(far)), sketches)
+
+
+def _once(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b, component_a, component_b), a < b."""
+    turned = [F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("component_a", "component_b"), ("component_b", "component_a"))]
+    return pairs.select(*turned).distinct()
 
 
 def _rest(rows: DataFrame, sketches: DataFrame) -> DataFrame:
-    """All pairs (a, b) that may reach the threshold, of lines of one bucket and different components. rows: bucket, h, component.
+    """All pairs (a, b, component_a, component_b) that may reach the threshold, of lines of one bucket and different components. rows:
+    bucket, h, component.
 
     Every pair of a bucket is looked at by its sketches; a large bucket goes to tasks in pairs of blocks of some BLOCK lines."""
     blocks = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
@@ -171,7 +186,7 @@ def _rest(rows: DataFrame, sketches: DataFrame) -> DataFrame:
     left = dealt.select("bucket", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("h").alias("a"), F.col("component").alias("component_a"), *_sketch("a"))
     right = dealt.select("bucket", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("h").alias("b"), F.col("component").alias("component_b"), *_sketch("b"))
     met = left.join(right, ["bucket", "i", "j"]).where(F.expr("component_a <> component_b AND (i < j OR a < b)") & _reachable())
-    return cut(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest")
+    return cut(_once(met.select("a", "b", "component_a", "component_b")), "rest")
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", out: str = "lines") -> DataFrame:
@@ -190,16 +205,16 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", out: s
     pairs = cut(met.select("a", "b").distinct(), "pairs")
     wanted = cut(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct(), "wanted")
     texts = _texts(wanted, docs, signed, key, text)
-    found = connected_components(_verified(pairs, texts), "a", "b")
+    sketches = _sketches(texts)
+    found = connected_components(_verified(_may_link(pairs, sketches), texts), "a", "b")
     rows = _open_rows(met.select("bucket", F.col("b").alias("h")), found)
     if not rows.isEmpty():
-        join = lambda more: connected_components(more.union(found.select(F.col("node").alias("a"), F.col("component").alias("b"))), "a", "b")
         some = cut(rows.select("h", "component").distinct(), "open")
-        sketches = _sketches(some.select("h"), texts)
-        found = join(_verified(_closer(cut(some.join(maybe_among(lines, "h", some, "h"), "h"), "open"), sketches), texts))
+        closer = _closer(cut(some.join(maybe_among(lines, "h", some, "h"), "h"), "open"), sketches)
+        found = merged_components(found, _verified(closer, texts), "component_a", "component_b")
         rest = _rest(_open_rows(rows.select("bucket", "h"), found), sketches)
         if not rest.isEmpty():
-            found = join(_verified(rest, texts))
+            found = merged_components(found, _verified(rest, texts), "component_a", "component_b")
 
     first = signed.groupBy("h").agg(F.min(F.struct("doc", "row", "row2", "pos")).alias("first"))
     groups = first.join(found.withColumnRenamed("node", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
