@@ -32,3 +32,16 @@ def test_links_between_components(spark):
     got = {r.node: r.component for r in components.merged_components(found, links, "x", "y").collect()}
     assert got == {1: 1, 4: 1, 2: 1, 7: 1, 5: 1, 3: 3, 8: 3, 6: 6, 9: 6}
     assert {r.node: r.component for r in components.merged_components(found, links.limit(0), "x", "y").collect()} == {r.node: r.component for r in found.collect()}
+
+
+def test_stars_take_no_round(spark, monkeypatch):
+    rounds = []
+    star = components._star
+    monkeypatch.setattr(components, "_star", lambda *a: rounds.append(a[1]) or star(*a))
+    edges = lambda *e: spark.createDataFrame(list(e), "a long, b long")
+    found = lambda d: {r.node: r.component for r in components.connected_components(d, "a", "b").collect()}
+    assert found(edges((1, 4), (4, 1), (5, 1), (2, 3), (6, 6), (None, 1))) == {1: 1, 4: 1, 5: 1, 2: 2, 3: 2}
+    assert found(edges()) == {} and not rounds
+    # A node between two others, and one with two lesser ones.
+    assert found(edges((1, 2), (2, 3))) == {1: 1, 2: 1, 3: 1} and len(rounds) == 2
+    assert found(edges((1, 3), (2, 3))) == {1: 1, 2: 1, 3: 1} and len(rounds) == 4
