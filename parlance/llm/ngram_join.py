@@ -36,6 +36,8 @@ SHINGLE = 5
 GROUPS, MOST_GROUPS = 64, 4096
 #: A shingle in the prefixes of more documents than this comes late in the order; so many such are known.
 FREQUENT, KNOWN_FREQUENT = 128, 500_000
+#: A set is kept with its prefix and one in so many more of its shingles, in case some of the prefix come late.
+SPARE = 10
 #: Members of a block or family in one tile, and rows that one task's share of blocks aims at.
 TILE, SHARE = 1024, 40_000
 #: Families' members that a task's share aims at.
@@ -68,26 +70,40 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 def shingles(text: bytes | None) -> np.ndarray:
     """Sorted distinct shingle hashes of a text's words, A-Z lowered; a text of fewer words is one shingle, without
     words there is none."""
-    known = _word_hashes()
-    words = np.array([known[w] for w in (text or b"").lower().split()], np.uint64)
+    split = (text or b"").lower().split()
+    words = np.fromiter(map(_word_hashes().__getitem__, split), np.uint64, len(split))
     if not len(words):
         return words
     n = min(SHINGLE, len(words))
     total = np.full(len(words) - n + 1, n, np.uint64)
     for k in range(n):
         total += words[k : len(words) - n + 1 + k] * _MULTIPLIERS[k]
-    return np.unique(_mixed(total))
+    found = _mixed(total)
+    found.sort()
+    return found[np.concatenate(([True], found[1:] != found[:-1]))]
 
 
-def prefix(ordered: np.ndarray, percent: int, late: np.ndarray) -> np.ndarray:
-    """The first of a set in the order of hashes, those in late after all others; so many that a set with enough
-    overlap must have one of them."""
-    n = len(ordered) - -(-percent * len(ordered) // 100) + 1
-    if len(late) and len(ordered):
-        at = np.searchsorted(late, ordered)
-        is_late = late[np.minimum(at, len(late) - 1)] == ordered
-        ordered = np.concatenate((ordered[~is_late], ordered[is_late]))
-    return ordered[:n]
+def prefix_size(n: int, percent: int) -> int:
+    """Of so many members of a set of n, in one order for all, a set with enough overlap must have one."""
+    return n - -(-percent * n // 100) + 1
+
+
+def _are_late(hashes: np.ndarray, late: np.ndarray) -> np.ndarray:
+    if not len(late):
+        return np.zeros(len(hashes), bool)
+    return late[np.minimum(np.searchsorted(late, hashes), len(late) - 1)] == hashes
+
+
+def prefix(known: np.ndarray, is_late: np.ndarray, n: int, percent: int) -> np.ndarray | None:
+    """The first of a set of n in the order of hashes, late ones after all others. known: the set's least hashes; None
+    if they don't tell."""
+    size = prefix_size(n, percent)
+    if not is_late[:size].any():
+        return known[:size]
+    early = known[~is_late]
+    if len(early) < size and len(known) < n:
+        return None
+    return np.concatenate((early, known[is_late]))[:size]
 
 
 def groups_for(n: int) -> int:
@@ -103,32 +119,48 @@ def _class(ordered: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(ordered.tobytes())
 
 
-def _prefix_counts(percent: int):
+def _describe(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.array([], np.uint64)
         for b in batches:
-            sets = [prefix(shingles(t), percent, none) for t in b["text"].cast(pa.binary()).to_pylist()]
-            token, n = np.unique(np.concatenate(sets) if sets else none, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n, pa.int64())], names=["token", "n"])
+            n, cls, points, least = [], [], [], []
+            for t in b["text"].cast(pa.binary()).to_pylist():
+                s = shingles(t)
+                n.append(len(s))
+                cls.append(_class(s) if len(s) else None)
+                points.append(counts(s, groups_for(len(s))).tobytes())
+                least.append(s[: prefix_size(len(s), percent) + len(s) // SPARE].copy().view(np.int64))  # a view would keep the whole set
+            yield pa.RecordBatch.from_arrays(
+                [b["doc_id"], b["row"], pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(points, pa.binary()), pa.array(least, pa.list_(pa.int64()))],
+                names=["doc_id", "row", "n_shingles", "cls", "point", "least"],
+            )
 
     return run
 
 
-def _describe(percent: int, late):
+def _prefixes(percent: int, late):
+    """prefix of each class; null where the least shingles don't tell."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = late.value
         for b in batches:
-            n, cls, points, prefixes = [], [], [], []
+            column = b["least"]
+            ends, hashes = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)
+            is_late = _are_late(hashes, late.value)
+            found = [prefix(hashes[i:j], is_late[i:j], n, percent) for i, j, n in zip(ends[:-1].tolist(), ends[1:].tolist(), b["n_shingles"].to_pylist(), strict=True)]
+            found = [None if x is None else x.view(np.int64) for x in found]
+            yield pa.RecordBatch.from_arrays([b["alias"], b["row"], b["n_shingles"], b["point"], pa.array(found, pa.list_(pa.int64()))], names=["alias", "row", "n_shingles", "point", "prefix"])
+
+    return run
+
+
+def _prefixes_of_texts(percent: int, late):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cls, found = [], []
             for t in b["text"].cast(pa.binary()).to_pylist():
                 s = shingles(t)
-                n.append(len(s))
-                cls.append(_class(s) if len(s) else None)
-                points.append(counts(s, groups_for(len(s))).tobytes())
-                prefixes.append(prefix(s, percent, last).view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], b["row"], pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(points, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
-                names=["doc_id", "row", "n_shingles", "cls", "point", "prefix"],
-            )
+                cls.append(_class(s))
+                found.append(prefix(s, _are_late(s, late.value), len(s), percent).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b["alias"], pa.array(cls, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["alias", "cls", "prefix"])
 
     return run
 
@@ -283,17 +315,24 @@ def _grouped(docs: DataFrame, percent: int, key: str, text: str, frequent: int =
         raise ValueError("percent must be from 50 to 100: points of sets that differ more in size do not meet")
     spark = docs.sparkSession
     d = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), _row_key(key, text).alias("row"))
-    often = d.select("text").mapInArrow(_prefix_counts(percent), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > frequent)
-    # Only the order of shingles hangs on these, not the result.
-    late = np.array([r.token for r in often.orderBy(F.desc("n"), "token").limit(KNOWN_FREQUENT).collect()], np.int64).view(np.uint64)
+    described = cut(d.mapInArrow(_describe(percent), "doc_id long, row long, n_shingles long, cls binary, point binary, least array<long>"), "described")
+    valid = described.where("cls is not null")
+    size = F.expr(f"CAST(n_shingles - ({percent} * n_shingles + 99) div 100 + 1 AS INT)")
+    often = valid.select(F.explode(F.slice("least", 1, size)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > frequent)
+    # Only the order of shingles hangs on these, not the result. As Arrow they are 8 bytes each on the driver.
+    late = often.orderBy(F.desc("n"), "token").limit(KNOWN_FREQUENT).select("token").toArrow()["token"].to_numpy().view(np.uint64)
     shared = spark.sparkContext.broadcast(np.sort(late))
-    described = cut(d.mapInArrow(_describe(percent, shared), "doc_id long, row long, n_shingles long, cls binary, point binary, prefix array<long>"), "described")
 
     # An alias of 8 bytes names a class while candidates are sought; two classes of one alias would only meet once more.
     alias = F.xxhash64("cls").alias("alias")
-    valid = described.where("cls is not null")
-    unique = cut(valid.select(alias, "n_shingles", "point", "prefix").dropDuplicates(["alias"]), "classes")  # copies meet nowhere twice
+    unique = valid.select(alias, "row", "n_shingles", "point", "least").dropDuplicates(["alias"])  # copies meet nowhere twice
+    unique = cut(unique.mapInArrow(_prefixes(percent, shared), "alias long, row long, n_shingles long, point binary, prefix array<long>"), "classes")
     tokens = unique.select("alias", F.explode("prefix").alias("token"))
+    untold = unique.where("prefix is null").select("alias", F.col("row").alias("r"))
+    if not untold.isEmpty():  # too many of their least shingles come late: their texts tell
+        texts = maybe_among(d.select("row", "text"), "row", untold, "r").join(untold, F.col("row") == F.col("r")).select("alias", "text")
+        told = texts.mapInArrow(_prefixes_of_texts(percent, shared), "alias long, cls binary, prefix array<long>").where(F.col("alias") == F.xxhash64("cls"))
+        tokens = tokens.union(cut(told.dropDuplicates(["alias"]).select("alias", F.explode("prefix").alias("token")), "told"))
     met = tokens.groupBy("token").agg(F.min("alias").alias("least"), F.max("alias").alias("most"), F.count(F.lit(1)).alias("rows")).where("least <> most").drop("most")
     met = cut(met, "met")
     blocks = maybe_among(tokens, "token", met, "token").join(met, "token")
@@ -302,7 +341,7 @@ def _grouped(docs: DataFrame, percent: int, key: str, text: str, frequent: int =
     dealt = blocks.join(F.broadcast(large.withColumnRenamed("least", "l")), F.col("least") == F.col("l"), "left")
     shares = F.pmod(F.xxhash64("least", F.pmod("token", F.coalesce("salts", F.lit(1)))), F.lit(1 << 20))
     dealt = cut(_tiled(dealt.select("token", "alias", "rows", shares.alias("share")), "rows", "alias").select("share", "token", "low", "high", "alias"), "blocks")
-    points = unique.drop("prefix")
+    points = unique.drop("prefix", "row")
     members = dealt.select(F.col("share").alias("at"), F.col("alias").alias("member")).distinct().join(points.withColumnRenamed("alias", "member"), "member")
     # Shares are grouped once more, so that a task's call handles many.
     calls = max(200, min(20_000, dealt.count() // SHARE))
