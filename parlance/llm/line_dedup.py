@@ -71,8 +71,9 @@ def _compared(line):
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """doc, row and row2 (hashes of key and text), pos, line (as compared) of all lines that are not blank."""
     d = docs.select(F.col(key).alias("doc"), *_row_key(key, text), F.split(text, "\n").alias("lines"))
-    d = d.select("doc", "row", "row2", F.posexplode("lines").alias("pos", "line"))
-    return d.withColumn("line", _compared(F.col("line"))).where("line <> ''")
+    # For posexplode a filter would be inferred that splits texts once more, and once more; the null that outer gives for a null text goes.
+    d = d.select("doc", "row", "row2", F.posexplode_outer("lines").alias("pos", "line"))
+    return d.where(F.trim("line", F.lit(WHITE)) != "").withColumn("line", _compared(F.col("line")))
 
 
 def signatures(lines: DataFrame) -> DataFrame:
@@ -101,7 +102,7 @@ def _texts(wanted: DataFrame, docs: DataFrame, signed: DataFrame, key: str, text
     some = maybe_among(signed.select("h", "row", "row2", "pos"), "h", wanted, "h").groupBy("h").agg(F.min(F.struct("row", "row2", "pos")).alias("x"))
     at = cut(some.join(wanted, "h").select(F.col("h").alias("w_h"), F.col("x.row").alias("w_row"), F.col("x.row2").alias("w_row2"), F.col("x.pos").alias("w_pos")), "places")
     near = maybe_among(docs.select(*_row_key(key, text), F.split(text, "\n").alias("lines")), "row", at, "w_row")
-    lines = near.select("row", "row2", F.posexplode("lines").alias("pos", "line"))
+    lines = near.select("row", "row2", F.posexplode_outer("lines").alias("pos", "line"))
     same = (F.col("row") == F.col("w_row")) & (F.col("row2") == F.col("w_row2")) & (F.col("pos") == F.col("w_pos"))
     texts = lines.join(at, same).select(F.col("w_h").alias("h"), _compared(F.col("line")).alias("line"))
     return cut(texts.dropDuplicates(["h"]), "lines")  # equal rows of docs give a line twice
@@ -123,10 +124,16 @@ def _open_rows(placed: DataFrame, found: DataFrame) -> DataFrame:
     return cut(maybe_among(placed, "bucket", several, "bucket").join(several, "bucket"), "open")
 
 
+def _exploded(texts: DataFrame) -> DataFrame:
+    """h, s: each shingle of a line once. texts: h, line."""
+    # What explode computes itself is interpreted for each shingle, so sets are columns before; of outer no filter is inferred, which
+    # would compute them once more. No set is empty. Dealt by h alone, so that later aggregates find a line's shingles in its task.
+    return texts.repartition("h").select("h", _shingles("line").alias("s")).select("h", F.explode_outer("s").alias("s"))
+
+
 def _sketches(texts: DataFrame) -> DataFrame:
     """h, n (size of its set of shingles), w0 and on: for each bit, whether the shingles that have it are odd in number. texts: h, line."""
-    # Dealt by h alone, so that both aggregates find a line's shingles in its task.
-    sets = texts.repartition("h").select("h", F.explode(_shingles("line")).alias("s"))
+    sets = _exploded(texts)
     bit = F.expr("shiftleft(1L, CAST(s & 63 AS INT))")
     words = sets.groupBy("h", F.expr(f"CAST(shiftright(s, 6) & {WORDS - 1} AS INT)").alias("word")).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(bit).alias("w"))
     return cut(words.groupBy("h").agg(F.sum("n").alias("n"), *[F.bit_xor(F.when(F.col("word") == k, F.col("w")).otherwise(F.lit(0))).alias(f"w{k}") for k in range(WORDS)]), "sketches")
@@ -198,7 +205,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", out: s
     white space and in lower case. A column named like out is replaced.
     """
     signed = _told_apart(cut(signatures(_lines(docs, key, text)), "signed"))
-    lines = cut(signed.select("h", "bands").distinct(), "distinct")
+    lines = cut(signed.groupBy("h", "bands").agg(F.count(F.lit(1)).alias("n")), "distinct")
     rows = lines.select("h", F.explode("bands").alias("bucket"))
     buckets = cut(rows.groupBy("bucket").agg(F.min("h").alias("a"), F.max("h").alias("z")).where("a <> z").select("bucket", "a"), "buckets")
     met = cut(maybe_among(rows, "bucket", buckets, "bucket").join(buckets, "bucket").where("a <> h").select("bucket", "a", F.col("h").alias("b")), "met")
@@ -210,24 +217,27 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", out: s
     rows = _open_rows(met.select("bucket", F.col("b").alias("h")), found)
     if not rows.isEmpty():
         some = cut(rows.select("h", "component").distinct(), "open")
-        closer = _closer(cut(some.join(maybe_among(lines, "h", some, "h"), "h"), "open"), sketches)
+        closer = _closer(cut(some.join(maybe_among(lines.drop("n"), "h", some, "h"), "h"), "open"), sketches)
         found = merged_components(found, _verified(closer, texts), "component_a", "component_b")
         rest = _rest(_open_rows(rows.select("bucket", "h"), found), sketches)
         if not rest.isEmpty():
             found = merged_components(found, _verified(rest, texts), "component_a", "component_b")
 
-    first = signed.groupBy("h").agg(F.min(F.struct("doc", "row", "row2", "pos")).alias("first"))
+    # A line that occurs once and has no link stays, so others alone are grouped (and few that are taken for such).
+    busy = lines.where("n > 1").select("h").union(found.select(F.col("node").alias("h")))
+    some = cut(maybe_among(signed, "h", busy, "h").select("doc", "row", "row2", "pos", "h"), "busy")
+    first = some.groupBy("h").agg(F.min(F.struct("doc", "row", "row2", "pos")).alias("first"))
     groups = first.join(found.withColumnRenamed("node", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
-    kept = groups.groupBy("component").agg(F.min("first").alias("x")).groupBy(F.col("x.row").alias("_kept_row"), F.col("x.row2").alias("_kept_row2")).agg(F.collect_list("x.pos").alias("_kept"))
+    kept = groups.groupBy("component").agg(F.min("first").alias("x")).select("x.row", "x.row2", "x.pos", F.lit(True).alias("first"))
+    # All of a row's places in some, and those of them that stay.
+    marks = some.select("row", "row2", "pos", F.lit(False).alias("first")).union(kept).groupBy("row", "row2", "pos").agg(F.max("first").alias("first"))
+    gone = marks.where("not first").groupBy(F.col("row").alias("_gone_row"), F.col("row2").alias("_gone_row2")).agg(F.collect_list("pos").alias("_gone"))
 
     d = docs.select(F.struct(*[c for c in docs.columns if c.lower() not in (text.lower(), out.lower())]).alias("_row"), F.col(text).alias("_text"), *_row_key(key, text))
-    d = d.join(kept, (F.col("row") == F.col("_kept_row")) & (F.col("row2") == F.col("_kept_row2")), "left").withColumn("_lines", F.split("_text", "\n"))
-    blank = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: F.trim(F.get("_lines", i), F.lit(WHITE)) == "")
-    stays = F.sort_array(F.concat(F.coalesce("_kept", F.array().cast("array<int>")), blank))
-    d = d.withColumn("_stays", F.when(F.col("_text").isNotNull(), stays))
-    new = F.array_join(F.transform("_stays", lambda p: F.col("_lines")[p]), "\n")
-    n = F.coalesce(F.size("_lines").cast("long"), F.lit(0))
-    counted = F.struct(F.when(F.col("_text").isNull(), 0).otherwise(n).cast("long").alias("n_lines"), F.when(F.col("_text").isNull(), 0).otherwise(n - F.size("_stays")).cast("long").alias("n_removed"))
+    d = d.join(gone, (F.col("row") == F.col("_gone_row")) & (F.col("row2") == F.col("_gone_row2")), "left").withColumn("_lines", F.split("_text", "\n"))
+    new = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(F.filter("_lines", lambda x, p: ~F.array_contains("_gone", p)), "\n"))
+    n, removed = F.coalesce(F.size("_lines").cast("long"), F.lit(0)), F.coalesce(F.size("_gone").cast("long"), F.lit(0))
+    counted = F.struct(F.when(F.col("_text").isNull(), 0).otherwise(n).cast("long").alias("n_lines"), F.when(F.col("_text").isNull(), 0).otherwise(removed).cast("long").alias("n_removed"))
     d = d.select("_row.*", new.alias(text), counted.alias(out))
     return d.select(*[c for c in docs.columns if c.lower() != out.lower()], out)
 

@@ -3,6 +3,8 @@
 import itertools
 import random
 
+from pyspark.sql import functions as F
+
 from parlance.llm import components, line_dedup
 
 
@@ -45,3 +47,38 @@ def test_stars_take_no_round(spark, monkeypatch):
     # A node between two others, and one with two lesser ones.
     assert found(edges((1, 2), (2, 3))) == {1: 1, 2: 1, 3: 1} and len(rounds) == 2
     assert found(edges((1, 3), (2, 3))) == {1: 1, 2: 1, 3: 1} and len(rounds) == 4
+
+
+def _optimized(d):
+    return d._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_split_and_shingled_once(spark):
+    docs = spark.createDataFrame([(1, "one line\n another"), (2, None), (3, "")], "doc_id long, text string")
+    lines = line_dedup._lines(docs, "doc_id", "text")
+    assert _optimized(lines).count("split(") == 1
+    assert {(r.doc, r.pos, r.line) for r in lines.collect()} == {(1, 0, "one line"), (1, 1, "another")}
+    sets = line_dedup._exploded(spark.createDataFrame([(1, "abcdefghijabcdefghij"), (2, "short"), (3, "")], "h long, line string"))
+    assert _optimized(sets).count("transform(sequence(") == 1 and "Generate explode(s#" in _optimized(sets)
+    assert {r.h: r.n for r in sets.groupBy("h").agg(F.count_distinct("s").alias("n")).collect()} == {1: 10, 2: 1, 3: 1}
+    assert sets.count() == 12
+
+
+def test_lines_without_a_twin_are_not_grouped(spark, monkeypatch):
+    seen = {}
+    cut = line_dedup.cut
+
+    def kept(d, name):
+        seen[name] = cut(d, name)
+        return seen[name]
+
+    monkeypatch.setattr(line_dedup, "cut", kept)
+    alone = [f"{k} line of its own {k * 7919}" for k in range(50)]
+    rows = [(k, x) for k, x in enumerate(alone)]
+    # Equal rows, a line twice in a text, blank lines, no text; a null key is the first.
+    rows += [(60, "twice\n \nTwice \n"), (61, "\n \n"), (62, None), (70, "same row"), (70, "same row"), (None, "at last"), (80, "at last\nsame row\nmore")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((-1 if r.doc_id is None else r.doc_id, r.text, r.lines.n_lines, r.lines.n_removed) for r in line_dedup.dedup_lines(d).collect()), key=lambda x: x[0])
+    assert [x for x in got if 0 <= x[0] < 50] == [(k, x, 1, 0) for k, x in enumerate(alone)]
+    assert [x for x in got if not 0 <= x[0] < 50] == [(-1, "at last", 1, 0), (60, "twice\n \n", 4, 1), (61, "\n \n", 3, 0), (62, None, 0, 0), (70, "same row", 1, 0), (70, "same row", 1, 0), (80, "more", 3, 2)]
+    assert seen["busy"].count() < 10
